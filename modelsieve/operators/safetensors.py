@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modelsieve.functions.once import computed_once
 from modelsieve.operators.entropy import text_entropy
 
 MAX_HEADER = 100 * (1 << 20)
@@ -40,15 +41,6 @@ def _declared_length(content: Column) -> Column:
     return F.conv(big_endian, 16, 10).cast("decimal(20,0)")
 
 
-def _computed_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a one-row generator.
-
-    The optimizer does not inline through it, so an expression used by many
-    later ones is evaluated once per row and generated code stays small.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def with_header(df: DataFrame) -> DataFrame:
     """(artifact_id, header_len, _present, header, _parsed, _kind, _meta_kind).
 
@@ -57,13 +49,13 @@ def with_header(df: DataFrame) -> DataFrame:
     """
     total = F.col("file_len") if "file_len" in df.columns else F.octet_length("content").cast("bigint")
     length = F.when(F.octet_length("content") >= 8, _declared_length(F.col("content")))
-    df = _computed_once(df.select("artifact_id", "content", total.alias("_total")), header_len=length)
+    df = computed_once(df.select("artifact_id", "content", total.alias("_total")), header_len=length)
     present = F.col("header_len") <= F.col("_total") - 8
     raw = F.when(present, F.substring(F.col("content"), F.lit(9), F.col("header_len").cast("int")).cast("string"))
-    df = _computed_once(df.withColumn("_present", F.coalesce(present, F.lit(False))), _text=raw).drop("content", "_total")
+    df = computed_once(df.withColumn("_present", F.coalesce(present, F.lit(False))), _text=raw).drop("content", "_total")
     df = df.withColumn("header", F.when(F.is_valid_utf8("_text"), F.col("_text"))).drop("_text")
-    df = _computed_once(df, _parsed=F.try_parse_json("header"))
-    return _computed_once(df, _kind=F.schema_of_variant("_parsed"), _meta_kind=F.schema_of_variant(
+    df = computed_once(df, _parsed=F.try_parse_json("header"))
+    return computed_once(df, _kind=F.schema_of_variant("_parsed"), _meta_kind=F.schema_of_variant(
         F.try_variant_get("_parsed", "$.__metadata__", "variant")))
 
 
@@ -110,7 +102,7 @@ def safetensors_header_rules(df: DataFrame) -> DataFrame:
              .when(bad_meta, "invalid_metadata_type").otherwise("header_info"))
     facts = F.create_map(*[x for name, sev, w in HEADER_STATES for x in (
         F.lit(name), F.struct(F.lit(sev).alias("severity"), F.lit(w).alias("weight")))])
-    return (_computed_once(h, type=state).withColumn("_f", facts[F.col("type")])
+    return (computed_once(h, type=state).withColumn("_f", facts[F.col("type")])
             .select("artifact_id", "type", "_f.severity", "_f.weight", "header",
                     F.col("type").isin("invalid_metadata_type", "header_info").alias("parsed")))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from modelsieve.functions.bands import band
+from modelsieve.functions.once import computed_once
 
 EXTENSIONS = [".pkl", ".pickle", ".pt", ".pth", ".gguf", ".safetensors", ".onnx"]
 
@@ -150,8 +151,8 @@ def v_cve_feed(spark: SparkSession, d: str) -> DataFrame:
                  F.when(doc % 4 == 2, entry).otherwise(none).alias("cvssMetricV2")).alias("metrics"),
     ).alias("cve"))
     return (table(spark, d, "documents")
-            .select(doc, F.to_json(item).alias("item"),
-                    F.explode(F.array(doc % 9, (doc + 4) % 9)).alias("k"))
+            .select(doc, F.to_json(item).alias("item"))
+            .select("*", F.explode(F.array(doc % 9, (doc + 4) % 9)).alias("k"))
             .select(_pick(KEYWORDS, F.col("k")).alias("keyword"), doc.alias("pos"), "item"))
 
 
@@ -230,11 +231,14 @@ def v_urls(spark: SparkSession, d: str) -> DataFrame:
             .select("page_id", "u.variant", "u.url"))
 
 
+def _reversed_bytes(digits: Column, width: int) -> Column:
+    """Bytes of a hex string, last byte first."""
+    return F.unhex(F.concat(*[F.substring(digits, width * 2 - 1 - 2 * i, 2) for i in range(width)]))
+
+
 def _le_bytes(number: Column, width: int) -> Column:
     """Little-endian bytes of a non-negative bigint."""
-    digits = F.lpad(F.hex(number), width * 2, "0")
-    pairs = [F.substring(digits, width * 2 - 1 - 2 * i, 2) for i in range(width)]
-    return F.unhex(F.concat(*pairs))
+    return _reversed_bytes(F.lpad(F.hex(number), width * 2, "0"), width)
 
 
 def v_safetensors(spark: SparkSession, d: str) -> DataFrame:
@@ -248,14 +252,14 @@ def v_safetensors(spark: SparkSession, d: str) -> DataFrame:
               .otherwise(F.concat(
                   F.lit('{"__metadata__":{"note":"'), note, F.lit('","url":"'), payload,
                   doc.cast("string"), F.lit('"},"w":{"dtype":"F32"}}'))))
-    raw = F.encode(header, "UTF-8")
-    size = F.octet_length(raw).cast("bigint")
+    size = F.octet_length("raw").cast("bigint")
     declared = F.when(doc % 11 == 0, size + 1000).when(doc % 11 == 4, F.lit(0).cast("bigint")).otherwise(size)
-    return table(spark, d, "documents").select(
+    docs = computed_once(table(spark, d, "documents").select("doc_id", "text"), raw=F.encode(header, "UTF-8"))
+    return computed_once(docs, declared=F.lpad(F.hex(declared), 16, "0")).select(
         doc.alias("artifact_id"),
         F.concat(F.lit("m_"), doc.cast("string"), F.lit(".safetensors")).alias("filename"),
         F.when(doc % 11 == 5, F.unhex(F.lit("00010203")))
-         .otherwise(F.concat(_le_bytes(declared, 8), raw)).alias("content"))
+         .otherwise(F.concat(_reversed_bytes(F.col("declared"), 8), F.col("raw"))).alias("content"))
 
 
 PICKLE_IMPORTS = [("os", "getcwd"), ("collections", "OrderedDict"), ("numpy", "dtype"),
