@@ -13,9 +13,18 @@ def _xor_pad(key_hex: Column, pad: int) -> Column:
                                .cast("bigint").bitwiseXOR(F.lit(pad).cast("bigint"))), 2, "0")), ""))
 
 
-def hmac_sha256(key: Column, message: Column) -> Column:
-    """Hex HMAC-SHA256 (RFC 2104) of a binary message under a binary key."""
+def hmac_pads(key: Column) -> Column:
+    """Struct (inner, outer) of the two padded keys of RFC 2104.
+
+    They depend on the key alone, so compute them once per key, ahead of any
+    join that repeats the key.
+    """
     short = F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key)
     key_hex = F.rpad(F.hex(short), 128, "0")
-    inner = F.unhex(F.sha2(F.concat(_xor_pad(key_hex, 0x36), message), 256))
-    return F.sha2(F.concat(_xor_pad(key_hex, 0x5C), inner), 256)
+    return F.struct(_xor_pad(key_hex, 0x36).alias("inner"), _xor_pad(key_hex, 0x5C).alias("outer"))
+
+
+def hmac_sha256(pads: Column, message: Column) -> Column:
+    """Hex HMAC-SHA256 of a binary message under a key given by its pads."""
+    inner = F.unhex(F.sha2(F.concat(pads["inner"], message), 256))
+    return F.sha2(F.concat(pads["outer"], inner), 256)

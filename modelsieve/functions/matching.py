@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelsieve.functions.once import computed_once
+
 CHUNK_COLUMNS = ["artifact_id", "chunk_no", "base_offset", "own_start", "own_len", "file_len", "content"]
 
 
@@ -83,8 +85,8 @@ def with_candidates(chunks: DataFrame, rules: Sequence[Rule], out: str = "_rules
         else:
             tests.append(F.when(F.contains(F.col("content"), F.lit(rule.anchor.encode("latin-1"))), k))
     if any(r.ignore_case and r.anchor is not None for r in rules):
-        chunks = chunks.withColumn("_folded", F.lower(F.decode(F.col("content"), "ISO-8859-1")))
-    return chunks.withColumn(out, F.array_compact(F.array(*tests))).drop("_folded")
+        chunks = computed_once(chunks, _folded=F.lower(F.decode(F.col("content"), "ISO-8859-1")))
+    return computed_once(chunks, **{out: F.array_compact(F.array(*tests))}).drop("_folded")
 
 
 def find_matches(chunks: DataFrame, rules: Sequence[Rule]) -> DataFrame:

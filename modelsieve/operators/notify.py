@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modelsieve.functions.hashing import hmac_sha256
+from modelsieve.functions.hashing import hmac_pads, hmac_sha256
+from modelsieve.functions.once import computed_once
 
 
 def key_usage(presented: DataFrame, keys: DataFrame, usage: DataFrame) -> DataFrame:
@@ -41,13 +42,14 @@ def webhook_fanout(events: DataFrame, subs: DataFrame) -> DataFrame:
     Both sides may be large. The join is by user id with the strategy left to
     AQE, which broadcasts measured-small subscriptions and splits hot users.
     """
-    listening = subs.filter("is_active").select(
-        F.col("id").alias("subscription_id"), F.col("user_id").alias("_user"), "url", "secret_token", "events")
+    listening = computed_once(
+        subs.filter("is_active").select(F.col("id").alias("subscription_id"), F.col("user_id").alias("_user"),
+                                        "url", "secret_token", "events"),
+        _pads=hmac_pads(F.encode("secret_token", "UTF-8"))).drop("secret_token")
     wanted = F.array_contains("events", F.col("event_type")) | F.array_contains("events", "all")
     return (events.join(listening, (events.user_id == F.col("_user")) & wanted)
             .select("scan_id", "user_id", "subscription_id", "url", "event_type", "payload",
-                    hmac_sha256(F.encode("secret_token", "UTF-8"), F.encode("payload", "UTF-8"))
-                    .alias("signature")))
+                    hmac_sha256(F.col("_pads"), F.encode("payload", "UTF-8")).alias("signature")))
 
 
 def delivery_log(logs: DataFrame, subs: DataFrame, n: int = 50, user: str | None = None) -> DataFrame:

@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelsieve.functions.bands import band, severity_rank
-from modelsieve.functions.cvss import base_score, metrics_from, severity_of, vector_of
+from modelsieve.functions.cvss import with_base_score
 from modelsieve.functions.ranking import rank_in_group
 
 
 def cvss_base_score(df: DataFrame, metrics: str = "metrics", mode: str = "reference") -> DataFrame:
     """Add score, severity and vector of the metric struct in ``metrics``."""
-    m = metrics_from(F.col(metrics))
-    return (df.withColumn("cvss_score", base_score(m, mode))
-            .withColumn("cvss_severity", severity_of(F.col("cvss_score")))
-            .withColumn("cvss_vector", vector_of(m)))
+    return with_base_score(df, metrics, mode)
 
 
 def artifact_cvss(findings: DataFrame) -> DataFrame:

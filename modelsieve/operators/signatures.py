@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelsieve.functions.cvss import base_score, metrics_from, severity_of, vector_of
+from modelsieve.functions.cvss import with_base_score
 from modelsieve.functions.matching import Rule, find_matches
 
 METRICS = ["av", "ac", "pr", "ui", "s", "c", "i", "a"]
@@ -89,16 +89,11 @@ MAX_CATALOGUE = 10_000
 
 def signature_catalog(spark: SparkSession, signatures: Sequence[Signature] = SIGNATURES) -> DataFrame:
     """The catalogue as rows, in matching order, with its CVSS default score."""
-    rows = [(k, s.id, s.category, s.regex, s.severity, dict(zip(METRICS, s.metrics)), s.desc)
+    rows = [(k, s.id, s.category, s.regex, s.severity, tuple(s.metrics), s.desc)
             for k, s in enumerate(signatures)]
     schema = ("position int, id string, category string, pattern string, severity string, "
               "default_cvss struct<" + ",".join(f"{m}:string" for m in METRICS) + ">, desc string")
-    rows = [r[:5] + (tuple(r[5][m] for m in METRICS), r[6]) for r in rows]
-    metrics = metrics_from(F.col("default_cvss"))
-    return (spark.createDataFrame(rows, schema).coalesce(1)
-            .withColumn("cvss_score", base_score(metrics))
-            .withColumn("cvss_severity", severity_of(F.col("cvss_score")))
-            .withColumn("cvss_vector", vector_of(metrics)))
+    return with_base_score(spark.createDataFrame(rows, schema).coalesce(1), "default_cvss")
 
 
 def signatures_from(catalog: DataFrame) -> list[Signature]:

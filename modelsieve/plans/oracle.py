@@ -367,6 +367,20 @@ ORACLE["ioc_screen"] = sql("""
            CASE WHEN i.file_hash IS NOT NULL THEN 100 END::BIGINT AS risk_score,
            CASE WHEN i.file_hash IS NOT NULL THEN 'critical' END AS risk_level
     FROM v_hashes h LEFT JOIN v_iocs i ON h.file_hash = i.file_hash""", "v_hashes", "v_iocs")
+ORACLE["scan_dispatch"] = sql("""
+    SELECT filename AS artifact_id, 'pattern_match' AS type, pattern_id, category, "offset", severity, cvss_score,
+           position * 1000000000000 + "offset" AS ordinal
+    FROM hits h JOIN v_artifacts a ON h.artifact_id = a.artifact_id AND (ext IN ('.gguf', '.onnx')
+         OR ext = '.safetensors' AND octet_length(content) >= 8)
+    UNION ALL SELECT filename, type, NULL, category, "offset", severity, cvss_score,
+        10000000000000000 + "offset" + CASE WHEN type = 'malformed_pickle' THEN 1000000000000 ELSE 0 END FROM pickle_rows
+    UNION ALL SELECT 'model_' || artifact_id || ext, type, NULL, 'command_injection', 0, severity, cvss_score, 10000000000000000
+        FROM template_rows WHERE ext = '.gguf'
+    UNION ALL SELECT 'model_' || artifact_id || ext, 'dangerous_onnx_op', NULL, 'code_execution', "offset", 'critical', 9.8,
+        10000000000000000 + "offset" + CASE op WHEN 'CustomOp' THEN 1000000000000 ELSE 0 END FROM onnx_rows WHERE ext = '.onnx'
+    UNION ALL SELECT filename, 'malformed_safetensors', NULL, 'obfuscation_payload', 0, 'low', 3.3, 10000000000000000
+        FROM v_artifacts WHERE ext = '.safetensors' AND octet_length(content) >= 8""",
+                              "hits", "pickle_rows", "template_rows", "onnx_rows")
 ORACLE["scan_dispatch_sdk"] = sql("SELECT artifact_id, pattern, severity FROM sdk_threats", "sdk_threats")
 ORACLE["scan_dispatch_inspector"] = sql(f"""
     SELECT filename AS artifact_id, 'valid_magic' AS type, 'clean' AS severity, NULL::VARCHAR AS pattern, NULL::BIGINT AS hits,

@@ -275,7 +275,10 @@ def ioc_screen(spark, d):
 
 @query
 def scan_dispatch(spark, d):
-    return scan_corpus(v.v_artifacts(spark, d)).select(
+    mixed = (v.v_artifacts(spark, d).filter("ext in ('.gguf', '.onnx', '.safetensors')").select("filename", "content")
+             .unionByName(v.v_pickles(spark, d).select("filename", "content"))
+             .withColumn("artifact_id", F.col("filename")))
+    return scan_corpus(mixed).select(
         "artifact_id", "type", "pattern_id", "category", "offset", "severity", "cvss_score", "ordinal")
 
 

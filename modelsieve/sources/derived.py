@@ -36,6 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns(zoned) if zoned else df
 
 
+SMALL_TABLE = 256 << 20
+
+
+def scan_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table for work that costs far more per byte than a shuffle.
+
+    A small file is often one row group, which a single task would have to scan
+    alone; tables below ``SMALL_TABLE`` bytes are therefore spread over all
+    cores. Larger tables have row groups enough and are never shuffled here.
+    """
+    df = table(spark, sf_dir, name)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
+
+
 def _pick(values: list[str | None], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
@@ -44,7 +59,7 @@ def v_artifacts(spark: SparkSession, d: str) -> DataFrame:
     doc = F.col("doc_id")
     ext = _pick(EXTENSIONS, doc % 7)
     body = F.concat(F.col("text"), F.lit(" "), _pick(PAYLOADS, doc % 23))
-    return table(spark, d, "documents").select(
+    return scan_table(spark, d, "documents").select(
         doc.alias("artifact_id"),
         F.concat(F.lit("model_"), doc.cast("string"), ext).alias("filename"),
         ext.alias("ext"),
@@ -254,7 +269,7 @@ def v_safetensors(spark: SparkSession, d: str) -> DataFrame:
                   doc.cast("string"), F.lit('"},"w":{"dtype":"F32"}}'))))
     size = F.octet_length("raw").cast("bigint")
     declared = F.when(doc % 11 == 0, size + 1000).when(doc % 11 == 4, F.lit(0).cast("bigint")).otherwise(size)
-    docs = computed_once(table(spark, d, "documents").select("doc_id", "text"), raw=F.encode(header, "UTF-8"))
+    docs = computed_once(scan_table(spark, d, "documents").select("doc_id", "text"), raw=F.encode(header, "UTF-8"))
     return computed_once(docs, declared=F.lpad(F.hex(declared), 16, "0")).select(
         doc.alias("artifact_id"),
         F.concat(F.lit("m_"), doc.cast("string"), F.lit(".safetensors")).alias("filename"),
@@ -271,7 +286,7 @@ def v_pickles(spark: SparkSession, d: str) -> DataFrame:
     module = _pick([m for m, _ in PICKLE_IMPORTS], doc % 6)
     name = _pick([n for _, n in PICKLE_IMPORTS], doc % 6)
     tail = F.when(doc % 7 == 0, F.lit(")R")).otherwise(")R.")
-    return table(spark, d, "documents").select(
+    return scan_table(spark, d, "documents").select(
         doc.alias("artifact_id"),
         F.concat(F.lit("m_"), doc.cast("string"), F.lit(".pkl")).alias("filename"),
         F.concat(F.unhex(F.lit("8002")), F.encode(F.concat(
@@ -286,7 +301,7 @@ def v_gguf(spark: SparkSession, d: str) -> DataFrame:
         return F.concat(_le_bytes(F.octet_length(raw).cast("bigint"), 8), raw)
 
     string_type = F.unhex(F.lit("08000000"))
-    return table(spark, d, "documents").select(
+    return scan_table(spark, d, "documents").select(
         doc.alias("artifact_id"),
         F.concat(F.lit("m_"), doc.cast("string"), F.lit(".gguf")).alias("filename"),
         F.concat(

@@ -10,7 +10,8 @@ from modelsieve.operators.intel import ITEM_SCHEMA
 RESPONSE_SCHEMA = f"vulnerabilities array<{ITEM_SCHEMA}>"
 
 
-def _items(responses: DataFrame) -> DataFrame:
+def items_of(responses: DataFrame) -> DataFrame:
+    """One row per item, numbered inside its response."""
     return responses.select("keyword", F.posexplode_outer("vulnerabilities").alias("pos", "item")).filter(
         "item is not null")
 
@@ -22,8 +23,8 @@ def read_cve_feed(spark: SparkSession, path: str) -> DataFrame:
     """
     responses = (spark.read.schema(RESPONSE_SCHEMA).option("multiLine", "true")
                  .option("recursiveFileLookup", "true").json(path)
-                 .withColumn("keyword", keyword_of(F.input_file_name())))
-    return _items(responses)
+                 .withColumn("keyword", keyword_of(F.col("_metadata.file_path"))))
+    return items_of(responses)
 
 
 def keyword_of(path):
@@ -32,5 +33,5 @@ def keyword_of(path):
 
 def parse_cve_responses(responses: DataFrame, col: str = "response") -> DataFrame:
     """The same rows from response texts held in a column next to ``keyword``."""
-    return _items(responses.select("keyword", F.from_json(col, RESPONSE_SCHEMA)["vulnerabilities"]
+    return items_of(responses.select("keyword", F.from_json(col, RESPONSE_SCHEMA)["vulnerabilities"]
                                    .alias("vulnerabilities")))

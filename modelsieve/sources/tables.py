@@ -65,7 +65,7 @@ def conform(df: DataFrame, name: str) -> DataFrame:
                        for f in schema_of(name)])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
@@ -78,7 +78,7 @@ def append_new(df: DataFrame, name: str, path: str, key: str, partition: str | N
     """
     spark = df.sparkSession
     rows = conform(df, name).dropDuplicates([key])
-    if _exists(spark, path):
+    if path_exists(spark, path):
         stored = read_table(spark, name, path)
         if partition:
             span = rows.agg(F.min(partition), F.max(partition)).first()
