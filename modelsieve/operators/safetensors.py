@@ -78,7 +78,9 @@ def safetensors_header(df: DataFrame) -> DataFrame:
     tensors = F.size(F.array_except(keys, F.array(F.lit("__metadata__"))))
     meta = F.from_json(F.get_json_object("header", "$.__metadata__"), "map<string,string>")
     return h.withColumn("status", status).select(
-        "artifact_id", "status", F.col("header_len").cast("bigint").alias("header_len"),
+        "artifact_id", "status",
+        # lengths beyond a bigint are shown as its largest value
+        F.least(F.col("header_len"), F.lit((1 << 63) - 1).cast("decimal(20,0)")).cast("bigint").alias("header_len"),
         F.when(F.col("status") == "ok", tensors).alias("n_tensors"),
         F.when(F.col("status") == "ok", F.coalesce(meta, F.create_map().cast("map<string,string>")))
          .alias("metadata"))

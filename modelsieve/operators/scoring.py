@@ -108,12 +108,13 @@ def threat_pages(findings: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     further pages, so no array, task or row grows with one artifact.
     """
     named = findings.select(
-        "artifact_id", "ordinal",
+        "artifact_id", "ordinal", "severity",
         F.coalesce("pattern_id", "type", F.lit("unknown")).alias("pattern"),
-        F.coalesce("severity", F.lit("low")).alias("severity"),
         F.coalesce("desc", F.lit("")).alias("description"),
         F.coalesce("category", F.lit("unknown")).alias("category"))
-    ranked = rank_findings(named, ties=["pattern", "description"])
+    # a missing severity ranks last but is shown as low
+    ranked = rank_findings(named, ties=["pattern", "description"]).withColumn(
+        "severity", F.coalesce("severity", F.lit("low")))
     return (ranked.groupBy("artifact_id", F.floor((F.col("rank") - 1) / page_size).cast("int").alias("page"))
             .agg(F.sort_array(F.collect_list(
                 F.struct("rank", "pattern", "severity", "description", "category"))).alias("threats")))

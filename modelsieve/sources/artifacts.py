@@ -33,7 +33,8 @@ _BLANK = b" \t\n\r\x0b\x0c"
 def artifact_manifest(spark: SparkSession, root: str, exts=DEFAULT_EXTENSIONS) -> DataFrame:
     """(path, filename, ext, length, modified) of the files below ``root``.
 
-    ``content`` is not selected, so the file bytes are never read.
+    ``content`` is not selected, so the file bytes are never read. Spark lists no
+    empty files; those are refused at upload anyway.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return describe_files(files, exts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelsieve.operators.intel import ITEM_SCHEMA
@@ -27,8 +27,9 @@ def read_cve_feed(spark: SparkSession, path: str) -> DataFrame:
     return items_of(responses)
 
 
-def keyword_of(path):
-    return F.url_decode(F.regexp_extract(path, r"keyword=([^/]*)/", 1))
+def keyword_of(path: Column) -> Column:
+    """Keyword in a file URI; the folder may hold it plain or percent-encoded."""
+    return F.url_decode(F.url_decode(F.regexp_extract(path, r"keyword=([^/]*)/", 1)))
 
 
 def parse_cve_responses(responses: DataFrame, col: str = "response") -> DataFrame:
