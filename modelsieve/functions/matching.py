@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelsieve.functions.once import computed_once
+from modelsieve.session import bound_arrow_batches
 
 CHUNK_COLUMNS = ["artifact_id", "chunk_no", "base_offset", "own_start", "own_len", "file_len", "content"]
 
@@ -76,6 +77,7 @@ def with_candidates(chunks: DataFrame, rules: Sequence[Rule], out: str = "_rules
     Only substring search: the folded text is computed once per chunk, and only
     when some rule ignores case.
     """
+    bound_arrow_batches(chunks.sparkSession)
     tests = []
     for k, rule in enumerate(rules):
         if rule.anchor is None:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modelsieve.session import bound_arrow_batches
+
 # Struct codes of the scalar value types; 7 bool, 8 string, 9 array.
 SCALARS = {0: "<B", 1: "<b", 2: "<H", 3: "<h", 4: "<I", 5: "<i", 6: "<f", 10: "<Q", 11: "<q", 12: "<d"}
 BOOL, STRING, ARRAY = 7, 8, 9
@@ -127,6 +129,7 @@ def gguf_metadata(df: DataFrame, layout: str = "u64") -> DataFrame:
 
     The header sits at the front, so pass the leading bytes of large files.
     """
+    bound_arrow_batches(df.sparkSession)
     key_type = df.schema["artifact_id"].dataType.simpleString()
     arrow_key = pa.field("artifact_id", pa.string() if key_type == "string" else pa.int64())
 

@@ -26,7 +26,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark, name)}/{name}"
-    df.write.parquet(path)
+    # many read tasks hold few rows each: rebalance to files of sensible size,
+    # which also cuts partitions that grew too large
+    df.hint("rebalance").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

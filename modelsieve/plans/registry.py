@@ -606,7 +606,7 @@ def scan_events(spark, d):
 
 @query
 def webhook_fanout(spark, d):
-    return notify.webhook_fanout(_scan_events(spark, d), v.v_webhook_subs(spark, d)).select(
+    return notify.webhook_fanout(v.spread_small(_scan_events(spark, d)), v.v_webhook_subs(spark, d)).select(
         "scan_id", "subscription_id", "event_type", "payload", "signature")
 
 

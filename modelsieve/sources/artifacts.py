@@ -101,6 +101,22 @@ class _Prefix:
         return self.handle.tell()
 
 
+BYTES_PER_TASK = 256 * MIB
+
+
+def spread_reads(files: DataFrame, bytes_col: Column, *keys: str) -> DataFrame:
+    """Repartition read orders so that a task reads about ``BYTES_PER_TASK``.
+
+    The orders are tiny next to the bytes they stand for, so the count must be
+    set from those bytes: left to AQE, all orders would be merged into one task.
+    The sum reads only the listing.
+    """
+    spark = files.sparkSession
+    total = files.agg(F.sum(bytes_col)).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(total) // BYTES_PER_TASK))
+    return files.repartition(tasks, *keys)
+
+
 def _read_range(handle, base: int, size: int, limit: int) -> tuple[int, bytes]:
     """Bytes of one chunk with shared context; returns (context length, bytes).
 
@@ -124,7 +140,7 @@ def _read_range(handle, base: int, size: int, limit: int) -> tuple[int, bytes]:
     return base - first, bytes(data)
 
 
-def artifact_chunks(manifest: DataFrame, limit: int, chunk: int = CHUNK, partitions: int | None = None) -> DataFrame:
+def artifact_chunks(manifest: DataFrame, limit: int, chunk: int = CHUNK) -> DataFrame:
     """Chunk rows of the first ``limit`` bytes of every file.
 
     The ranges, not the bytes, are shuffled to spread them; the bytes are then
@@ -139,8 +155,8 @@ def artifact_chunks(manifest: DataFrame, limit: int, chunk: int = CHUNK, partiti
     ranges = (manifest.select(*keep, size.alias("file_len"))
               .withColumn("chunk_no", F.explode(F.sequence(
                   F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("file_len") / chunk) - 1, F.lit(0))))))
-    spread = ["path", "chunk_no"]
-    ranges = ranges.repartition(partitions, *spread) if partitions else ranges.repartition(*spread)
+    own_bytes = F.least(F.lit(chunk).cast("bigint"), F.col("file_len") - F.col("chunk_no") * chunk)
+    ranges = spread_reads(ranges, own_bytes, "path", "chunk_no")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +207,7 @@ def artifact_prefix(manifest: DataFrame, limit: int) -> DataFrame:
     For the detectors that need a header or a template whole. Small limits
     (format detection reads 100 bytes) make this a cheap pass.
     """
-    return _per_file(manifest, {"content": ("binary", pa.binary())},
+    return _per_file(manifest, limit, {"content": ("binary", pa.binary())},
                      lambda handle, row: {"content": handle.read(min(limit, row["length"]))})
 
 
@@ -204,13 +220,17 @@ def file_hashes(manifest: DataFrame) -> DataFrame:
             sha.update(block)
         return {"file_hash": sha.hexdigest()}
 
-    return _per_file(manifest, {"file_hash": ("string", pa.string())}, digest)
+    return _per_file(manifest, None, {"file_hash": ("string", pa.string())}, digest)
+
+
+def _read_bytes(limit: int | None) -> Column:
+    return F.col("length") if limit is None else F.least(F.col("length"), F.lit(limit).cast("bigint"))
 
 
-def _per_file(manifest: DataFrame, added: dict, work) -> DataFrame:
+def _per_file(manifest: DataFrame, limit: int | None, added: dict, work) -> DataFrame:
     keep = [c for c in ("artifact_id", "path", "filename", "ext", "length", "format", "file_hash")
             if c in manifest.columns and c not in added]
-    files = manifest.select(*keep).repartition("path")
+    files = spread_reads(manifest.select(*keep), _read_bytes(limit), "path")
     types = {"string": pa.string(), "bigint": pa.int64()}
     schema = pa.schema([(f.name, types[f.dataType.simpleString()]) for f in files.schema.fields]
                        + [(n, t) for n, (_, t) in added.items()] + [("error", pa.string())])
@@ -239,7 +259,7 @@ def _open_prefix(batch: pa.RecordBatch, i: int, limit: int):
 
 def pickle_ops_of_files(manifest: DataFrame, limit: int = READ_LIMIT["engine"]) -> DataFrame:
     """Opcode rows walked straight from the files, without holding a file in memory."""
-    files = manifest.select("artifact_id", "path", "length").repartition("path")
+    files = spread_reads(manifest.select("artifact_id", "path", "length"), _read_bytes(limit), "path")
     key = pa.field("artifact_id", pa.string())
     return files.mapInArrow(
         lambda batches: ops_batches(batches, lambda b, i: _open_prefix(b, i, limit), key),
@@ -248,7 +268,7 @@ def pickle_ops_of_files(manifest: DataFrame, limit: int = READ_LIMIT["engine"])
 
 def gguf_kv_of_files(manifest: DataFrame, limit: int = READ_LIMIT["inspector"], layout: str = "u64") -> DataFrame:
     """Key-value rows read straight from GGUF files."""
-    files = manifest.select("artifact_id", "path", "length").repartition("path")
+    files = spread_reads(manifest.select("artifact_id", "path", "length"), _read_bytes(limit), "path")
     key = pa.field("artifact_id", pa.string())
     return files.mapInArrow(
         lambda batches: kv_batches(batches, lambda b, i: _open_prefix(b, i, limit), key, layout),

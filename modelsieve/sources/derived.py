@@ -39,16 +39,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SMALL_TABLE = 256 << 20
 
 
-def scan_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table for work that costs far more per byte than a shuffle.
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small table over all cores, for work that costs far more than a shuffle.
 
-    A small file is often one row group, which a single task would have to scan
-    alone; tables below ``SMALL_TABLE`` bytes are therefore spread over all
-    cores. Larger tables have row groups enough and are never shuffled here.
+    A small file is often one row group, which a single task would have to work
+    through alone. Tables of ``SMALL_TABLE`` bytes or more have row groups
+    enough and are never shuffled here.
     """
-    df = table(spark, sf_dir, name)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
+
+
+def scan_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread_small(table(spark, sf_dir, name))
 
 
 def _pick(values: list[str | None], index: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Fixed values.
 TERMINAL = ("complete", "error")
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ABANDONED_AFTER_MS = 60 * 60 * 1000
 
 PROGRESS_SCHEMA = "scan_id string, stage string, progress int, timestamp timestamp, closed boolean"
@@ -88,6 +89,8 @@ def progress_state(events: DataFrame) -> DataFrame:
     shuffle, so one noisy scan does not fill a state task. ``abandoned`` closes
     scans that fell silent.
     """
+    # this operator needs a store with several columns per key
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     slim = events.select("scan_id", "stage", "progress", "timestamp", "seq")
     reduced = slim.mapInPandas(_newest_per_batch, slim.schema)
     return reduced.groupBy("scan_id").transformWithStateInPandas(

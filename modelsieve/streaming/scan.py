@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from modelsieve.plans.corpus import scan_files, scan_rows
+from modelsieve.plans.corpus import scan_files, scan_rows, stored
 from modelsieve.sources.artifacts import DEFAULT_EXTENSIONS, describe_files
 from modelsieve.sources.tables import append_new, append_results, read_table
 
@@ -31,7 +31,8 @@ def scan_batch(manifest: DataFrame, out: str, iocs_path: str | None = None) -> N
     spark = manifest.sparkSession
     iocs = read_table(spark, "ioc_records", iocs_path) if iocs_path else None
     scan = scan_files(spark, manifest, iocs)
-    append_results(scan_rows(scan, manifest), f"{out}/scans")
+    scan.results = stored(scan.results, "results")      # read twice below
+    append_results(stored(scan_rows(scan, manifest), "rows"), f"{out}/scans")
     # continuation pages of files with very many threats
     pages = (scan.results.filter("page > 0")
              .select(F.concat_ws("-", "artifact_id", "page").alias("scan_id"), "page", "threats"))
