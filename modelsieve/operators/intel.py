@@ -120,12 +120,10 @@ def pattern_catalog_active(patterns: DataFrame) -> DataFrame:
     """Active patterns, most detected first; the built-in list when there are none."""
     columns = ["pattern", "severity", "category", "description_en", "description_ar"]
     active = patterns.filter("is_active").select(*columns, "times_detected", F.lit("database").alias("source"))
-    builtin = patterns.sparkSession.createDataFrame(
-        BUILTIN_PATTERNS, ", ".join(f"{c} string" for c in columns)).coalesce(1).select(
-        *columns, F.lit(None).cast("bigint").alias("times_detected"), F.lit("builtin").alias("source"))
-    # one row saying whether any active pattern exists; 14 rows are tested against it
-    count = active.agg((F.count("*") == 0).alias("_none"))
-    fallback = builtin.join(F.broadcast(count), F.col("_none")).drop("_none")
+    # the count is one row; it unfolds into the built-in list only when it is zero
+    rows = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(columns, row)]) for row in BUILTIN_PATTERNS])
+    fallback = (active.agg(F.count("*").alias("n")).filter("n = 0").select(F.inline(rows))
+                .withColumns({"times_detected": F.lit(None).cast("bigint"), "source": F.lit("builtin")}))
     return active.unionByName(fallback).orderBy(F.desc_nulls_last("times_detected"), "pattern")
 
 

@@ -80,7 +80,8 @@ def safetensors_header(df: DataFrame) -> DataFrame:
     return h.withColumn("status", status).select(
         "artifact_id", "status",
         # lengths beyond a bigint are shown as its largest value
-        F.least(F.col("header_len"), F.lit((1 << 63) - 1).cast("decimal(20,0)")).cast("bigint").alias("header_len"),
+        F.when(F.col("header_len").isNotNull(), F.least(
+            F.col("header_len"), F.lit((1 << 63) - 1).cast("decimal(20,0)"))).cast("bigint").alias("header_len"),
         F.when(F.col("status") == "ok", tensors).alias("n_tensors"),
         F.when(F.col("status") == "ok", F.coalesce(meta, F.create_map().cast("map<string,string>")))
          .alias("metadata"))

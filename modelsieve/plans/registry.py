@@ -640,7 +640,9 @@ def scan_progress_state(spark, d):
 @query
 def live_stats(spark, d):
     totals = analytics.overview(v.v_scans(spark, d)).select("total_scans", "threats_found")
-    return totals.join(open_scans(v.v_progress(spark, d)))      # one row each
+    running = open_scans(v.v_progress(spark, d))
+    names = ["total_scans", "threats_found", "active_scans"]
+    return totals.unionByName(running, allowMissingColumns=True).agg(*[F.sum(c).alias(c) for c in names])
 
 
 @query
