@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modelsieve.functions.bands import band, severity_rank
 from modelsieve.functions.cvss import with_base_score
-from modelsieve.functions.ranking import rank_in_group
+from modelsieve.functions.ranking import BUCKET_SPAN, rank_in_group
 
 
 def cvss_base_score(df: DataFrame, metrics: str = "metrics", mode: str = "reference") -> DataFrame:
@@ -93,15 +93,15 @@ def final_verdict(df: DataFrame) -> DataFrame:
             .withColumn("is_safe", F.col("risk_score") < 30))
 
 
-def rank_findings(findings: DataFrame, ties: list[str] | None = None) -> DataFrame:
+def rank_findings(findings: DataFrame, ties: list[str] | None = None, span: int = BUCKET_SPAN) -> DataFrame:
     """Add ``rank``: severity first, then the order the findings were made in."""
-    return rank_in_group(findings, "artifact_id", severity_rank(F.col("severity")), "ordinal", ties=ties)
+    return rank_in_group(findings, "artifact_id", severity_rank(F.col("severity")), "ordinal", ties=ties, span=span)
 
 
 PAGE_SIZE = 10_000
 
 
-def threat_pages(findings: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+def threat_pages(findings: DataFrame, page_size: int = PAGE_SIZE, span: int = BUCKET_SPAN) -> DataFrame:
     """(artifact_id, page, threats): ranked threats in arrays of bounded length.
 
     No threat is dropped: artifacts with more than ``page_size`` findings get
@@ -113,14 +113,15 @@ def threat_pages(findings: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
         F.coalesce("desc", F.lit("")).alias("description"),
         F.coalesce("category", F.lit("unknown")).alias("category"))
     # a missing severity ranks last but is shown as low
-    ranked = rank_findings(named, ties=["pattern", "description"]).withColumn(
+    ranked = rank_findings(named, ties=["pattern", "category", "description"], span=span).withColumn(
         "severity", F.coalesce("severity", F.lit("low")))
     return (ranked.groupBy("artifact_id", F.floor((F.col("rank") - 1) / page_size).cast("int").alias("page"))
             .agg(F.sort_array(F.collect_list(
                 F.struct("rank", "pattern", "severity", "description", "category"))).alias("threats")))
 
 
-def assemble_results(artifacts: DataFrame, findings: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+def assemble_results(artifacts: DataFrame, findings: DataFrame, page_size: int = PAGE_SIZE,
+                     span: int = BUCKET_SPAN) -> DataFrame:
     """Result rows: score, level, status, summary, metadata, ranked threats.
 
     One row per artifact (``page`` 0); only artifacts with more than
@@ -128,7 +129,7 @@ def assemble_results(artifacts: DataFrame, findings: DataFrame, page_size: int =
     ``artifacts`` needs artifact_id, filename, ext, file_size and format.
     """
     scores = engine_risk(artifact_cvss(findings))
-    pages = threat_pages(findings, page_size)
+    pages = threat_pages(findings, page_size, span)
     base = artifacts.select("artifact_id", "filename", "ext", "file_size", "format")
     joined = (base.join(scores, "artifact_id", "left").join(pages, "artifact_id", "left")
               .withColumn("threats", F.transform(

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from modelsieve.operators.admission import format_of
 from modelsieve.operators.ioc import ioc_screen
-from modelsieve.operators.scoring import assemble_results
-from modelsieve.plans.dispatch import FINDING_COLUMNS, engine_findings
+from modelsieve.operators.literals import literal_presence
+from modelsieve.operators.scoring import assemble_results, final_verdict, inspector_risk, sdk_risk
+from modelsieve.plans.dispatch import FINDING_COLUMNS, engine_findings, inspector_findings
 from modelsieve.session import shared_dir
 from modelsieve.sources.artifacts import (READ_LIMIT, artifact_chunks, artifact_prefix, file_hashes,
-                                          pickle_ops_of_files, with_ids)
+                                          gguf_kv_of_files, pickle_ops_of_files, with_ids)
 
 FORMAT_HEAD = 100
 
@@ -91,3 +92,26 @@ def scan_rows(scan: CorpusScan, manifest: DataFrame) -> DataFrame:
                     "threats_found", F.col("metadata").alias("metadata_info"), F.lit("upload").alias("source_type"),
                     F.lit(True).alias("is_public"), F.col("modified").alias("created_at"),
                     F.lit("completed").alias("scan_status")))
+
+
+def sdk_scan(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(threats, results) of a folder under the SDK profile: literals in the first 10 MiB."""
+    files = with_ids(manifest)
+    chunks = artifact_chunks(files, READ_LIMIT["sdk"]).filter("error is null")
+    threats = stored(literal_presence(chunks, chunked=True), "threats")
+    scored = sdk_risk(files, threats).withColumns({"has_analysis": F.lit(False), "ai_verdict": F.lit(None).cast("string")})
+    return threats, final_verdict(scored).drop("has_analysis", "ai_verdict")
+
+
+def inspect_files(manifest: DataFrame, layout: str = "u64") -> tuple[DataFrame, DataFrame]:
+    """(findings, results) of a folder under the inspector profile, detectors chosen by extension."""
+    files = with_ids(manifest)
+    limit = READ_LIMIT["inspector"]
+    of = lambda *exts: files.filter(F.col("ext").isin(*exts))
+    tensors = artifact_prefix(of(".safetensors"), limit + 8).filter("error is null")
+    findings = stored(inspector_findings(
+        artifact_prefix(files.filter("ext <> '.safetensors'"), FORMAT_HEAD).filter("error is null"),
+        artifact_chunks(of(".pkl", ".pickle", ".pt", ".pth"), limit).filter("error is null"),
+        gguf_kv_of_files(of(".gguf"), limit, layout),
+        tensors.withColumn("file_len", F.col("length"))), "inspection")
+    return findings, inspector_risk(findings)

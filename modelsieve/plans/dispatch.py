@@ -143,25 +143,34 @@ def _engine_table(df: DataFrame) -> DataFrame:
         routed.filter("format = 'safetensors'"), chunked=False)
 
 
-def _inspector_table(df: DataFrame) -> DataFrame:
-    """Weighted findings (artifact_id, type, severity, pattern, hits, weight) by extension."""
-    df = whole_content(df.withColumn("_ext", extension(F.col("filename"))))
-    tensors, gguf = df.filter("_ext = '.safetensors'"), df.filter("_ext = '.gguf'")
-    pickles = df.filter("_ext in ('.pkl', '.pickle', '.pt', '.pth')")
+def inspector_findings(heads: DataFrame, pickle_chunks: DataFrame, kv: DataFrame, tensors: DataFrame) -> DataFrame:
+    """Weighted findings (artifact_id, type, severity, pattern, hits, weight).
+
+    ``heads`` hold at least the first 16 bytes of all but SafeTensors files,
+    ``pickle_chunks`` the bytes of the pickle family, ``kv`` decoded GGUF pairs and
+    ``tensors`` the headers of SafeTensors files.
+    """
     shape = lambda part, **named: part.select(
         "artifact_id", *[named.get(c, F.col(c) if c in part.columns else F.lit(None).cast(t)).cast(t).alias(c)
                          for c, t in (("type", "string"), ("severity", "string"), ("pattern", "string"),
                                       ("hits", "bigint"), ("weight", "double"))])
-    short = gguf.filter(F.octet_length("content") < 16)
+    short = heads.filter((extension(F.col("filename")) == ".gguf") & (F.octet_length("content") < 16))
     return union_all([
-        shape(magic_check(df.filter("_ext <> '.safetensors'"))),
-        shape(weighted_pattern_counts(pickles), type=F.lit("dangerous_pattern")),
-        shape(gguf_metadata_rules(gguf_metadata(gguf))),
+        shape(magic_check(heads)),
+        shape(weighted_pattern_counts(pickle_chunks), type=F.lit("dangerous_pattern")),
+        shape(gguf_metadata_rules(kv)),
         shape(short, type=F.lit("read_error"), severity=F.lit("suspicious"), weight=F.lit(5.0)),
         shape(safetensors_header_rules(tensors)),
         shape(metadata_rules(tensors).filter("profile = 'inspector'"))])
 
 
+def _inspector_table(df: DataFrame) -> DataFrame:
+    df = whole_content(df.withColumn("_ext", extension(F.col("filename"))))
+    return inspector_findings(
+        df.filter("_ext <> '.safetensors'"), df.filter("_ext in ('.pkl', '.pickle', '.pt', '.pth')"),
+        gguf_metadata(df.filter("_ext = '.gguf'")), df.filter("_ext = '.safetensors'"))
+
+
 def _sdk_table(df: DataFrame) -> DataFrame:
     return literal_presence(df)
 

@@ -70,8 +70,7 @@ VIEWS: dict[str, str] = {
                event_id % 10 <> 0 AS is_public, ts AS created_at FROM events)""",
     "v_findings": """
         SELECT l_orderkey AS artifact_id,
-               l_linenumber * 1000000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey,
-                   l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS ordinal,
+               ((l_linenumber::BIGINT * 10000000 + l_partkey) * 1000000 + l_suppkey) * 100 + l_quantity::BIGINT AS ordinal,
                p_type AS pattern, CASE WHEN l_returnflag <> 'R' THEN l_quantity / 5 END AS cvss_score,
                CASE WHEN l_quantity >= 45 THEN 'critical' WHEN l_quantity >= 35 THEN 'high'
                     WHEN l_quantity >= 20 THEN 'medium' ELSE 'low' END AS severity, l_linestatus AS category
@@ -82,7 +81,7 @@ VIEWS: dict[str, str] = {
                CASE c_mktsegment WHEN 'BUILDING' THEN 'pro' WHEN 'FURNITURE' THEN 'enterprise' ELSE 'free' END AS plan
         FROM customer""",
     "v_cves": f"""
-        SELECT 'CVE-2024-' || lpad(d.doc_id::VARCHAR, 6, '0') AS cve_id, substring(text, 1, 200) AS description,
+        SELECT 'CVE-2024-' || lpad(d.doc_id::VARCHAR, 6, '0') AS cve_id, text AS description,
                CASE WHEN l.doc_id IS NOT NULL THEN (d.doc_id % 101) / 10.0 END::DOUBLE AS cvss_score,
                CASE WHEN d.doc_id % 29 <> 0 THEN TIMESTAMP '2024-01-01' + to_days((d.doc_id % 365)::INT) END AS published_date,
                {pick(KEYWORDS, 'd.doc_id % 9')} AS affected_tech
@@ -91,7 +90,7 @@ VIEWS: dict[str, str] = {
     "v_feed_parsed": f"""
         SELECT {pick(KEYWORDS, 'k')} AS keyword, k AS kpos, doc_id AS pos,
                CASE WHEN doc_id % 31 = 0 THEN 'UNKNOWN' ELSE 'CVE-2025-' || lpad(doc_id::VARCHAR, 6, '0') END AS cve_id,
-               CASE WHEN lang = 'en' THEN substring(text, 1, 80) ELSE 'No description available.' END AS description,
+               CASE WHEN lang = 'en' THEN text ELSE 'No description available.' END AS description,
                CASE WHEN doc_id % 4 <> 3 THEN (doc_id % 101) / 10.0 END::DOUBLE AS cvss_score,
                CASE WHEN doc_id % 29 <> 0 THEN TIMESTAMP '2025-01-01' + to_days((doc_id % 365)::INT) END AS published_date
         FROM (SELECT *, unnest([doc_id % 9, (doc_id + 4) % 9]) AS k FROM documents)""",
@@ -116,7 +115,7 @@ VIEWS: dict[str, str] = {
                     WHEN 3 THEN '{"__metadata__":[1],"w":{"dtype":"F32"}}'
                     ELSE '{"__metadata__":{"note":"' || note || '","url":"https://x.example/' || doc_id
                          || '"},"w":{"dtype":"F32"}}' END AS header
-        FROM (SELECT doc_id, regexp_replace(substring(text, 1, 60), '[^A-Za-z0-9 ]', '', 'g')
+        FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')
                      || CASE doc_id % 11 WHEN 6 THEN repeat('ab-', 3400)
                              WHEN 7 THEN ' eval (1) <script x> __import__ (' ELSE '' END AS note FROM documents))""",
     "v_pickles": f"""
@@ -210,7 +209,7 @@ ORACLE["sanitize_filename"] = r"""
     SELECT doc_id, coalesce(nullif(substring(regexp_replace(regexp_replace(base, '^[\s\v\x1c-\x1f\x85\p{Z}]+|[\s\v\x1c-\x1f\x85\p{Z}]+$', '', 'g'),
            '[\p{C}\p{Zl}\p{Zp}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', '', 'g'), 1, 500), ''), 'unknown') AS clean_name
     FROM (SELECT doc_id, regexp_extract(CASE WHEN doc_id % 13 = 0 THEN 'dir/  ' ELSE
-             '../a/ ' || substring(text, 1, 600) || chr(9) || chr(10) || doc_id || '.pkl ' END, '[^/]*$') AS base FROM documents)"""
+             '../a/ ' || text || chr(9) || chr(10) || doc_id || '.pkl ' END, '[^/]*$') AS base FROM documents)"""
 ORACLE["admit_extension"] = sql("""SELECT artifact_id, ext, ext <> '.onnx' AS admitted,
     CASE WHEN ext = '.onnx' THEN 'unsupported extension ''.onnx''' END AS reason FROM v_artifacts""", "v_artifacts")
 ORACLE["admit_url"] = f"""
@@ -411,7 +410,7 @@ for _key, _mode in (("cvss_base_score", "reference"), ("cvss_base_score_spec", "
         FROM (SELECT *, {cvss_columns(_mode)} AS cvss_score FROM metric_rows)""", "metric_rows")
 VIEWS["artifact_scores"] = """
     SELECT artifact_id, coalesce(max(cvss_score) FILTER (cvss_score > 0), 0.0) AS cvss_score,
-           coalesce(arg_max(severity, cvss_score * 100000000 - ordinal) FILTER (cvss_score > 0), 'None') AS severity,
+           coalesce(first(severity ORDER BY cvss_score DESC, ordinal) FILTER (cvss_score > 0), 'None') AS severity,
            count(*) AS threats_found FROM v_findings GROUP BY 1"""
 DEPENDS["artifact_scores"] = ["v_findings"]
 ORACLE["artifact_cvss"] = sql("SELECT * FROM artifact_scores", "artifact_scores")
@@ -443,11 +442,11 @@ ORACLE["final_verdict"] = sql(f"""
     SELECT scan_id, CASE WHEN ai_verdict IS NOT NULL THEN coalesce(nullif(ai_verdict, ''), 'UNKNOWN')
            ELSE {band_sql('risk_score', *VERDICT)} END AS verdict, risk_score < 30 AS is_safe FROM v_scans""", "v_scans")
 ORACLE["rank_findings"] = sql(f"""
-    SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY {SEV} DESC, ordinal) AS rank, ordinal,
+    SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY {SEV} DESC, ordinal, pattern, category, cvss_score NULLS FIRST) AS rank, ordinal,
            severity, pattern FROM v_findings""", "v_findings")
 VIEWS["ranked"] = f"""
     SELECT *, coalesce(CASE WHEN category = 'O' THEN 'O' END, 'unknown') AS cat,
-           row_number() OVER (PARTITION BY artifact_id ORDER BY {SEV} DESC, ordinal) AS rank FROM v_findings"""
+           row_number() OVER (PARTITION BY artifact_id ORDER BY {SEV} DESC, ordinal, pattern, cat) AS rank FROM v_findings"""
 VIEWS["result_rows"] = f"""
     SELECT o_orderkey AS artifact_id, 'model_' || o_orderkey || '.pkl' AS filename, floor(o_totalprice)::BIGINT AS file_size,
            least(coalesce(trunc(s.cvss_score * 10)::BIGINT, 0), 100) AS risk_score, coalesce(threats_found, 0) AS threats_found,
@@ -534,8 +533,8 @@ ORACLE["scan_detail"] = sql("""
            created_at, CASE WHEN s.scan_id IS NOT NULL THEN coalesce(nullif(ai_verdict, ''), 'UNKNOWN') END AS verdict,
            CASE WHEN s.scan_id IS NOT NULL THEN coalesce(ai_confidence, 0) END::BIGINT AS confidence
     FROM orders LEFT JOIN v_scans s ON o_orderkey::VARCHAR = s.scan_id""", "v_scans")
-for _name, _days in (("7d", 7), ("90d", 90)):
-    ORACLE[f"daily_trend_{_name}"] = sql(f"""
+for _name, _days in (("daily_trend", 7), ("daily_trend_90d", 90)):
+    ORACLE[_name] = sql(f"""
         SELECT strftime(d, '%Y-%m-%d') AS date, count(*) FILTER (risk_level IN ('clean', 'suspicious')) AS safe,
                count(*) FILTER ({_BAD}) AS threats
         FROM (SELECT unnest(generate_series(DATE '2024-01-20' - {_days}, DATE '2024-01-20', INTERVAL 1 DAY))::DATE AS d)
@@ -619,7 +618,7 @@ VIEWS["last_stage"] = f"""
 ORACLE["scan_progress_state"] = sql("SELECT * FROM last_stage", "last_stage")
 ORACLE["live_stats"] = sql(f"""SELECT count(*) AS total_scans, count(*) FILTER ({_BAD}) AS threats_found,
     (SELECT count(*) FROM last_stage WHERE NOT closed) AS active_scans FROM v_scans""", "v_scans", "last_stage")
-ORACLE["rate_limit_audit_windows"] = """
+ORACLE["rate_limit_audit"] = """
     SELECT window_start, ip, endpoint, requests, requests - 1 AS over FROM (
         SELECT date_trunc(CASE WHEN event_type = 'signup' THEN 'hour' ELSE 'minute' END, ts)::TIMESTAMP AS window_start,
                '10.0.0.' || user_id % 40 AS ip, CASE WHEN event_type IN ('click', 'view') THEN 'scan_file'

@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from modelsieve.functions.matching import whole_content
 from modelsieve.operators import (admission, analytics, entropy, gguf, intel, ioc, literals, notify, onnx,
                                   pickles, safetensors, scoring, signatures, templates)
-from modelsieve.operators.analytics import daily_trend
 from modelsieve.plans.dispatch import scan_corpus
 from modelsieve.session import shared_dir
 from modelsieve.sources import artifacts as files
 from modelsieve.sources import derived as v
 from modelsieve.sources import exports, feeds, tables
+from modelsieve.streaming import ratelimits
 from modelsieve.streaming.progress import latest_stage, open_scans
-from modelsieve.streaming.ratelimits import rate_limit_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,7 +101,7 @@ def export_results_json(spark, d):
 
 @query
 def sanitize_filename(spark, d):
-    name = F.concat(F.lit("../a/ "), F.substring("text", 1, 600), F.lit("\t\n"), F.col("doc_id").cast("string"),
+    name = F.concat(F.lit("../a/ "), "text", F.lit("\t\n"), F.col("doc_id").cast("string"),
                     F.lit(".pkl "))
     name = F.when(F.col("doc_id") % 13 == 0, F.lit("dir/  ")).otherwise(name)
     docs = v.table(spark, d, "documents").select("doc_id", name.alias("filename"))
@@ -367,12 +366,12 @@ def final_verdict(spark, d):
     return scoring.final_verdict(scans).select("scan_id", "verdict", "is_safe")
 
 
-FINDING_TIES = ["pattern", "cvss_score", "category"]
+FINDING_TIES = ["pattern", "category", "cvss_score"]
 
 
 @query
 def rank_findings(spark, d):
-    return scoring.rank_findings(v.v_findings(spark, d), ties=FINDING_TIES).select(
+    return scoring.rank_findings(v.v_findings(spark, d), ties=FINDING_TIES, span=v.FINDING_SPAN).select(
         "artifact_id", "rank", "ordinal", "severity", "pattern")
 
 
@@ -386,7 +385,7 @@ def _results(spark, d, page_size=scoring.PAGE_SIZE) -> DataFrame:
         "artifact_id", "ordinal", F.col("pattern").alias("pattern_id"), F.lit("pattern_match").alias("type"),
         "severity", F.when(F.col("category") == "O", F.col("category")).alias("category"), "cvss_score",
         F.lit(None).cast("string").alias("desc"))
-    return scoring.assemble_results(orders, findings, page_size)
+    return scoring.assemble_results(orders, findings, page_size, v.FINDING_SPAN)
 
 
 @query
@@ -521,13 +520,13 @@ def scan_detail(spark, d):
 
 
 @query
-def daily_trend_7d(spark, d):
-    return daily_trend(v.v_scans(spark, d), "7d", NOW)
+def daily_trend(spark, d):
+    return analytics.daily_trend(v.v_scans(spark, d), "7d", NOW)
 
 
 @query
 def daily_trend_90d(spark, d):
-    return daily_trend(v.v_scans(spark, d), "90d", NOW)
+    return analytics.daily_trend(v.v_scans(spark, d), "90d", NOW)
 
 
 @query
@@ -646,6 +645,6 @@ def live_stats(spark, d):
 
 
 @query
-def rate_limit_audit_windows(spark, d):
+def rate_limit_audit(spark, d):
     limits = {"scan_file": (1, "1 minute"), "scan_url": (1, "1 minute"), "key_generate": (1, "1 hour")}
-    return rate_limit_audit(v.v_requests(spark, d), limits)
+    return ratelimits.rate_limit_audit(v.v_requests(spark, d), limits)

@@ -99,18 +99,20 @@ def v_scans(spark: SparkSession, d: str) -> DataFrame:
             .withColumn("risk_level", band(F.col("risk_score"), "engine")))
 
 
+FINDING_SPAN = 10 ** 13
+
+
 def v_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings from order lines.
 
-    ``ordinal`` numbers the lines inside (order, line number) and adds the line
-    number as the leading digits, so no window ever spans a whole order.
+    ``ordinal`` is spelled from line number, part, supplier and quantity, so no
+    window is needed to number an order's lines, however many it has. Lines that
+    agree in all of these tie and are ranked by the finding's own fields.
     """
-    keys = ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
-    within = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*keys)
     qty = F.col("l_quantity")
-    lines = (table(spark, d, "lineitem")
-             .withColumn("ordinal", F.col("l_linenumber").cast("bigint") * 1000000
-                         + F.row_number().over(within)))
+    ordinal = (((F.col("l_linenumber").cast("bigint") * 10 ** 7 + F.col("l_partkey")) * 10 ** 6
+                + F.col("l_suppkey")) * 100 + qty.cast("bigint"))
+    lines = table(spark, d, "lineitem").withColumn("ordinal", ordinal)
     parts = table(spark, d, "part").select("p_partkey", "p_type")
     return (lines.join(parts, lines.l_partkey == parts.p_partkey)
             .select(
@@ -142,7 +144,7 @@ def v_cves(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").select("doc_id", F.lit(True).alias("labelled"))
     return docs.join(labels, "doc_id", "left").select(
         F.concat(F.lit("CVE-2024-"), F.lpad(doc.cast("string"), 6, "0")).alias("cve_id"),
-        F.substring("text", 1, 200).alias("description"),
+        F.col("text").alias("description"),
         F.when(F.col("labelled"), (doc % 101) / 10).alias("cvss_score"),
         F.when(doc % 29 != 0, F.timestamp_add(
             "DAY", (doc % 365).cast("int"), F.lit("2024-01-01").cast("timestamp")))
@@ -162,7 +164,7 @@ def v_cve_feed(spark: SparkSession, d: str) -> DataFrame:
         F.when(doc % 29 == 0, F.lit("not a date"))
          .otherwise(F.concat(F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), (doc % 365).cast("int")),
                                            "yyyy-MM-dd"), F.lit("T00:00:00.000"))).alias("published"),
-        F.array(F.struct(F.col("lang").alias("lang"), F.substring("text", 1, 80).alias("value")))
+        F.array(F.struct(F.col("lang").alias("lang"), F.col("text").alias("value")))
          .alias("descriptions"),
         F.struct(F.when(doc % 4 == 0, entry).otherwise(none).alias("cvssMetricV31"),
                  F.when(doc % 4 == 1, entry).otherwise(none).alias("cvssMetricV30"),
@@ -261,7 +263,7 @@ def _le_bytes(number: Column, width: int) -> Column:
 
 def v_safetensors(spark: SparkSession, d: str) -> DataFrame:
     doc, payload = F.col("doc_id"), F.lit("https://x.example/")
-    note = F.regexp_replace(F.substring("text", 1, 60), r'[^A-Za-z0-9 ]', "")
+    note = F.regexp_replace("text", r'[^A-Za-z0-9 ]', "")
     note = F.when(doc % 11 == 6, F.concat(note, F.repeat(F.lit("ab-"), 3400))).otherwise(note)
     note = F.when(doc % 11 == 7, F.concat(note, F.lit(" eval (1) <script x> __import__ (")) ).otherwise(note)
     header = (F.when(doc % 11 == 1, F.lit('{"a": '))

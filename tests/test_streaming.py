@@ -6,12 +6,13 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from modelsieve.operators.notify import scan_events, webhook_fanout
-from modelsieve.plans.corpus import scan_files
+from modelsieve.plans.corpus import inspect_files, scan_files, sdk_scan
 from modelsieve.plans.registry import QUERIES
 from modelsieve.sources import derived as v
-from modelsieve.sources.artifacts import artifact_manifest
+from modelsieve.sources.artifacts import artifact_manifest, with_ids
 from modelsieve.sources.feeds import read_cve_feed
 from modelsieve.sources.tables import read_table
 from modelsieve.streaming.cve import cve_incremental
@@ -56,6 +57,24 @@ def test_corpus_scan(spark, tmp_path, iocs):
     assert scan.errors.count() == 0 and rows["evil.pkl"]["metadata"]["file_type"] == "pickle"
 
 
+def test_sdk_and_inspector_profiles_over_files(spark, tmp_path):
+    write(tmp_path / "in", FILES | {"short.gguf": b"GGU", "pre.pkl": b"\x80\x04 __reduce__ \xe9eval eval"})
+    manifest = artifact_manifest(spark, str(tmp_path / "in"))
+    threats, results = sdk_scan(manifest)
+    rows = {r["filename"]: (r["risk_score"], r["risk_level"], r["verdict"], r["is_safe"]) for r in results.collect()}
+    # evil.pkl holds "eval" only: 30 + 35
+    assert rows["evil.pkl"] == (65, "malicious", "DANGEROUS", False)
+    assert rows["ok.safetensors"] == (3, "clean", "SAFE", True) and rows["pre.pkl"][0] == 100
+    assert threats.filter("pattern = 'os.system'").count() == 1
+    findings, scored = inspect_files(manifest)
+    levels = {r["artifact_id"]: (r["risk_score"], r["risk_level"]) for r in scored.collect()}
+    named = {r["filename"]: levels[r["artifact_id"]] for r in with_ids(manifest).collect()}
+    assert named == {"evil.pkl": (15.0, "suspicious"), "ok.safetensors": (5.0, "clean"),
+                     "chat.gguf": (0.0, "clean"), "known.pt": (10.0, "clean"),
+                     "short.gguf": (35.0, "suspicious"), "pre.pkl": (55.0, "malicious")}
+    assert findings.filter("type = 'valid_magic'").count() == 3
+
+
 def test_stream_scan_appends_once(spark, tmp_path, iocs):
     src, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
     write(src, {k: FILES[k] for k in ("evil.pkl", "known.pt")})
@@ -71,7 +90,7 @@ def test_stream_scan_appends_once(spark, tmp_path, iocs):
 
 def slices(spark, df, folder, n, order):
     """Write ``df`` as ``n`` files in ``order``, one per later micro-batch."""
-    rows = df.withColumn("_s", F.ntile(n).over(v.Window.orderBy(order)))
+    rows = df.withColumn("_s", F.ntile(n).over(Window.orderBy(order)))
     for k in range(1, n + 1):
         rows.filter(F.col("_s") == k).drop("_s").coalesce(1).write.mode("append").parquet(str(folder))
         time.sleep(1.1)
