@@ -6,11 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+HEX_DIGITS = "0123456789ABCDEF"
+
+
 def _xor_pad(key_hex: Column, pad: int) -> Column:
-    return F.unhex(F.array_join(F.transform(
-        F.sequence(F.lit(0), F.lit(63)),
-        lambda i: F.lpad(F.hex(F.conv(F.substring(key_hex, i * 2 + 1, F.lit(2)), 16, 10)
-                               .cast("bigint").bitwiseXOR(F.lit(pad).cast("bigint"))), 2, "0")), ""))
+    """Every byte of a hex string combined with ``pad``, as binary: high and low
+    digits are translated apart and put together again."""
+    def combined(pattern: str, nibble: int) -> Column:
+        swapped = "".join(HEX_DIGITS[d ^ nibble] for d in range(16))
+        return F.split(F.translate(F.regexp_replace(key_hex, pattern, "$1"), HEX_DIGITS, swapped), "")
+
+    pairs = F.zip_with(combined("(.).", pad >> 4), combined(".(.)", pad & 15), lambda high, low: F.concat(high, low))
+    return F.unhex(F.array_join(pairs, ""))
 
 
 def hmac_pads(key: Column) -> Column:
