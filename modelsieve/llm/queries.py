@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from modelsieve.llm.op6_simhash import op6_simhash_pigeonring
+from modelsieve.llm.op7_secrets import op7_secret_automaton
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_pigeonring": op6_simhash_pigeonring,
+    "op7_secret_automaton": op7_secret_automaton,
 }
 
 ORACLE: dict[str, str] = {}
