@@ -439,6 +439,10 @@ def op7_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     rows = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter(found, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    base = joined(F.filter(found, lambda s: s["kind"].isin(*BASE)))
+
+    def of(*kinds: str) -> Column:
+        return F.filter(found, lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    base = joined(of(*BASE))
     return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), joined(found).alias("spans"))
