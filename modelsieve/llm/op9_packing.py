@@ -14,6 +14,7 @@ Only the pieces' numbers are shuffled, never texts or ids.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -38,12 +39,15 @@ SALTS = 256
 GAP = 0.001
 END = 2
 CACHED = 1 << 20
+#: Closing marks; the apostrophe is not among them, as it may join letters to a token.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class ChunkEncoder:
     """Token ids of many texts, encoding each distinct white-space chunk once.
 
-    Right for tokenizers whose pre-tokenizer never joins characters across ASCII white space and drops it.
+    Right for tokenizers whose pre-tokenizer never joins characters across white space and drops it, parts
+    letters from what follows them, and ignores the case of ASCII letters.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,27 +55,69 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        model = json.loads(self.tokenizer.to_str())["model"]
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)   # ids that end a word
+        if suffix := model.get("end_of_word_suffix"):
+            self.closing[[n for piece, n in model["vocab"].items() if piece.endswith(suffix)]] = True
+        self.parts: dict[str, bytes] = {}   # ids of folded words and of what follows them
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Put the ids of ``fresh`` into ``parts``; words of letters go many to a line."""
+        words = [w for w in fresh if w.isalpha()]
+        self._encode_each([w for w in fresh if not w.isalpha()])
+        lines = [words[k:k + 256] for k in range(0, len(words), 256)]
+        for k in range(0, len(lines), 64):
+            part = lines[k:k + 64]
+            for line, found in zip(part, self.tokenizer.encode_batch_fast([" ".join(x) for x in part], add_special_tokens=False)):
+                ids = np.array(found.ids, "<u4")
+                ends = [0, *((np.flatnonzero(self.closing[ids]) + 1) * 4).tolist()]
+                if len(ends) != len(line) + 1:  # some word became several
+                    self._encode_each(line)
+                    continue
+                data = ids.tobytes()
+                self.parts.update((w, data[a:b]) for w, a, b in zip(line, ends, ends[1:]))
+
+    def _encode_each(self, words: list[str]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.parts[word] = np.array(found.ids, "<u4").tobytes()
+
+    def _parted(self, chunks: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct parts, and for each chunk the numbers of its word and of its closing marks (0: none).
+
+        A chunk of letters and closing marks falls into these two; any other stays whole.
+        """
+        whole = pc.match_substring(chunks, "<|")  # perhaps a special token, which is not folded
+        folded = pc.if_else(whole, chunks, pc.ascii_lower(chunks))
+        heads = pc.utf8_rtrim(folded, characters=MARKS)
+        # The letter with a dot above is the only one whose lower case is two characters.
+        plain = pc.and_not(pc.and_not(pc.utf8_is_alpha(heads), whole), pc.match_substring(heads, "\u0130"))
+        heads = pc.if_else(plain, heads, folded).dictionary_encode()
+        names = ["", *heads.dictionary.to_pylist()]
+        sizes = pc.binary_length(folded).to_numpy() - pc.binary_length(heads.dictionary).to_numpy()[heads.indices.to_numpy()]
+        tails = np.zeros(len(chunks), np.int64)
+        numbers: dict[str, int] = {}
+        marked = np.flatnonzero(sizes)
+        for at, size, text in zip(marked.tolist(), sizes[marked].tolist(), folded.take(pa.array(marked)).to_pylist()):
+            tails[at] = numbers.setdefault(text[-size:], len(names) + len(numbers))
+        return [*names, *numbers], heads.indices.to_numpy() + 1, tails
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > CACHED:
-            self.known.clear()
-        fresh = [w for w in words if w not in self.known]
-        for k in range(0, len(fresh), 10_000):
-            part = fresh[k:k + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        encoded = [self.known[w] for w in words]
+        parts, heads, tails = self._parted(coded.dictionary)
+        if len(self.parts) + len(parts) > CACHED:
+            self.parts.clear()
+        known = self.parts
+        self._learn([p for p in parts if p not in known])
+        encoded = [known[p] for p in parts]
         ids = np.frombuffer(b"".join(encoded), "<u4")
-        sizes = np.array([len(e) // 4 for e in encoded], np.int64)
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
         firsts = np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy()
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            own = codes[a:b]
+            own = np.column_stack([heads[codes[a:b]], tails[codes[a:b]]]).reshape(-1)
+            own = own[sizes[own] > 0]
             n = sizes[own]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(n) else 0

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from modelsieve.llm.op10_quality import op10_quality_bayes
 from modelsieve.llm.op6_simhash import op6_simhash_pigeonring
 from modelsieve.llm.op7_secrets import op7_secret_automaton
 from modelsieve.llm.op8_outliers import op8_mcd_outliers
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_automaton": op7_secret_automaton,
     "op8_mcd_outliers": op8_mcd_outliers,
     "op9_packing_cutting_stock": op9_packing_cutting_stock,
+    "op10_quality_bayes": op10_quality_bayes,
 }
 
 ORACLE: dict[str, str] = {}

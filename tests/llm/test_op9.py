@@ -21,7 +21,8 @@ def test_chunks_encode_like_whole_texts(tokenizer):
     parts = ["Hello", "it's", " ", "\n", "\t\x0b\x0c ", "É", "é", "́x", "中文", "12", "<|endoftext|>", "!!", "ΑΣ", "  ", "İ", ""]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(300)]
     got = [x.tolist() for x in op.ChunkEncoder(op.default_tokenizer()).encode(pa.array(texts))]
-    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for text, ids in zip(texts, got, strict=True):
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
 def test_plan_covers_demand_exactly_and_is_near_the_bound():
