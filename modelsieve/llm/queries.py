@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from modelsieve.llm.op10_quality import op10_quality_bayes
+from modelsieve.llm.op4_epsilon_grid import op4_epsilon_grid_join
 from modelsieve.llm.op6_simhash import op6_simhash_pigeonring
 from modelsieve.llm.op7_secrets import op7_secret_automaton
 from modelsieve.llm.op8_outliers import op8_mcd_outliers
 from modelsieve.llm.op9_packing import op9_packing_cutting_stock
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_epsilon_grid_join": op4_epsilon_grid_join,
     "op6_simhash_pigeonring": op6_simhash_pigeonring,
     "op7_secret_automaton": op7_secret_automaton,
     "op8_mcd_outliers": op8_mcd_outliers,
