@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from modelsieve.llm.op1_arc import op1_arc_to_warc
 from modelsieve.llm.op10_quality import op10_quality_bayes
 from modelsieve.llm.op4_epsilon_grid import op4_epsilon_grid_join
 from modelsieve.llm.op6_simhash import op6_simhash_pigeonring
@@ -14,6 +15,7 @@ from modelsieve.llm.op8_outliers import op8_mcd_outliers
 from modelsieve.llm.op9_packing import op9_packing_cutting_stock
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_arc_to_warc": op1_arc_to_warc,
     "op4_epsilon_grid_join": op4_epsilon_grid_join,
     "op6_simhash_pigeonring": op6_simhash_pigeonring,
     "op7_secret_automaton": op7_secret_automaton,
