@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from modelsieve.llm.op1_arc import op1_arc_to_warc
 from modelsieve.llm.op10_quality import op10_quality_bayes
+from modelsieve.llm.op3_chat import op3_chat_events
 from modelsieve.llm.op4_epsilon_grid import op4_epsilon_grid_join
 from modelsieve.llm.op6_simhash import op6_simhash_pigeonring
 from modelsieve.llm.op7_secrets import op7_secret_automaton
@@ -16,6 +17,7 @@ from modelsieve.llm.op9_packing import op9_packing_cutting_stock
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_arc_to_warc": op1_arc_to_warc,
+    "op3_chat_events": op3_chat_events,
     "op4_epsilon_grid_join": op4_epsilon_grid_join,
     "op6_simhash_pigeonring": op6_simhash_pigeonring,
     "op7_secret_automaton": op7_secret_automaton,
