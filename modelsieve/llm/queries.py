@@ -10,6 +10,7 @@ from modelsieve.llm.op1_arc import op1_arc_to_warc
 from modelsieve.llm.op10_quality import op10_quality_bayes
 from modelsieve.llm.op3_chat import op3_chat_events
 from modelsieve.llm.op4_epsilon_grid import op4_epsilon_grid_join
+from modelsieve.llm.op5_wrapper import op5_wrapper_induction
 from modelsieve.llm.op6_simhash import op6_simhash_pigeonring
 from modelsieve.llm.op7_secrets import op7_secret_automaton
 from modelsieve.llm.op8_outliers import op8_mcd_outliers
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op3_chat_events": op3_chat_events,
     "op4_epsilon_grid_join": op4_epsilon_grid_join,
+    "op5_wrapper_induction": op5_wrapper_induction,
     "op6_simhash_pigeonring": op6_simhash_pigeonring,
     "op7_secret_automaton": op7_secret_automaton,
     "op8_mcd_outliers": op8_mcd_outliers,
