@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from modelsieve.llm.op1_arc import op1_arc_to_warc
 from modelsieve.llm.op10_quality import op10_quality_bayes
+from modelsieve.llm.op2_sentencepiece import op2_sentencepiece_n_best
 from modelsieve.llm.op3_chat import op3_chat_events
 from modelsieve.llm.op4_epsilon_grid import op4_epsilon_grid_join
 from modelsieve.llm.op5_wrapper import op5_wrapper_induction
@@ -18,6 +19,7 @@ from modelsieve.llm.op9_packing import op9_packing_cutting_stock
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_arc_to_warc": op1_arc_to_warc,
+    "op2_sentencepiece_n_best": op2_sentencepiece_n_best,
     "op3_chat_events": op3_chat_events,
     "op4_epsilon_grid_join": op4_epsilon_grid_join,
     "op5_wrapper_induction": op5_wrapper_induction,
