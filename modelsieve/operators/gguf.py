@@ -4,124 +4,198 @@ from __future__ import annotations
 
 import io
 import json
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelsieve.session import bound_arrow_batches
 
-# Struct codes of the scalar value types; 7 bool, 8 string, 9 array.
-SCALARS = {0: "<B", 1: "<b", 2: "<H", 3: "<h", 4: "<I", 5: "<i", 6: "<f", 10: "<Q", 11: "<q", 12: "<d"}
-BOOL, STRING, ARRAY = 7, 8, 9
-MAX_PAIRS, MAX_STRING, MAX_ITEMS = 50_000, 10 * (1 << 20), 10_000
+# Numpy codes of the scalar value types; 7 bool, 8 string, 9 array.
+SCALARS = {0: "<u1", 1: "<i1", 2: "<u2", 3: "<i2", 4: "<u4", 5: "<i4", 6: "<f4", 7: "?", 10: "<u8", 11: "<i8", 12: "<f8"}
+STRING, ARRAY = 8, 9
 MAGIC = b"GGUF"
+ITEMS_AT_ONCE = 1 << 16
 
 KV_SCHEMA = "version bigint, tensors bigint, pairs bigint, position int, key string, vtype int, value string"
 
 
-class _Reader:
-    """Little-endian reads. Cut-off values read as empty, zero or what is left."""
+class _Cursor:
+    """Reads and skips in a stream of known end; nothing is ever read past it."""
 
     def __init__(self, stream):
         self.stream = stream
+        here = stream.tell()
+        self.end = stream.seek(0, io.SEEK_END)
+        self.at = stream.seek(here)
 
-    def number(self, code: str):
-        """The number, or None when the file ends first."""
-        width = struct.calcsize(code)
-        data = self.stream.read(width)
-        return struct.unpack(code, data)[0] if len(data) == width else None
-
-    def text(self) -> str:
-        size = self.number("<Q")
-        if size is None:
-            return ""
-        if size > MAX_STRING:
-            self.stream.seek(size, io.SEEK_CUR)
-            return "<string too large to read>"
-        return self.stream.read(size).decode("utf-8", errors="replace")
-
-    def value(self, vtype: int):
-        if vtype == STRING:
-            return self.text()
-        if vtype == BOOL:
-            return bool(self.number("<B"))
-        if vtype in SCALARS:
-            return self.number(SCALARS[vtype]) or 0
-        if vtype == ARRAY:
-            inner, count = self.number("<I"), self.number("<Q")
-            if inner is None or count is None:
-                return []
-            items = [self.value(inner) for _ in range(min(count, MAX_ITEMS))]
-            self._skip(inner, count - len(items))
-            return items
-        return None
-
-    def _skip(self, vtype: int, count: int) -> None:
-        """Pass over the rest of a long array so that the next key reads right."""
-        if vtype in SCALARS or vtype == BOOL:
-            width = 1 if vtype == BOOL else struct.calcsize(SCALARS[vtype])
-            self.stream.seek(width * count, io.SEEK_CUR)
-            return
-        if vtype in (STRING, ARRAY):
-            for _ in range(count):
-                before = self.stream.tell()
-                self.value(vtype)
-                if self.stream.tell() == before:    # end of file
-                    return
-
-
-def _shown(value) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False)
+    def take(self, size: int) -> bytes:
+        data = self.stream.read(max(0, min(size, self.end - self.at)))
+        self.at += len(data)
+        return data
+
+    def skip(self, size: int) -> None:
+        self.at = self.stream.seek(min(self.end, self.at + size))
+
+    def whole(self, width: int) -> int | None:
+        """An unsigned number of ``width`` bytes, None where the file ends first."""
+        data = self.take(width)
+        return int.from_bytes(data, "little") if len(data) == width else None
+
+
+def _nested(cursor: _Cursor, on_run, on_open, on_close) -> None:
+    """Walk an array value, arrays inside it included, without recursion.
+
+    ``on_run(type, count)`` consumes items of a plain type; the walk ends with the file.
+    """
+    todo: list[tuple[int, int]] = [(ARRAY, 1)]
+    while todo:
+        kind, count = todo.pop()
+        if kind is None:
+            on_close()
+        elif kind != ARRAY:
+            on_run(kind, count)
+        elif count and cursor.at < cursor.end:
+            inner, size = cursor.whole(4), cursor.whole(8)
+            todo += [(ARRAY, count - 1), (None, 0)]
+            on_open()
+            if size is not None:
+                todo.append((inner, size))
+
+
+def _skip_value(cursor: _Cursor, vtype: int) -> None:
+    def run(kind: int, count: int) -> None:
+        if kind in SCALARS:
+            cursor.skip(np.dtype(SCALARS[kind]).itemsize * count)
+        elif kind == STRING:
+            while count and cursor.at < cursor.end:
+                cursor.skip(cursor.whole(8) or 0)
+                count -= 1
+
+    if vtype == ARRAY:
+        _nested(cursor, run, lambda: None, lambda: None)
+    else:
+        run(vtype, 1)
+
+
+def _read_value(cursor: _Cursor, vtype: int) -> str | None:
+    """The value as text: strings as they are, all else as JSON. What a cut-off file lacks is left out, a cut-off
+    number is 0. Unknown types have no value."""
+    pieces: list[str] = []
+    first = [True]
+
+    def add(text: str) -> None:
+        pieces.append(text if first[-1] else f", {text}")
+        first[-1] = False
+
+    def run(kind: int, count: int) -> None:
+        if kind in SCALARS:
+            width = np.dtype(SCALARS[kind]).itemsize
+            while count and cursor.at < cursor.end:
+                data = cursor.take(width * min(count, ITEMS_AT_ONCE))
+                items = np.frombuffer(data[:len(data) // width * width], SCALARS[kind]).tolist()
+                count -= max(1, len(items))
+                if items:
+                    add(json.dumps(items)[1:-1])
+        elif kind == STRING:
+            while count and cursor.at < cursor.end:
+                add(json.dumps(_text(cursor), ensure_ascii=False))
+                count -= 1
+
+    def opened() -> None:
+        add("[")
+        first.append(True)
+
+    def closed() -> None:
+        pieces.append("]")
+        first.pop()
+
+    if vtype == STRING:
+        return _text(cursor)
+    if vtype == ARRAY:
+        _nested(cursor, run, opened, closed)
+        return "".join(pieces) or "[]"
+    if vtype in SCALARS:
+        run(vtype, 1)
+        return "".join(pieces) or "0"
+    return None
+
+
+def _text(cursor: _Cursor) -> str:
+    return cursor.take(cursor.whole(8) or 0).decode("utf-8", errors="replace")
 
 
 def iter_kv(stream, layout: str = "u64") -> Iterator[tuple]:
-    """Key-value rows of one file, headed by version and counts.
+    """Key-value rows of one file, headed by version and counts, values whole.
 
     ``layout`` is the width of the two counts: ``u64`` (format version 2 on) or
     ``u32``. A file without readable pairs gives one row with a null key; a
     file without a readable header gives none. A repeated key keeps its place
     and takes its last value.
+
+    Values are passed over once to find each key's last place, then read one at a
+    time, so only keys and one value are held. Errors of the stream itself are raised.
     """
-    reader = _Reader(stream)
-    code = "<Q" if layout == "u64" else "<I"
-    stream.read(4)
-    version, tensors, pairs = reader.number("<I"), reader.number(code), reader.number(code)
+    cursor = _Cursor(stream)
+    width = 8 if layout == "u64" else 4
+    cursor.take(4)
+    version, tensors, pairs = cursor.whole(4), cursor.whole(width), cursor.whole(width)
     if pairs is None:
         return
-    found: dict[str, tuple] = {}
-    try:
-        for _ in range(min(pairs, MAX_PAIRS)):
-            key = reader.text()
-            vtype = reader.number("<I") if key else None
-            if vtype is None:
-                break
-            found[key] = (vtype, reader.value(vtype))
-    except (OverflowError, RecursionError, ValueError, OSError):
-        pass
+    places: dict[str, tuple[int, int]] = {}
+    left = pairs
+    while left and cursor.at < cursor.end:
+        key = _text(cursor)
+        vtype = cursor.whole(4) if key else None
+        if vtype is None:
+            break
+        places[key] = (vtype, cursor.at)
+        _skip_value(cursor, vtype)
+        left -= 1
     limit = (1 << 63) - 1
     head = (version, min(tensors, limit), min(pairs, limit))
-    for position, (key, (vtype, value)) in enumerate(found.items()):
-        yield (*head, position, key, min(vtype, (1 << 31) - 1), _shown(value))
-    if not found:
+    for position, (key, (vtype, place)) in enumerate(places.items()):
+        cursor.at = cursor.stream.seek(place)
+        yield (*head, position, key, min(vtype, (1 << 31) - 1), _read_value(cursor, vtype))
+    if not places:
         yield (*head, None, None, None, None)
 
 
-def kv_batches(batches, open_stream, key_field: pa.Field, layout: str):
+VALUES_PER_BATCH = 16 << 20
+
+
+def kv_batches(batches, open_stream, key_field: pa.Field, layout: str, errors: tuple = ()):
+    """Arrow batches of rows, bounded in characters; with ``errors`` (exception types) a last column tells why
+    a file could not be read to the end."""
     types = [pa.int64()] * 3 + [pa.int32(), pa.string(), pa.int32(), pa.string()]
     names = [part.split()[0] for part in KV_SCHEMA.split(", ")]
-    schema = pa.schema([key_field, *zip(names, types)])
+    schema = pa.schema([key_field, *zip(names, types)] + ([("error", pa.string())] if errors else []))
+    more = (None,) if errors else ()
+    rows: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        batch = pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        rows.clear()
+        return batch
+
     for batch in batches:
         keys = batch.column("artifact_id")
         for i in range(batch.num_rows):
-            with open_stream(batch, i) as stream:
-                rows = [(keys[i].as_py(), *kv) for kv in iter_kv(stream, layout)]
+            size = 0
+            try:
+                with open_stream(batch, i) as stream:
+                    for kv in iter_kv(stream, layout):
+                        rows.append((keys[i].as_py(), *kv, *more))
+                        size += len(kv[-1] or "")
+                        if size > VALUES_PER_BATCH:
+                            yield flush()
+                            size = 0
+            except errors as exc:
+                rows.append((keys[i].as_py(), *[None] * 7, str(exc)))
             if rows:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield flush()
 
 
 def gguf_metadata(df: DataFrame, layout: str = "u64") -> DataFrame:
@@ -156,7 +230,8 @@ def gguf_key_table(kv: DataFrame) -> DataFrame:
     """Corpus-wide use of each key: artifacts holding it and distinct values."""
     return (kv.filter("key is not null").groupBy("key", "vtype")
             .agg(F.countDistinct("artifact_id").alias("artifacts"),
-                 F.countDistinct("value").alias("distinct_values")))
+                 # digests: values may be many megabytes
+                 F.countDistinct(F.sha2("value", 256)).alias("distinct_values")))
 
 
 # Label and regex of the inspector's string rules, and weights.
@@ -184,7 +259,7 @@ def gguf_metadata_rules(kv: DataFrame) -> DataFrame:
     first = (kv.filter(F.contains(F.lower("key"), F.lit("chat_template")))
              .groupBy("artifact_id").agg(F.min_by("value", "position").alias("value"))
              .filter("value <> ''")
-             .select("artifact_id", F.lit(MAX_PAIRS).alias("position"),
+             .select("artifact_id", F.lit(None).cast("int").alias("position"),
                      F.lit("chat_template").alias("source"), "value"))
     rules = F.array(*[F.struct(
         F.lit(label).alias("pattern"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from modelsieve.session import bound_arrow_batches
 
-# Imports considered harmless.
+# Imports considered harmless, scores, vectors and the texts of findings below.
 SAFE_IMPORTS = [("numpy.core.multiarray", "_reconstruct"), ("numpy.core.multiarray", "scalar"),
                 ("numpy", "dtype"), ("collections", "OrderedDict"),
                 ("torch._utils", "_rebuild_tensor_v2")]
@@ -28,17 +28,23 @@ OPS_SCHEMA = "pos bigint, op string, arg string"
 
 
 def iter_ops(stream) -> Iterator[tuple[int, str, str | None]]:
-    """(pos, op, arg) of the opcodes the audit needs; a broken stream ends in MALFORMED."""
+    """(pos, op, arg) of the opcodes the audit needs; a broken stream ends in MALFORMED.
+
+    Errors of reading itself say nothing about the bytes and are raised.
+    """
     try:
         for opcode, arg, pos in pickletools.genops(stream):
             if opcode.name in KEPT:
                 yield pos, opcode.name, arg if opcode.name == "GLOBAL" else None
+    except (OSError, pa.ArrowException):
+        raise
     except Exception as exc:  # any error in untrusted bytes is itself the finding
-        yield 0, "MALFORMED", str(exc)[:500]
+        yield 0, "MALFORMED", str(exc)
 
 
-def ops_batches(batches, open_stream, key_field: pa.Field, rows_per_batch: int = 10_000):
-    """Arrow batches of opcode rows; ``open_stream(batch, i)`` gives row i's bytes."""
+def ops_batches(batches, open_stream, key_field: pa.Field, rows_per_batch: int = 10_000, errors: tuple = ()):
+    """Arrow batches of opcode rows; ``open_stream(batch, i)`` gives row i's bytes. Of ``errors`` (exception types)
+    one ends a file's rows with the op READ_ERROR."""
     schema = pa.schema([key_field, ("pos", pa.int64()), ("op", pa.string()), ("arg", pa.string())])
     rows: list[tuple] = []
 
@@ -49,12 +55,15 @@ def ops_batches(batches, open_stream, key_field: pa.Field, rows_per_batch: int =
     for batch in batches:
         keys = batch.column("artifact_id")
         for i in range(batch.num_rows):
-            with open_stream(batch, i) as stream:
-                for op in iter_ops(stream):
-                    rows.append((keys[i].as_py(), *op))
-                    if len(rows) >= rows_per_batch:
-                        yield flush()
-                        rows.clear()
+            try:
+                with open_stream(batch, i) as stream:
+                    for op in iter_ops(stream):
+                        rows.append((keys[i].as_py(), *op))
+                        if len(rows) >= rows_per_batch:
+                            yield flush()
+                            rows.clear()
+            except errors as exc:
+                rows.append((keys[i].as_py(), 0, "READ_ERROR", str(exc)))
     yield flush()
 
 

@@ -120,12 +120,12 @@ VIEWS: dict[str, str] = {
                              WHEN 7 THEN ' eval (1) <script x> __import__ (' ELSE '' END AS note FROM documents))""",
     "v_pickles": f"""
         SELECT doc_id AS artifact_id, 'm_' || doc_id || '.pkl' AS filename, module, name, doc_id % 7 = 0 AS cut,
-               5 + length(module) + length(name) AS close_at
-        FROM (SELECT doc_id, {pick([m for m, _ in PICKLE_IMPORTS], 'doc_id % 6')} AS module,
+               8 + n AS open_at, 11 + n + length(module) + length(name) AS close_at
+        FROM (SELECT doc_id, octet_length(encode(text)) AS n, {pick([m for m, _ in PICKLE_IMPORTS], 'doc_id % 6')} AS module,
                      {pick([n for _, n in PICKLE_IMPORTS], 'doc_id % 6')} AS name FROM documents)""",
     "v_gguf": f"""
         SELECT doc_id AS artifact_id, 'm_' || doc_id || '.gguf' AS filename, 'model-' || doc_id % 50 AS model,
-               {pick(PAYLOADS, 'doc_id % 23')} AS template FROM documents""",
+               {pick(PAYLOADS, 'doc_id % 23')} AS template, text FROM documents""",
     "signatures": "SELECT * FROM " + values(
         [(k, s.id, s.category, "(?i)" + s.regex, s.severity, *s.metrics, s.desc) for k, s in enumerate(SIGNATURES)],
         "position, id, category, regex, severity, av, ac, pr, ui, s, c, i, a, description"),
@@ -194,7 +194,7 @@ ORACLE: dict[str, str] = {}
 
 # ---- sources and sinks
 ORACLE["scan_store_read"] = sql("""SELECT scan_id, filename, file_size, risk_score, n_threats AS n, created_at
-    FROM v_scans WHERE risk_level = 'critical'""", "v_scans")
+    FROM v_scans""", "v_scans")
 ORACLE["scan_store_append"] = sql("""SELECT strftime(created_at, '%Y-%m-%d') AS scan_day, count(*) AS scans,
     sum(file_size)::BIGINT AS bytes FROM v_scans GROUP BY 1""", "v_scans")
 ORACLE["cve_feed_read"] = sql("""SELECT keyword, count(*) AS items,
@@ -316,7 +316,7 @@ VIEWS["metadata_rows"] = f"""
 DEPENDS["metadata_rows"] = ["header_rows"]
 ORACLE["metadata_rules"] = sql("SELECT * FROM metadata_rows", "metadata_rows")
 VIEWS["pickle_rows"] = """
-    SELECT artifact_id, 'unsafe_global' AS type, 'code_execution' AS category, 2::BIGINT AS "offset",
+    SELECT artifact_id, 'unsafe_global' AS type, 'code_execution' AS category, open_at::BIGINT AS "offset",
            CASE WHEN module IN ('os', 'sys', 'builtins') THEN 'high' ELSE 'medium' END AS severity,
            CASE WHEN module IN ('os', 'builtins') THEN 8.4 ELSE 5.5 END::DOUBLE AS cvss_score,
            'CVSS:3.1/AV:L/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H' AS cvss_vector, filename
@@ -333,12 +333,14 @@ ORACLE["pickle_unsafe_imports"] = sql("""SELECT module, name, count(DISTINCT art
 ORACLE["pickle_op_counts"] = sql("""SELECT artifact_id, 1::BIGINT AS global_count, 0::BIGINT AS stack_global_count,
     1::BIGINT AS reduce_count FROM v_pickles""", "v_pickles")
 ORACLE["gguf_metadata"] = sql("""
-    SELECT artifact_id, 3::BIGINT AS version, 0::BIGINT AS tensors, 2::BIGINT AS pairs, 0::BIGINT AS position,
+    SELECT artifact_id, 3::BIGINT AS version, 0::BIGINT AS tensors, 3::BIGINT AS pairs, 0::BIGINT AS position,
            'general.name' AS key, 8::BIGINT AS vtype, model AS value FROM v_gguf
-    UNION ALL SELECT artifact_id, 3, 0, 2, 1, 'tokenizer.chat_template', 8, template FROM v_gguf""", "v_gguf")
+    UNION ALL SELECT artifact_id, 3, 0, 3, 1, 'tokenizer.chat_template', 8, template FROM v_gguf
+    UNION ALL SELECT artifact_id, 3, 0, 3, 2, 'general.description', 8, text FROM v_gguf""", "v_gguf")
 ORACLE["gguf_key_table"] = sql("""
     SELECT 'general.name' AS key, 8::BIGINT AS vtype, count(*) AS artifacts, count(DISTINCT model) AS distinct_values FROM v_gguf
-    UNION ALL SELECT 'tokenizer.chat_template', 8, count(*), count(DISTINCT template) FROM v_gguf""", "v_gguf")
+    UNION ALL SELECT 'tokenizer.chat_template', 8, count(*), count(DISTINCT template) FROM v_gguf
+    UNION ALL SELECT 'general.description', 8, count(*), count(DISTINCT text) FROM v_gguf""", "v_gguf")
 VIEWS["gguf_rows"] = f"""
     SELECT artifact_id, source, 'chat_template_injection' AS type, 'malicious' AS severity, label AS pattern,
            len(regexp_extract_all(template, regex))::BIGINT AS hits, 20.0::DOUBLE AS weight, filename
@@ -511,7 +513,7 @@ ORACLE["pattern_catalog_active"] = sql("""SELECT pattern, severity, category, de
 ORACLE["pattern_catalog_fallback"] = ("SELECT pattern, severity, category, 'builtin' AS source FROM "
                                       + values([r[:3] for r in BUILTIN_PATTERNS], "pattern, severity, category"))
 ORACLE["pattern_detection_counts"] = sql("""SELECT p.pattern, count(f.pattern) AS times_detected FROM patterns p
-    LEFT JOIN (SELECT pattern FROM v_findings WHERE severity = 'critical') f ON p.pattern = f.pattern GROUP BY 1""",
+    LEFT JOIN v_findings f ON p.pattern = f.pattern GROUP BY 1""",
                                          "patterns", "v_findings")
 
 # ---- analytics

@@ -62,7 +62,7 @@ def scan_store_read(spark, d):
     path = shared_dir(spark, "store") + "/scans"
     tables.conform(v.v_scans(spark, d).withColumn("scan_date", F.to_date("created_at")), "scans").write.partitionBy(
         "scan_date").parquet(path)
-    return (tables.read_table(spark, "scans", path).filter("risk_level = 'critical'")
+    return (tables.read_table(spark, "scans", path)
             .select("scan_id", "filename", "file_size", "risk_score", F.size("threats").cast("bigint").alias("n"),
                     "created_at"))
 
@@ -484,7 +484,7 @@ def pattern_catalog_fallback(spark, d):
 
 @query
 def pattern_detection_counts(spark, d):
-    return intel.pattern_detection_counts(v.v_findings(spark, d).filter("severity = 'critical'"), _patterns(spark, d))
+    return intel.pattern_detection_counts(v.v_findings(spark, d), _patterns(spark, d))
 
 
 # ---- analytics ---------------------------------------------------------------
@@ -605,7 +605,7 @@ def scan_events(spark, d):
 
 @query
 def webhook_fanout(spark, d):
-    return notify.webhook_fanout(v.spread_small(_scan_events(spark, d)), v.v_webhook_subs(spark, d)).select(
+    return notify.webhook_fanout(_scan_events(spark, d).hint("rebalance"), v.v_webhook_subs(spark, d)).select(
         "scan_id", "subscription_id", "event_type", "payload", "signature")
 
 

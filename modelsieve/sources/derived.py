@@ -36,22 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns(zoned) if zoned else df
 
 
-SMALL_TABLE = 256 << 20
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small table over all cores, for work that costs far more than a shuffle.
-
-    A small file is often one row group, which a single task would have to work
-    through alone. Tables of ``SMALL_TABLE`` bytes or more have row groups
-    enough and are never shuffled here.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
-
-
 def scan_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small(table(spark, sf_dir, name))
+    """A table for work that costs far more than a shuffle, in even parts: one row group of texts is otherwise one task."""
+    return table(spark, sf_dir, name).hint("rebalance")
 
 
 def _pick(values: list[str | None], index: Column) -> Column:
@@ -294,8 +281,8 @@ def v_pickles(spark: SparkSession, d: str) -> DataFrame:
     return scan_table(spark, d, "documents").select(
         doc.alias("artifact_id"),
         F.concat(F.lit("m_"), doc.cast("string"), F.lit(".pkl")).alias("filename"),
-        F.concat(F.unhex(F.lit("8002")), F.encode(F.concat(
-            F.lit("c"), module, F.lit("\n"), name, F.lit("\n"), tail), "UTF-8")).alias("content"))
+        F.concat(F.unhex(F.lit("800258")), _le_bytes(F.octet_length("text").cast("bigint"), 4),
+                 F.encode(F.concat(F.col("text"), F.lit("0c"), module, F.lit("\n"), name, F.lit("\n"), tail), "UTF-8")).alias("content"))
 
 
 def v_gguf(spark: SparkSession, d: str) -> DataFrame:
@@ -311,11 +298,12 @@ def v_gguf(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("m_"), doc.cast("string"), F.lit(".gguf")).alias("filename"),
         F.concat(
             F.encode(F.lit("GGUF"), "UTF-8"), F.unhex(F.lit("03000000")),
-            _le_bytes(F.lit(0).cast("bigint"), 8), _le_bytes(F.lit(2).cast("bigint"), 8),
+            _le_bytes(F.lit(0).cast("bigint"), 8), _le_bytes(F.lit(3).cast("bigint"), 8),
             text_field(F.lit("general.name")), string_type,
             text_field(F.concat(F.lit("model-"), (doc % 50).cast("string"))),
             text_field(F.lit("tokenizer.chat_template")), string_type,
-            text_field(_pick(PAYLOADS, doc % 23))).alias("content"))
+            text_field(_pick(PAYLOADS, doc % 23)),
+            text_field(F.lit("general.description")), string_type, text_field(F.col("text"))).alias("content"))
 
 
 def v_responses(spark: SparkSession, d: str) -> DataFrame:
