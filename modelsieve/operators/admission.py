@@ -156,13 +156,14 @@ def magic_check(df: DataFrame) -> DataFrame:
 INSPECTOR_READ_LIMIT = 100 * MIB
 
 
-def advisories(df: DataFrame, size_col: str = "file_size") -> DataFrame:
-    """Score-free notes: pickle is unsafe by design, odd extension, read limit hit."""
+def advisories(df: DataFrame, limit: int | None = INSPECTOR_READ_LIMIT, size_col: str = "file_size") -> DataFrame:
+    """Score-free notes: pickle is unsafe by design, odd extension, and, where only the first ``limit`` bytes are read, that
+    limit hit."""
     ext = extension(F.col("filename"))
     note = lambda kind, severity: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"))
     notes = F.array(
         F.when(~ext.isin(".pkl", ".pickle", ".pt", ".pth"), note("extension_warning", "suspicious")),
         F.when(ext.isin(".pkl", ".pickle"), note("format_risk", "suspicious")),
-        F.when(F.col(size_col) >= INSPECTOR_READ_LIMIT, note("scan_limit", "clean")))
+        F.when(F.col(size_col) >= limit, note("scan_limit", "clean")) if limit is not None else F.lit(None))
     return (df.withColumn("_n", F.explode(F.filter(notes, lambda n: n.isNotNull())))
             .select("*", "_n.type", "_n.severity").drop("_n"))

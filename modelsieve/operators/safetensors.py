@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,33 @@ def _declared_length(content: Column) -> Column:
     return F.conv(big_endian, 16, 10).cast("decimal(20,0)")
 
 
+def _json_kind(value) -> str:
+    return {dict: "OBJECT", list: "ARRAY", str: "STRING", bool: "BOOLEAN", type(None): "VOID"}.get(type(value), "NUMBER")
+
+
+def parse_header(text: str) -> tuple[str | None, str | None, int | None, list[dict]]:
+    """(kind of the root, kind of the metadata, tensors, string values of the metadata) of a header of any size.
+
+    A header that is not JSON has no kind; metadata that is missing has none either.
+    """
+    try:
+        root = json.loads(text)
+    except (ValueError, RecursionError):
+        return None, None, None, []
+    if not isinstance(root, dict):
+        return _json_kind(root), None, None, []
+    meta = root.get("__metadata__")
+    known = _json_kind(meta) if "__metadata__" in root else None
+    entries = [{"key": k, "kind": _json_kind(v), "value": v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))}
+               for k, v in meta.items()] if isinstance(meta, dict) else []
+    return "OBJECT", known, len(root.keys() - {"__metadata__"}), entries
+
+
+_ENTRY = pa.struct([("key", pa.string()), ("kind", pa.string()), ("value", pa.string())])
+
+
 def with_header(df: DataFrame) -> DataFrame:
-    """(artifact_id, header_len, _present, header, _parsed, _kind, _meta_kind).
+    """(artifact_id, header_len, _present, header, _kind, _meta_kind, _tensors, _meta), the header parsed once per row.
 
     ``content`` needs only the bytes up to the end of the header; pass the file
     size as ``file_len`` when the content is cut.
@@ -52,15 +80,24 @@ def with_header(df: DataFrame) -> DataFrame:
     df = computed_once(df.select("artifact_id", "content", total.alias("_total")), header_len=length)
     present = F.col("header_len") <= F.col("_total") - 8
     raw = F.when(present, F.substring(F.col("content"), F.lit(9), F.col("header_len").cast("int")).cast("string"))
-    df = computed_once(df.withColumn("_present", F.coalesce(present, F.lit(False))), _text=raw).drop("content", "_total")
-    df = df.withColumn("header", F.when(F.is_valid_utf8("_text"), F.col("_text"))).drop("_text")
-    df = computed_once(df, _parsed=F.try_parse_json("header"))
-    return computed_once(df, _kind=F.schema_of_variant("_parsed"), _meta_kind=F.schema_of_variant(
-        F.try_variant_get("_parsed", "$.__metadata__", "variant")))
+    df = df.withColumn("_present", F.coalesce(present, F.lit(False))).withColumn("_text", raw)
+    df = df.select("artifact_id", "header_len", "_present", F.when(F.is_valid_utf8("_text"), F.col("_text")).alias("header"))
+
+    def parse(batches):
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            kinds, metas, tensors, entries = zip(*[(None, None, None, []) if t is None else parse_header(t) for t in texts]) if texts else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(kinds, pa.string()), pa.array(metas, pa.string()), pa.array(tensors, pa.int32()),
+                 pa.array(entries, pa.list_(_ENTRY))], names=[*batch.schema.names, "_kind", "_meta_kind", "_tensors", "_meta"])
+
+    kind = df.schema["artifact_id"].dataType.simpleString()
+    return df.mapInArrow(parse, f"artifact_id {kind}, header_len decimal(20,0), _present boolean, header string, _kind string, "
+                                "_meta_kind string, _tensors int, _meta array<struct<key:string,kind:string,value:string>>")
 
 
 def _is_object(kind: Column) -> Column:
-    return kind.startswith("OBJECT")
+    return kind == "OBJECT"
 
 
 def safetensors_header(df: DataFrame) -> DataFrame:
@@ -72,19 +109,16 @@ def safetensors_header(df: DataFrame) -> DataFrame:
     h = with_header(df)
     bad_meta = F.col("_meta_kind").isNotNull() & ~_is_object(F.col("_meta_kind"))
     status = (F.when(F.col("header_len").isNull(), "too_small")
-              .when(F.col("_parsed").isNull() | ~_is_object(F.col("_kind")) | bad_meta, "malformed")
+              .when(F.col("_kind").isNull() | ~_is_object(F.col("_kind")) | bad_meta, "malformed")
               .otherwise("ok"))
-    keys = F.json_object_keys("header")
-    tensors = F.size(F.array_except(keys, F.array(F.lit("__metadata__"))))
-    meta = F.from_json(F.get_json_object("header", "$.__metadata__"), "map<string,string>")
+    meta = F.map_from_entries(F.transform("_meta", lambda m: F.struct(m["key"], m["value"])))
     return h.withColumn("status", status).select(
         "artifact_id", "status",
         # lengths beyond a bigint are shown as its largest value
         F.when(F.col("header_len").isNotNull(), F.least(
             F.col("header_len"), F.lit((1 << 63) - 1).cast("decimal(20,0)"))).cast("bigint").alias("header_len"),
-        F.when(F.col("status") == "ok", tensors).alias("n_tensors"),
-        F.when(F.col("status") == "ok", F.coalesce(meta, F.create_map().cast("map<string,string>")))
-         .alias("metadata"))
+        F.when(F.col("status") == "ok", F.col("_tensors")).alias("n_tensors"),
+        F.when(F.col("status") == "ok", meta).alias("metadata"))
 
 
 def safetensors_header_rules(df: DataFrame) -> DataFrame:
@@ -94,29 +128,28 @@ def safetensors_header_rules(df: DataFrame) -> DataFrame:
     ``invalid_metadata_type`` and ``header_info`` go on to the text rules
     (``parsed`` is true for them).
     """
-    h = with_header(df)
+    return _header_state(with_header(df)).select("artifact_id", "type", "severity", "weight", "header", "parsed")
+
+
+def _header_state(h: DataFrame) -> DataFrame:
     n = F.col("header_len")
     bad_meta = (F.col("_meta_kind").isNotNull() & ~_is_object(F.col("_meta_kind"))
                 & (F.col("_meta_kind") != "VOID"))
     state = (F.when(n.isNull(), "invalid_header").when(n > MAX_HEADER, "oversized_header")
              .when(n == 0, "empty_header").when(~F.col("_present"), "truncated_header")
-             .when(F.col("_parsed").isNull(), "invalid_json")
+             .when(F.col("_kind").isNull(), "invalid_json")
              .when(~_is_object(F.col("_kind")), "invalid_header_type")
              .when(bad_meta, "invalid_metadata_type").otherwise("header_info"))
     facts = F.create_map(*[x for name, sev, w in HEADER_STATES for x in (
         F.lit(name), F.struct(F.lit(sev).alias("severity"), F.lit(w).alias("weight")))])
     return (computed_once(h, type=state).withColumn("_f", facts[F.col("type")])
-            .select("artifact_id", "type", "_f.severity", "_f.weight", "header",
-                    F.col("type").isin("invalid_metadata_type", "header_info").alias("parsed")))
+            .select("*", "_f.severity", "_f.weight", F.col("type").isin("invalid_metadata_type", "header_info").alias("parsed")).drop("_f"))
 
 
 def metadata_values(df: DataFrame) -> DataFrame:
     """(artifact_id, key, value): the string values of ``__metadata__``."""
-    h = with_header(df).filter(_is_object(F.col("_meta_kind"))).select(
-        "artifact_id", F.try_variant_get("_parsed", "$.__metadata__", "variant").alias("_meta"))
-    entries = h.lateralJoin(h.sparkSession.tvf.variant_explode(F.col("_meta").outer()))
-    return (entries.filter(F.schema_of_variant("value") == "STRING")
-            .select("artifact_id", "key", F.variant_get("value", "$", "string").alias("value")))
+    return (with_header(df).select("artifact_id", F.explode("_meta").alias("m")).filter("m.kind = 'STRING'")
+            .select("artifact_id", "m.key", "m.value"))
 
 
 def metadata_rules(df: DataFrame) -> DataFrame:
@@ -126,25 +159,30 @@ def metadata_rules(df: DataFrame) -> DataFrame:
     whole header text with occurrence counts, and over-long values. Over-long
     values are reported once each.
     """
-    values = text_entropy(metadata_values(df), "value")
+    h = _header_state(with_header(df))
+    # one row per value and one for the header text, from one pass over the headers
+    strings = F.transform(F.filter("_meta", lambda m: m["kind"] == "STRING"), lambda m: F.struct(m["key"].alias("key"), m["value"].alias("value")))
+    none = F.lit(None).cast("string")
+    text_row = F.when(F.col("parsed"), F.array(F.struct(none.alias("key"), F.col("header").alias("value")))).otherwise(F.array())
+    rows = h.select("artifact_id", F.inline(F.concat(
+        F.transform(strings, lambda m: F.struct(F.lit(False).alias("whole"), m["key"].alias("key"), m["value"].alias("value"))),
+        F.transform(text_row, lambda m: F.struct(F.lit(True).alias("whole"), m["key"].alias("key"), m["value"].alias("value"))))))
+    values = text_entropy(rows, "value")
     url = F.regexp_extract("value", ENGINE_URL, 0)
+    one = ~F.col("whole")
     finding = lambda prof, kind, sev, **kw: F.struct(
         F.lit(prof).alias("profile"), F.lit(kind).alias("type"), F.lit(sev).alias("severity"),
         kw.get("pattern", F.lit(None).cast("string")).alias("pattern"),
         kw.get("count", F.lit(1).cast("bigint")).alias("hits"),
         F.lit(kw.get("weight", 0.0)).alias("weight"),
         F.lit(kw.get("cvss")).cast("double").alias("cvss_score"))
-    from_values = values.select("artifact_id", "key", F.explode(F.array_compact(F.array(
-        F.when(F.col("flagged"), finding("engine", "high_entropy_metadata", "high", cvss=7.5)),
-        F.when(url != "", finding("engine", "suspicious_url_metadata", "medium", pattern=url, cvss=5.5)),
-        F.when(F.char_length("value") > LARGE_VALUE_CHARS, finding(
-            "inspector", "large_metadata_value", "suspicious", weight=LARGE_VALUE_WEIGHT)),
-    ))).alias("f")).select("artifact_id", "key", "f.*")
-    text = (safetensors_header_rules(df).filter("parsed")
-            .select("artifact_id", F.explode(F.array(*[
-                finding("inspector", "header_pattern", "malicious" if w >= 20 else "suspicious",
-                        pattern=F.lit(label), weight=w,
-                        count=F.regexp_count("header", F.lit(f"(?iu){regex}")).cast("bigint"))
-                for label, regex, w in TEXT_RULES])).alias("f"))
-            .select("artifact_id", F.lit(None).cast("string").alias("key"), "f.*").filter("hits > 0"))
-    return from_values.unionByName(text)
+    of_value = F.array_compact(F.array(
+        F.when(one & F.col("flagged"), finding("engine", "high_entropy_metadata", "high", cvss=7.5)),
+        F.when(one & (url != ""), finding("engine", "suspicious_url_metadata", "medium", pattern=url, cvss=5.5)),
+        F.when(one & (F.char_length("value") > LARGE_VALUE_CHARS), finding(
+            "inspector", "large_metadata_value", "suspicious", weight=LARGE_VALUE_WEIGHT))))
+    of_text = F.array(*[finding("inspector", "header_pattern", "malicious" if w >= 20 else "suspicious", pattern=F.lit(label), weight=w,
+                                count=F.regexp_count("value", F.lit(f"(?iu){regex}")).cast("bigint"))
+                        for label, regex, w in TEXT_RULES])
+    return (values.select("artifact_id", "key", F.explode(F.when(one, of_value).otherwise(F.filter(of_text, lambda f: f["hits"] > 0))).alias("f"))
+            .select("artifact_id", "key", "f.*"))

@@ -65,18 +65,21 @@ def sdk_risk(artifacts: DataFrame, threats: DataFrame) -> DataFrame:
 SAFETENSORS_FLOOR = 5.0
 
 
-def inspector_risk(findings: DataFrame) -> DataFrame:
+def inspector_risk(findings: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
     """Sum of weights held to 0..100.
 
     A SafeTensors header that was read to the end (``header_info`` or bad
-    metadata) without a malicious finding scores at least 5.
+    metadata) without a malicious finding scores at least 5. With ``artifacts`` (artifact_id)
+    every one of them has a row; without findings it scores 0.
     """
     sums = findings.groupBy("artifact_id").agg(
         F.sum("weight").alias("_sum"),
         F.bool_or(F.col("severity").isin("malicious", "critical")).alias("_bad"),
         F.bool_or(F.col("type").isin("header_info", "invalid_metadata_type")).alias("_read"))
+    if artifacts is not None:
+        sums = artifacts.select("artifact_id").join(sums, "artifact_id", "left")
     floor = F.when(F.col("_read") & ~F.col("_bad"), F.greatest(F.col("_sum"), F.lit(SAFETENSORS_FLOOR)))
-    score = F.greatest(F.least(F.coalesce(floor, F.col("_sum")), F.lit(100.0)), F.lit(0.0))
+    score = F.greatest(F.least(F.coalesce(floor, F.col("_sum"), F.lit(0.0)), F.lit(100.0)), F.lit(0.0))
     return (sums.select("artifact_id", score.alias("risk_score"))
             .withColumn("risk_level", band(F.col("risk_score"), "inspector")))
 
@@ -98,14 +101,11 @@ def rank_findings(findings: DataFrame, ties: list[str] | None = None, span: int
     return rank_in_group(findings, "artifact_id", severity_rank(F.col("severity")), "ordinal", ties=ties, span=span)
 
 
-PAGE_SIZE = 10_000
+def threat_pages(findings: DataFrame, page_size: int | None = None, span: int = BUCKET_SPAN) -> DataFrame:
+    """(artifact_id, page, threats): all ranked threats of an artifact in one array.
 
-
-def threat_pages(findings: DataFrame, page_size: int = PAGE_SIZE, span: int = BUCKET_SPAN) -> DataFrame:
-    """(artifact_id, page, threats): ranked threats in arrays of bounded length.
-
-    No threat is dropped: artifacts with more than ``page_size`` findings get
-    further pages, so no array, task or row grows with one artifact.
+    With ``page_size`` arrays are held to that length, and artifacts with more findings get further pages.
+    For work on single findings use the findings table: it has a row for each.
     """
     named = findings.select(
         "artifact_id", "ordinal", "severity",
@@ -115,18 +115,19 @@ def threat_pages(findings: DataFrame, page_size: int = PAGE_SIZE, span: int = BU
     # a missing severity ranks last but is shown as low
     ranked = rank_findings(named, ties=["pattern", "category", "description"], span=span).withColumn(
         "severity", F.coalesce("severity", F.lit("low")))
-    return (ranked.groupBy("artifact_id", F.floor((F.col("rank") - 1) / page_size).cast("int").alias("page"))
+    page = F.floor((F.col("rank") - 1) / page_size).cast("int") if page_size else F.lit(0)
+    return (ranked.groupBy("artifact_id", page.alias("page"))
             .agg(F.sort_array(F.collect_list(
                 F.struct("rank", "pattern", "severity", "description", "category"))).alias("threats")))
 
 
-def assemble_results(artifacts: DataFrame, findings: DataFrame, page_size: int = PAGE_SIZE,
-                     span: int = BUCKET_SPAN) -> DataFrame:
+def assemble_results(artifacts: DataFrame, findings: DataFrame, page_size: int | None = None,
+                     span: int = BUCKET_SPAN, errors: DataFrame | None = None) -> DataFrame:
     """Result rows: score, level, status, summary, metadata, ranked threats.
 
-    One row per artifact (``page`` 0); only artifacts with more than
-    ``page_size`` threats continue in rows with ``page`` 1, 2, ...
-    ``artifacts`` needs artifact_id, filename, ext, file_size and format.
+    One row per artifact (``page`` 0); only with ``page_size`` do artifacts with more threats continue in rows with
+    ``page`` 1, 2, ... Artifacts in ``errors`` (artifact_id, error) were not read to their end: their status is ``error``
+    and they have no score and no level, whatever was found in the rest. ``artifacts`` needs artifact_id, filename, ext, file_size and format.
     """
     scores = engine_risk(artifact_cvss(findings))
     pages = threat_pages(findings, page_size, span)
@@ -139,13 +140,20 @@ def assemble_results(artifacts: DataFrame, findings: DataFrame, page_size: int =
                       t["category"].alias("category")))))
     found = F.coalesce("threats_found", F.lit(0))
     score = F.coalesce("cvss_score", F.lit(0.0))
+    if errors is None:
+        joined = joined.withColumn("_error", F.lit(None).cast("string"))
+    else:
+        first = errors.groupBy(F.col("artifact_id").alias("_failed")).agg(F.min("error").alias("_error"))
+        joined = joined.join(first, joined["artifact_id"] == first["_failed"], "left")
+    read = F.col("_error").isNull()
     return joined.select(
         "artifact_id", "filename", F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce("risk_score", F.lit(0)).alias("risk_score"),
-        F.coalesce("risk_level", F.lit("clean")).alias("risk_level"),
-        F.when(found > 0, "danger").otherwise("safe").alias("status"),
+        F.when(read, F.coalesce("risk_score", F.lit(0))).alias("risk_score"),
+        F.when(read, F.coalesce("risk_level", F.lit("clean"))).alias("risk_level"),
+        F.when(~read, "error").when(found > 0, "danger").otherwise("safe").alias("status"),
         found.alias("threats_found"),
-        F.format_string("Analyzed %d bytes. Found %d potential threats.", F.col("file_size"), found).alias("details"),
+        F.when(read, F.format_string("Analyzed %d bytes. Found %d potential threats.", F.col("file_size"), found))
+         .otherwise(F.concat(F.lit("Not read to the end: "), "_error")).alias("details"),
         "threats",
         F.create_map(
             F.lit("file_size"), F.col("file_size").cast("string"), F.lit("extension"), F.col("ext"),

@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelsieve.operators.admission import format_of
+from modelsieve.operators.admission import advisories, format_of
 from modelsieve.operators.ioc import ioc_screen
 from modelsieve.operators.literals import literal_presence
 from modelsieve.operators.scoring import assemble_results, final_verdict, inspector_risk, sdk_risk
-from modelsieve.plans.dispatch import FINDING_COLUMNS, engine_findings, inspector_findings
+from modelsieve.plans.dispatch import FINDING_COLUMNS, READ_ERROR, engine_findings, inspector_findings
 from modelsieve.session import shared_dir
-from modelsieve.sources.artifacts import (READ_LIMIT, artifact_chunks, artifact_prefix, file_hashes,
-                                          gguf_kv_of_files, pickle_ops_of_files, with_ids)
+from modelsieve.sources.artifacts import (artifact_chunks, artifact_prefix, file_hashes, gguf_kv_of_files,
+                                          pickle_ops_of_files, safetensors_heads, template_blocks_of_files, with_ids)
 
 FORMAT_HEAD = 100
 
@@ -37,39 +37,47 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 class CorpusScan:
     files: DataFrame        # manifest with ids, format and hash
     findings: DataFrame
-    results: DataFrame      # result rows (see assemble_results), IOC hits included
-    errors: DataFrame       # files that could not be read
+    results: DataFrame      # one row per file (see assemble_results), IOC hits and files with errors included
+    errors: DataFrame       # (artifact_id, path, error) of every pass that could not read a file
 
 
 def scan_files(spark: SparkSession, manifest: DataFrame, iocs: DataFrame | None = None,
-               limit: int = READ_LIMIT["engine"]) -> CorpusScan:
-    """Engine-profile scan of the files of a manifest.
+               limit: int | None = None) -> CorpusScan:
+    """Engine-profile scan of the files of a manifest, whole files unless ``limit`` says otherwise.
 
     1. one pass hashes every file, 2. known-bad hashes are set aside before any
     detector runs, 3. the format is read from the first bytes, 4. chunk, opcode
     and header readers run only on the files of their format, 5. findings are
     stored once and scored from the stored table.
+
+    A file that any pass cannot read, or that is longer than ``limit``, is never clean: its status is ``error``
+    (``partial`` in the message of the latter) and it has no score.
     """
-    hashed = file_hashes(with_ids(manifest))
-    files = stored(hashed, "files")
-    broken = files.filter("error is not null")
+    files = stored(file_hashes(with_ids(manifest)), "files")
     sound = files.filter("error is null").drop("error")
     if iocs is None:
         iocs = spark.createDataFrame([], "file_hash string")
     hits, rest = ioc_screen(sound, iocs)
-    heads = artifact_prefix(rest, FORMAT_HEAD).withColumn(
-        "format", format_of(F.col("content"), F.col("filename"))).drop("content", "error")
-    routed = stored(heads, "routed")
-    of = lambda *formats: routed.filter(F.col("format").isin(*formats))
-    findings = stored(engine_findings(
-        artifact_chunks(routed, limit).filter("error is null"),
-        pickle_ops_of_files(of("pickle", "unknown"), limit),
-        artifact_prefix(of("gguf"), limit).filter("error is null"),
-        artifact_chunks(of("onnx"), limit).filter("error is null"),
-        artifact_prefix(of("safetensors"), limit).filter("error is null")
-        .withColumn("file_len", F.least(F.col("length"), F.lit(limit))),
-        chunked=True).select(*FINDING_COLUMNS), "findings")
-    results = assemble_results(routed.withColumn("file_size", F.col("length")), findings)
+    routed = stored(artifact_prefix(rest, FORMAT_HEAD).withColumn(
+        "format", format_of(F.col("content"), F.col("filename"))).drop("content"), "routed")
+    open_ = routed.filter("error is null").drop("error")
+    of = lambda *formats: open_.filter(F.col("format").isin(*formats))
+    seen = stored(engine_findings(
+        artifact_chunks(open_, limit), pickle_ops_of_files(of("pickle", "unknown"), limit),
+        template_blocks_of_files(of("gguf")), artifact_chunks(of("onnx"), limit).filter("error is null"),
+        safetensors_heads(of("safetensors")), chunked=True).select(*FINDING_COLUMNS), "findings")
+    findings = seen.filter(F.col("type") != READ_ERROR)
+    path = routed.select("artifact_id", "path")
+    errors = (files.filter("error is not null").select("artifact_id", "path", "error")
+              .unionByName(routed.filter("error is not null").select("artifact_id", "path", "error"))
+              .unionByName(seen.filter(F.col("type") == READ_ERROR).select("artifact_id", F.col("desc").alias("error"))
+                           .distinct().join(path, "artifact_id")))
+    if limit is not None:
+        errors = errors.unionByName(routed.filter(F.col("length") > limit).select(
+            "artifact_id", "path", F.format_string("partial: %d of %d bytes were scanned", F.lit(limit), F.col("length")).alias("error")))
+    unread = files.filter("error is not null").select(*[c for c in routed.columns if c not in ("format", "error")], F.lit("unknown").alias("format"))
+    scanned = routed.drop("error").unionByName(unread, allowMissingColumns=True)
+    results = assemble_results(scanned.withColumn("file_size", F.col("length")), findings, errors=errors)
     known = hits.select(
         "artifact_id", "filename", F.lit(0).alias("page"), "risk_score", "risk_level",
         F.lit("danger").alias("status"), F.lit(1).cast("bigint").alias("threats_found"),
@@ -78,40 +86,67 @@ def scan_files(spark: SparkSession, manifest: DataFrame, iocs: DataFrame | None
          .alias("threats"),
         F.create_map(F.lit("file_size"), F.col("length").cast("string"), F.lit("extension"), F.col("ext"),
                      F.lit("threats_found"), F.lit("1"), F.lit("ioc_hit"), F.lit("true")).alias("metadata"))
-    failed = broken.select("artifact_id", "path", "error")
-    return CorpusScan(files, findings, results.unionByName(known), failed)
+    return CorpusScan(files, findings, results.unionByName(known), errors)
 
 
 def scan_rows(scan: CorpusScan, manifest: DataFrame) -> DataFrame:
-    """Rows for the scan table: first pages, with file facts and the scan time of the file."""
+    """Rows for the scan table, with file facts and the scan time of the file; unread files have ``scan_status`` error."""
     facts = with_ids(manifest).select("artifact_id", "length", "ext", "modified")
-    return (scan.results.filter("page = 0").join(facts, "artifact_id")
+    return (scan.results.join(facts, "artifact_id")
             .join(scan.files.select("artifact_id", "file_hash"), "artifact_id")
             .select(F.col("artifact_id").alias("scan_id"), "filename", F.col("length").alias("file_size"),
                     F.col("ext").alias("file_extension"), "file_hash", "risk_score", "risk_level", "threats",
                     "threats_found", F.col("metadata").alias("metadata_info"), F.lit("upload").alias("source_type"),
                     F.lit(True).alias("is_public"), F.col("modified").alias("created_at"),
-                    F.lit("completed").alias("scan_status")))
+                    F.when(F.col("status") == "error", "error").otherwise("completed").alias("scan_status")))
+
+
+def _with_errors(results: DataFrame, failed: DataFrame, unknown: dict[str, str]) -> DataFrame:
+    """Add ``error``; in rows of ``failed`` (artifact_id, error) the columns of ``unknown`` become null (or what it says)."""
+    first = failed.groupBy(F.col("artifact_id").alias("_failed")).agg(F.min("error").alias("error"))
+    met = results.join(first, results["artifact_id"] == first["_failed"], "left").drop("_failed")
+    kinds = {f.name: f.dataType for f in results.schema}
+    return met.withColumns({c: F.when(F.col("error").isNull(), F.col(c)).otherwise(F.lit(v).cast(kinds[c])) for c, v in unknown.items()})
+
 
+def sdk_scan(manifest: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(threats, results) of a folder under the SDK profile: literals in whole files, or their first ``limit`` bytes.
 
-def sdk_scan(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(threats, results) of a folder under the SDK profile: literals in the first 10 MiB."""
+    A file that cannot be read has an ``error``, the verdict UNKNOWN and no score.
+    """
     files = with_ids(manifest)
-    chunks = artifact_chunks(files, READ_LIMIT["sdk"]).filter("error is null")
-    threats = stored(literal_presence(chunks, chunked=True), "threats")
+    chunks = artifact_chunks(files, limit)
+    seen = stored(literal_presence(chunks.filter("error is null"), chunked=True).withColumn("error", F.lit(None).cast("string"))
+                  .unionByName(chunks.filter("error is not null").select("artifact_id", "error").distinct(), allowMissingColumns=True), "threats")
+    threats = seen.filter("error is null").drop("error")
     scored = sdk_risk(files, threats).withColumns({"has_analysis": F.lit(False), "ai_verdict": F.lit(None).cast("string")})
-    return threats, final_verdict(scored).drop("has_analysis", "ai_verdict")
+    results = final_verdict(scored).drop("has_analysis", "ai_verdict")
+    failed = seen.filter("error is not null").select("artifact_id", "error").distinct()
+    return threats, _with_errors(results, failed, {"risk_score": None, "risk_level": None, "verdict": "UNKNOWN", "is_safe": False})
+
 
+def inspect_files(manifest: DataFrame, layout: str = "u64", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings, results) of a folder under the inspector profile, detectors chosen by extension.
 
-def inspect_files(manifest: DataFrame, layout: str = "u64") -> tuple[DataFrame, DataFrame]:
-    """(findings, results) of a folder under the inspector profile, detectors chosen by extension."""
+    Every file has a result. One that cannot be read has a ``file_error`` finding, an ``error`` and no score.
+    """
     files = with_ids(manifest)
-    limit = READ_LIMIT["inspector"]
-    of = lambda *exts: files.filter(F.col("ext").isin(*exts))
-    tensors = artifact_prefix(of(".safetensors"), limit + 8).filter("error is null")
-    findings = stored(inspector_findings(
-        artifact_prefix(files.filter("ext <> '.safetensors'"), FORMAT_HEAD).filter("error is null"),
-        artifact_chunks(of(".pkl", ".pickle", ".pt", ".pth"), limit).filter("error is null"),
-        gguf_kv_of_files(of(".gguf"), limit, layout),
-        tensors.withColumn("file_len", F.col("length"))), "inspection")
-    return findings, inspector_risk(findings)
+    heads = stored(artifact_prefix(files, FORMAT_HEAD), "heads")
+    sound = files.join(heads.filter("error is null").select("artifact_id"), "artifact_id", "left_semi")
+    sound_of = lambda *exts: sound.filter(F.col("ext").isin(*exts))
+    kv = stored(gguf_kv_of_files(sound_of(".gguf"), limit, layout), "pairs")
+    tensors = stored(safetensors_heads(sound_of(".safetensors")), "tensors")
+    chunks = artifact_chunks(sound_of(".pkl", ".pickle", ".pt", ".pth"), limit)
+    found = inspector_findings(
+        heads.filter("ext <> '.safetensors' and error is null"), chunks.filter("error is null"),
+        kv.filter("error is null").drop("error"), tensors.filter("error is null"))
+    notes = advisories(files.select("artifact_id", "filename", F.col("length").alias("file_size")), limit).drop("filename", "file_size")
+    failed = (heads.filter("error is not null").select("artifact_id", "error")
+              .unionByName(kv.filter("error is not null").select("artifact_id", "error"))
+              .unionByName(tensors.filter("error is not null").select("artifact_id", "error"))
+              .unionByName(chunks.filter("error is not null").select("artifact_id", "error").distinct()))
+    findings = stored(found.unionByName(failed.select("artifact_id", F.lit("file_error").alias("type"), F.lit("suspicious").alias("severity"),
+                                                      F.col("error").alias("pattern")), allowMissingColumns=True)
+                      .unionByName(notes, allowMissingColumns=True), "inspection")
+    failed = findings.filter("type = 'file_error'").select("artifact_id", F.col("pattern").alias("error"))
+    return findings, _with_errors(inspector_risk(findings, files), failed, {"risk_score": None, "risk_level": None})

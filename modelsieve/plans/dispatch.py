@@ -19,10 +19,11 @@ from modelsieve.operators.pickles import opcode_findings, pickle_ops
 from modelsieve.operators.safetensors import (ENGINE_URL, metadata_rules, metadata_values,
                                               safetensors_header, safetensors_header_rules)
 from modelsieve.operators.signatures import SIGNATURES, Signature, signature_catalog
-from modelsieve.operators.templates import template_injection
+from modelsieve.operators.templates import block_findings, template_blocks
 
 # Findings are ordered by phase (signatures, structure, entropy), rule, offset.
-SIGNATURE_PHASE, STRUCTURE_PHASE, ENTROPY_PHASE = 0, 1, 2
+SIGNATURE_PHASE, STRUCTURE_PHASE, ENTROPY_PHASE, ERROR_PHASE = 0, 1, 2, 3
+READ_ERROR = "read_error"
 
 FINDING_COLUMNS = {
     "artifact_id": None, "type": "string", "pattern_id": "string", "category": "string",
@@ -74,6 +75,12 @@ def safetensors_findings(df: DataFrame) -> DataFrame:
     return union_all([malformed, hits.select("artifact_id", F.lit(8).alias("offset"), "f.*")])
 
 
+def read_errors(df: DataFrame, message: str = "error") -> DataFrame:
+    """Rows that could not be read as findings of their own type; they score nothing and mark the artifact."""
+    return df.filter(F.col(message).isNotNull()).select(
+        "artifact_id", F.lit(READ_ERROR).alias("type"), F.lit(0).alias("offset"), F.col(message).alias("desc"))
+
+
 def byte_findings(chunks: DataFrame, signatures: Sequence[Signature] = SIGNATURES) -> DataFrame:
     """Signatures and entropy in one pass: each chunk is read once and crosses to
     Python once, where only rules with a present anchor are matched."""
@@ -84,8 +91,9 @@ def byte_findings(chunks: DataFrame, signatures: Sequence[Signature] = SIGNATURE
     block = (F.when((F.col("format") == "safetensors") | (F.col("file_len") < MIN_FILE), 0)
              .when(F.col("format") == "onnx", ONNX_BLOCK).otherwise(BLOCK))
     seen = (with_candidates(chunks.filter(scanned), rules).withColumn("_block", block)
-            .filter((F.size("_rules") > 0) | (F.col("_block") > 0))
-            .select("artifact_id", "_block", "own_len", (F.col("base_offset") + F.col("own_start")).alias("_at"),
+            .withColumn("_error", F.col("error") if "error" in chunks.columns else F.lit(None).cast("string"))
+            .filter((F.size("_rules") > 0) | (F.col("_block") > 0) | F.col("_error").isNotNull())
+            .select("artifact_id", "_block", "own_len", "_error", (F.col("base_offset") + F.col("own_start")).alias("_at"),
                     match_offsets(rules)("content", "base_offset", "own_start", "own_len", "_rules").alias("_m"),
                     block_entropies("content", "own_start", "own_len", "_block").alias("_e")))
     none = F.lit(None)
@@ -97,49 +105,56 @@ def byte_findings(chunks: DataFrame, signatures: Sequence[Signature] = SIGNATURE
         ENTROPY_PHASE, F.lit(0), F.col("_at") + i * F.col("_block"),
         F.least(F.col("_block"), F.col("own_len") - i * F.col("_block")), bits)),
         lambda b: (b["bits"] > THRESHOLD) & (b["size"] >= MIN_BLOCK))
-    hits = seen.select("artifact_id", F.explode(F.concat(matches, blocks)).alias("h")).select("artifact_id", "h.*")
+    failed = F.when(F.col("_error").isNotNull(), F.array(row(ERROR_PHASE, F.lit(0), F.col("_at"), none, none))).otherwise(F.array())
+    hits = seen.select("artifact_id", "_error", F.explode(F.concat(matches, blocks, failed)).alias("h")).select("artifact_id", "_error", "h.*")
     catalog = signature_catalog(chunks.sparkSession, signatures).select(
         F.lit(SIGNATURE_PHASE).alias("phase"), F.col("position").alias("rule_no"),
         F.col("id").alias("pattern_id"), "category", "severity", "cvss_score", "cvss_vector", "desc")
     # the catalogue is a bounded parameter, never data: see MAX_CATALOGUE
     named = hits.join(F.broadcast(catalog), ["phase", "rule_no"], "left")
+    is_error = F.col("phase") == ERROR_PHASE
     is_block = F.col("phase") == ENTROPY_PHASE
     bits = F.round("bits", 3)
     return named.select(
-        "artifact_id", F.when(is_block, "possible_encrypted_payload").otherwise("pattern_match").alias("type"),
+        "artifact_id", F.when(is_error, READ_ERROR).when(is_block, "possible_encrypted_payload").otherwise("pattern_match").alias("type"),
         "pattern_id", "category", "offset",
         F.when(is_block, "high").otherwise(F.col("severity")).alias("severity"),
         "cvss_score", "cvss_vector",
-        F.when(is_block, F.format_string("High entropy chunk detected (%s). Possible encrypted payload.",
+        F.when(is_error, F.col("_error"))
+         .when(is_block, F.format_string("High entropy chunk detected (%s). Possible encrypted payload.",
                                          bits.cast("string"))).otherwise(F.col("desc")).alias("desc"),
         F.col("size"), bits.alias("entropy"),
         (F.col("phase") * F.lit(10 ** 16).cast("bigint") + F.col("rule_no") * F.lit(10 ** 12).cast("bigint")
          + F.col("offset")).alias("ordinal"))
 
 
-def engine_findings(chunks: DataFrame, ops: DataFrame, gguf: DataFrame, onnx: DataFrame, safetensors: DataFrame,
+def engine_findings(chunks: DataFrame, ops: DataFrame, templates: DataFrame, onnx: DataFrame, safetensors: DataFrame,
                     chunked: bool, signatures: Sequence[Signature] = SIGNATURES) -> DataFrame:
-    """Union of the engine detectors.
+    """Union of the engine detectors. Inputs with an ``error`` column, and opcode rows READ_ERROR, give
+    ``read_error`` rows.
 
     ``chunks`` (of all formats, with ``format``) feed the byte-level detectors;
     ``ops`` are walked opcodes of the pickle route; ``onnx`` holds chunks of that
-    format; ``gguf`` and ``safetensors`` have one ``content`` per artifact.
+    format; ``templates`` are the template blocks of GGUF artifacts; ``safetensors`` has the header in ``content``.
     """
     onnx = onnx_ops(onnx, chunked)
     opcodes = opcode_findings(ops)
+    failed = [read_errors(ops.filter("op = 'READ_ERROR'"), "arg")]
+    failed += [read_errors(df) for df in (templates, safetensors) if "error" in df.columns]
     return union_all([
         byte_findings(chunks, signatures).select(*FINDING_COLUMNS),
         as_findings(opcodes, STRUCTURE_PHASE, F.col("rule_no")),
-        as_findings(template_injection(gguf), STRUCTURE_PHASE),
+        as_findings(block_findings(templates), STRUCTURE_PHASE),
         as_findings(onnx, STRUCTURE_PHASE, F.col("rule_no")),
-        as_findings(safetensors_findings(safetensors), STRUCTURE_PHASE)])
+        as_findings(safetensors_findings(safetensors), STRUCTURE_PHASE),
+        *[as_findings(f, ERROR_PHASE) for f in failed]])
 
 
 def _engine_table(df: DataFrame) -> DataFrame:
     routed = whole_content(df.withColumn("format", format_of(F.col("content"), F.col("filename"))))
     return engine_findings(
         routed, pickle_ops(routed.filter("format in ('pickle', 'unknown')")),
-        routed.filter("format = 'gguf'"), routed.filter("format = 'onnx'"),
+        template_blocks(routed.filter("format = 'gguf'")), routed.filter("format = 'onnx'"),
         routed.filter("format = 'safetensors'"), chunked=False)
 
 

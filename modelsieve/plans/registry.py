@@ -375,7 +375,7 @@ def rank_findings(spark, d):
         "artifact_id", "rank", "ordinal", "severity", "pattern")
 
 
-def _results(spark, d, page_size=scoring.PAGE_SIZE) -> DataFrame:
+def _results(spark, d, page_size=None) -> DataFrame:
     orders = v.table(spark, d, "orders").select(
         F.col("o_orderkey").alias("artifact_id"),
         F.concat(F.lit("model_"), F.col("o_orderkey").cast("string"), F.lit(".pkl")).alias("filename"),

@@ -44,13 +44,15 @@ def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's checkpoint folder.
+def shared_dir(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """A fresh folder below ``base``, or below the cluster's checkpoint folder.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach. Only when
-    it is unset (tests, one machine) is a local temporary folder used.
+    ``spark.checkpoint.dir`` names storage every executor can reach. Only on one
+    machine may it be unset; then a local temporary folder is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"modelsieve-{name}-")
     return f"{base.rstrip('/')}/modelsieve-{name}-{os.urandom(8).hex()}"

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 from pyarrow import fs
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 
 from modelsieve.operators.gguf import KV_SCHEMA, kv_batches
 from modelsieve.operators.pickles import OPS_SCHEMA, ops_batches
+from modelsieve.operators.safetensors import MAX_HEADER
+from modelsieve.operators.templates import iter_blocks
 
 DEFAULT_EXTENSIONS = ("gguf", "safetensors", "pkl", "pickle", "pt", "pth")
 
-# Bytes inspected per file and profile.
 MIB = 1 << 20
-READ_LIMIT = {"engine": 50 * MIB, "sdk": 10 * MIB, "inspector": 100 * MIB}
+# What reading can fail with; everything else is a fault of the program.
+READ_ERRORS = (OSError, pa.ArrowException)
 CHUNK = MIB
 CONTEXT = 4096      # shared bytes before a chunk
 TAIL_TEXT = 64      # shared non-blank bytes after a chunk: longer than any signature's text
@@ -57,13 +60,25 @@ def with_ids(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("artifact_id", artifact_id(F.col("path"), F.col("modified"), F.col("length")))
 
 
+@lru_cache(maxsize=16)
+def _store(root: str) -> fs.FileSystem:
+    """Client of a store, kept for the life of a worker. ``root`` has no path, so no name in it needs quoting."""
+    return fs.FileSystem.from_uri(root)[0]
+
+
 @contextmanager
 def open_path(path: str):
-    """Random-access read handle for a Spark path (local, hdfs, s3, gs)."""
+    """Random-access read handle for a Spark path (local, hdfs, s3, gs); names may hold blanks and any other characters."""
     if path.startswith("file:"):
         path = "/" + path[len("file:"):].lstrip("/")
-    path = path.replace("s3a://", "s3://", 1)
-    system, inner = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    if path.startswith("/"):
+        system, inner = fs.LocalFileSystem(), path
+    else:
+        scheme, _, rest = path.partition("://")
+        authority, _, name = rest.partition("/")
+        scheme = "s3" if scheme in ("s3a", "s3n") else scheme
+        system = _store(f"{scheme}://{authority}")
+        inner = f"/{name}" if scheme in ("hdfs", "viewfs") else f"{authority}/{name}"
     handle = system.open_input_file(inner)
     try:
         yield handle
@@ -94,7 +109,7 @@ class _Prefix:
             line += piece
 
     def seek(self, offset: int, whence: int = 0) -> int:
-        base = self.handle.tell() if whence == 1 else 0
+        base = self.handle.tell() if whence == 1 else self.limit if whence == 2 else 0
         return self.handle.seek(min(base + offset, self.limit))
 
     def tell(self) -> int:
@@ -140,14 +155,14 @@ def _read_range(handle, base: int, size: int, limit: int) -> tuple[int, bytes]:
     return base - first, bytes(data)
 
 
-def artifact_chunks(manifest: DataFrame, limit: int, chunk: int = CHUNK) -> DataFrame:
-    """Chunk rows of the first ``limit`` bytes of every file.
+def artifact_chunks(manifest: DataFrame, limit: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Chunk rows of every file, or of its first ``limit`` bytes.
 
     The ranges, not the bytes, are shuffled to spread them; the bytes are then
     read where they are used. A range that cannot be read gives a row with
     ``error`` set instead of failing the job.
     """
-    size = F.least(F.col("length"), F.lit(limit)).cast("bigint")
+    size = _read_bytes(limit).cast("bigint")
     if "artifact_id" not in manifest.columns:
         manifest = with_ids(manifest)
     keep = ["artifact_id", "path", "filename", "ext", "length"]
@@ -168,8 +183,8 @@ def artifact_chunks(manifest: DataFrame, limit: int, chunk: int = CHUNK) -> Data
                 try:
                     with open_path(row["path"]) as handle:
                         lead, data = _read_range(handle, base, chunk, row["file_len"])
-                except OSError as exc:
-                    error, own = str(exc)[:500], 0
+                except READ_ERRORS as exc:
+                    error, own = str(exc), 0
                 row |= {"base_offset": base - lead, "own_start": lead, "own_len": own,
                         "content": data, "error": error}
                 # one row per batch: a task never holds more than one chunk
@@ -183,12 +198,13 @@ def artifact_chunks(manifest: DataFrame, limit: int, chunk: int = CHUNK) -> Data
     return ranges.mapInArrow(read, ", ".join(f"{n} {k}" for n, k in fields))
 
 
-def split_content(df: DataFrame, limit: int, chunk: int = CHUNK, context: int = CONTEXT) -> DataFrame:
+def split_content(df: DataFrame, limit: int | None = None, chunk: int = CHUNK, context: int = CONTEXT) -> DataFrame:
     """The same chunk rows for a table that holds the bytes in ``content``.
 
     Here the shared bytes on both sides are ``context`` long.
     """
-    size = F.least(F.octet_length("content"), F.lit(limit)).cast("bigint")
+    size = F.octet_length("content").cast("bigint")
+    size = size if limit is None else F.least(size, F.lit(limit).cast("bigint"))
     rows = (df.withColumn("file_len", size).withColumn("chunk_no", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("file_len") / chunk) - 1, F.lit(0))))))
     base = F.col("chunk_no") * chunk
@@ -201,14 +217,14 @@ def split_content(df: DataFrame, limit: int, chunk: int = CHUNK, context: int =
                                                (last - first).cast("int"))))
 
 
-def artifact_prefix(manifest: DataFrame, limit: int) -> DataFrame:
+def artifact_prefix(manifest: DataFrame, limit: int | None) -> DataFrame:
     """Add ``content``: the first ``limit`` bytes of each file, one file at a time.
 
     For the detectors that need a header or a template whole. Small limits
     (format detection reads 100 bytes) make this a cheap pass.
     """
     return _per_file(manifest, limit, {"content": ("binary", pa.binary())},
-                     lambda handle, row: {"content": handle.read(min(limit, row["length"]))})
+                     lambda handle, row: {"content": handle.read(row["length"] if limit is None else min(limit, row["length"]))})
 
 
 def file_hashes(manifest: DataFrame) -> DataFrame:
@@ -242,8 +258,8 @@ def _per_file(manifest: DataFrame, limit: int | None, added: dict, work) -> Data
                 try:
                     with open_path(row["path"]) as handle:
                         result |= work(handle, row)
-                except OSError as exc:
-                    result["error"] = str(exc)[:500]
+                except READ_ERRORS as exc:
+                    result["error"] = str(exc)
                 yield pa.RecordBatch.from_pylist([row | result], schema=schema)
 
     sql = [f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields]
@@ -252,24 +268,59 @@ def _per_file(manifest: DataFrame, limit: int | None, added: dict, work) -> Data
 
 
 @contextmanager
-def _open_prefix(batch: pa.RecordBatch, i: int, limit: int):
+def _open_prefix(batch: pa.RecordBatch, i: int, limit: int | None):
     with open_path(batch.column("path")[i].as_py()) as handle:
-        yield _Prefix(handle, min(limit, batch.column("length")[i].as_py()))
+        length = batch.column("length")[i].as_py()
+        yield _Prefix(handle, length if limit is None else min(limit, length))
 
 
-def pickle_ops_of_files(manifest: DataFrame, limit: int = READ_LIMIT["engine"]) -> DataFrame:
-    """Opcode rows walked straight from the files, without holding a file in memory."""
+def pickle_ops_of_files(manifest: DataFrame, limit: int | None = None) -> DataFrame:
+    """Opcode rows walked straight from the files, without holding a file in memory. A file that
+    cannot be read to its end closes with a row whose op is READ_ERROR."""
     files = spread_reads(manifest.select("artifact_id", "path", "length"), _read_bytes(limit), "path")
     key = pa.field("artifact_id", pa.string())
     return files.mapInArrow(
-        lambda batches: ops_batches(batches, lambda b, i: _open_prefix(b, i, limit), key),
+        lambda batches: ops_batches(batches, lambda b, i: _open_prefix(b, i, limit), key, errors=READ_ERRORS),
         f"artifact_id string, {OPS_SCHEMA}")
 
 
-def gguf_kv_of_files(manifest: DataFrame, limit: int = READ_LIMIT["inspector"], layout: str = "u64") -> DataFrame:
-    """Key-value rows read straight from GGUF files."""
+def template_blocks_of_files(manifest: DataFrame) -> DataFrame:
+    """(artifact_id, block, error): the distinct template blocks of every file, read as a stream."""
+    files = spread_reads(manifest.select("artifact_id", "path", "length"), F.col("length"), "path")
+    schema = pa.schema([("artifact_id", pa.string()), ("block", pa.string()), ("error", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            for name, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen: set[bytes] = set()
+                try:
+                    with open_path(path) as handle:
+                        for block in iter_blocks(handle.read):
+                            digest = hashlib.sha256(block).digest()
+                            if digest not in seen:
+                                seen.add(digest)
+                                yield pa.RecordBatch.from_pylist([{"artifact_id": name, "block": block.decode("latin-1")}], schema=schema)
+                except READ_ERRORS as exc:
+                    yield pa.RecordBatch.from_pylist([{"artifact_id": name, "error": str(exc)}], schema=schema)
+
+    return files.mapInArrow(run, "artifact_id string, block string, error string")
+
+
+def safetensors_heads(manifest: DataFrame) -> DataFrame:
+    """Add ``content`` (length field and header, without the header if it is over the format's bound), ``file_len`` and ``error``."""
+
+    def head(handle, row):
+        data = handle.read(8)
+        size = int.from_bytes(data, "little") if len(data) == 8 else 0
+        return {"content": data + (handle.read(size) if size <= min(MAX_HEADER, row["length"] - 8) else b"")}
+
+    return _per_file(manifest, MIB, {"content": ("binary", pa.binary())}, head).withColumn("file_len", F.col("length"))
+
+
+def gguf_kv_of_files(manifest: DataFrame, limit: int | None = None, layout: str = "u64") -> DataFrame:
+    """Key-value rows read straight from GGUF files; ``error`` is set in the last row of a file that cannot be read to its end."""
     files = spread_reads(manifest.select("artifact_id", "path", "length"), _read_bytes(limit), "path")
     key = pa.field("artifact_id", pa.string())
     return files.mapInArrow(
-        lambda batches: kv_batches(batches, lambda b, i: _open_prefix(b, i, limit), key, layout),
-        f"artifact_id string, {KV_SCHEMA}")
+        lambda batches: kv_batches(batches, lambda b, i: _open_prefix(b, i, limit), key, layout, READ_ERRORS),
+        f"artifact_id string, {KV_SCHEMA}, error string")

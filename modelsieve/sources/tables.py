@@ -38,8 +38,10 @@ SCHEMAS: dict[str, str] = {
         "id string, email string, username string, display_name string, avatar_url string, provider string, "
         "provider_id string, plan string"),
     "progress": "scan_id string, stage string, progress int, message string, threat_count int, timestamp timestamp",
-    # continuation pages of scans with very many threats
-    "threat_pages": f"scan_id string, page int, threats array<{THREAT}>, scan_date date",
+    "errors": "scan_id string, path string, error string, scan_date date",
+    # one row per finding, for scans of any size
+    "findings": ("scan_id string, type string, pattern_id string, category string, offset bigint, severity string, cvss_score double, "
+                 "cvss_vector string, desc string, size int, entropy double, ordinal bigint, scan_date date"),
 }
 
 def schema_of(name: str) -> T.StructType:
@@ -82,12 +84,36 @@ def append_new(df: DataFrame, name: str, path: str, key: str, partition: str | N
         stored = read_table(spark, name, path)
         if partition:
             span = rows.agg(F.min(partition), F.max(partition)).first()
-            stored = stored.filter(F.col(partition).between(span[0], span[1]))
+            # rows without a date lie in a partition of their own
+            stored = stored.filter(F.col(partition).isNull() | F.col(partition).between(span[0], span[1]))
         rows = rows.join(stored.select(key), key, "left_anti")
     writer = rows.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def _append_details(rows: DataFrame, name: str, path: str) -> None:
+    """Store detail rows by day, for scans that have none stored yet."""
+    spark = rows.sparkSession
+    rows = conform(rows, name)
+    if path_exists(spark, path):
+        span = rows.agg(F.min("scan_date"), F.max("scan_date")).first()
+        known = (read_table(spark, name, path)
+                 .filter(F.col("scan_date").isNull() | F.col("scan_date").between(span[0], span[1])).select("scan_id").distinct())
+        rows = rows.join(known, "scan_id", "left_anti")
+    rows.write.mode("append").partitionBy("scan_date").parquet(path)
+
+
+def append_findings(findings: DataFrame, scans: DataFrame, path: str) -> None:
+    """Store the findings of ``scans`` (scan_id, created_at)."""
+    dated = scans.select("scan_id", F.to_date("created_at").alias("scan_date"))
+    _append_details(findings.withColumnRenamed("artifact_id", "scan_id").join(dated, "scan_id"), "findings", path)
+
+
+def append_errors(errors: DataFrame, path: str) -> None:
+    """Store (artifact_id, path, error, scan_date) rows."""
+    _append_details(errors.withColumnRenamed("artifact_id", "scan_id"), "errors", path)
+
+
 def append_results(results: DataFrame, path: str) -> None:
     """Store finished scans by day, once per ``scan_id``.
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 TERMINAL = ("complete", "error")
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ABANDONED_AFTER_MS = 60 * 60 * 1000
+LATENESS = "1 hour"
 
 PROGRESS_SCHEMA = "scan_id string, stage string, progress int, timestamp timestamp, closed boolean"
 
@@ -34,8 +35,8 @@ def open_scans(events: DataFrame) -> DataFrame:
 
 
 class _LatestStage(StatefulProcessor):
-    """Keeps the newest event of each open scan and forgets it when the scan ends
-    or stays silent for an hour."""
+    """Keeps the newest event of each scan. A closed scan leaves its last event as a tombstone, so that a late older
+    event cannot open it again; the state goes when the watermark is an hour past that event, as later events are dropped."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -48,32 +49,29 @@ class _LatestStage(StatefulProcessor):
             best = (micros, seq, stage, progress)
         for frame in rows:
             for r in frame.itertuples(index=False):
-                event = (int(r.timestamp.value // 1000), int(r.seq), r.stage, int(r.progress))
+                event = (int(r.timestamp.value // 1000), int(r.seq), r.stage, None if pd.isna(r.progress) else int(r.progress))
                 if best is None or event[:2] > best[:2]:
                     best = event
         micros, seq, stage, progress = best
-        closed = stage in TERMINAL
+        self.last.update((stage, progress, micros, seq))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if closed:
-            self.last.clear()
-        else:
-            self.last.update((stage, progress, micros, seq))
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + ABANDONED_AFTER_MS)
-        yield self._row(key[0], stage, progress, micros, closed)
+        self.handle.registerTimer(max(micros // 1000 + ABANDONED_AFTER_MS, timer_values.getCurrentWatermarkInMs() + 1))
+        yield self._row(key[0], stage, progress, micros, stage in TERMINAL)
 
     def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
         if self.last.exists():
-            _, progress, micros, _ = self.last.get()
+            stage, progress, micros, _ = self.last.get()
             self.last.clear()
-            yield self._row(key[0], "abandoned", progress, micros, True)
+            if stage not in TERMINAL:
+                yield self._row(key[0], "abandoned", progress, micros, True)
 
     def close(self) -> None:
         pass
 
     @staticmethod
     def _row(scan_id, stage, progress, micros, closed) -> pd.DataFrame:
-        return pd.DataFrame({"scan_id": [scan_id], "stage": [stage], "progress": [progress],
+        return pd.DataFrame({"scan_id": [scan_id], "stage": [stage], "progress": pd.array([progress], dtype="Int32"),
                              "timestamp": [pd.Timestamp(micros, unit="us")], "closed": [closed]})
 
 
@@ -87,12 +85,11 @@ def progress_state(events: DataFrame) -> DataFrame:
 
     Each Arrow batch is first cut to its newest event per scan, before the
     shuffle, so one noisy scan does not fill a state task. ``abandoned`` closes
-    scans that fell silent.
+    scans that fell silent for an hour of event time. The session must use the state store ``STATE_STORE``
+    (``session.SETTINGS`` has it): this operator needs several columns per key.
     """
-    # this operator needs a store with several columns per key
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     slim = events.select("scan_id", "stage", "progress", "timestamp", "seq")
-    reduced = slim.mapInPandas(_newest_per_batch, slim.schema)
+    reduced = slim.mapInPandas(_newest_per_batch, slim.schema).withWatermark("timestamp", LATENESS)
     return reduced.groupBy("scan_id").transformWithStateInPandas(
         statefulProcessor=_LatestStage(), outputStructType=PROGRESS_SCHEMA,
-        outputMode="Update", timeMode="ProcessingTime")
+        outputMode="Update", timeMode="EventTime")

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from modelsieve.plans.corpus import scan_files, scan_rows, stored
 from modelsieve.sources.artifacts import DEFAULT_EXTENSIONS, describe_files
-from modelsieve.sources.tables import append_new, append_results, read_table
+from modelsieve.sources.tables import append_errors, append_findings, append_results, read_table
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -25,18 +25,19 @@ def arriving_files(spark: SparkSession, src: str, exts=DEFAULT_EXTENSIONS, per_b
 def scan_batch(manifest: DataFrame, out: str, iocs_path: str | None = None) -> None:
     """Scan one batch of files and store results once per file version.
 
-    Scan ids follow from path, time and size, and rows already stored are left
+    Files that could not be read are stored too, with ``scan_status`` error, and listed in ``errors``; to try
+    them again, scan them once more. Scan ids follow from path, time and size, and rows already stored are left
     out, so a batch that is replayed after a failure adds nothing twice.
     """
     spark = manifest.sparkSession
     iocs = read_table(spark, "ioc_records", iocs_path) if iocs_path else None
     scan = scan_files(spark, manifest, iocs)
-    scan.results = stored(scan.results, "results")      # read twice below
-    append_results(stored(scan_rows(scan, manifest), "rows"), f"{out}/scans")
-    # continuation pages of files with very many threats
-    pages = (scan.results.filter("page > 0")
-             .select(F.concat_ws("-", "artifact_id", "page").alias("scan_id"), "page", "threats"))
-    append_new(pages, "threat_pages", f"{out}/threat_pages", "scan_id")
+    rows = stored(scan_rows(scan, manifest), "rows")
+    # findings first: a scan that is stored has its findings stored
+    append_findings(scan.findings, rows, f"{out}/findings")
+    append_results(rows, f"{out}/scans")
+    failed = scan.errors.join(rows.select(F.col("scan_id").alias("artifact_id"), F.to_date("created_at").alias("scan_date")), "artifact_id")
+    append_errors(failed, f"{out}/errors")
 
 
 def stream_scan(spark: SparkSession, src: str, out: str, checkpoint: str, iocs_path: str | None = None,
