@@ -61,16 +61,27 @@ def _or(name: str, default) -> Column:
     return F.coalesce(F.nullif(col, F.lit("")) if isinstance(default, str) else col, F.lit(default))
 
 
+# Stored column and the name it is shown under.
+TEXT_FIELDS = {"ai_summary_en": "summary_en", "ai_summary_ar": "summary_ar", "ai_recommendation_en": "recommendation",
+               "ai_recommendation_ar": "recommendation_ar"}
+
+
 def scan_detail(ids: DataFrame, scans: DataFrame) -> DataFrame:
     """Requested scans with a default for every empty field; ``found`` is false for unknown ids."""
-    rows = scans.withColumn("_found", F.lit(True))
+    absent = {c: F.lit(None).cast(kind) for c, kind in {"metadata_info": "map<string,string>", "source_url": "string",
+                                                        "ai_key_risks": "array<string>", **dict.fromkeys(TEXT_FIELDS, "string")}.items()
+              if c not in scans.columns}
+    rows = scans.withColumns(absent).withColumn("_found", F.lit(True))
     return ids.join(rows, "scan_id", "left").select(
         "scan_id", F.coalesce("_found", F.lit(False)).alias("found"),
         "filename", "risk_score", "risk_level",
         F.when(F.col("_found"), F.coalesce("threats", F.array())).alias("threats"),
         "created_at",
         F.when(F.col("_found"), _or("ai_verdict", "UNKNOWN")).alias("verdict"),
-        F.when(F.col("_found"), _or("ai_confidence", 0)).alias("confidence"))
+        F.when(F.col("_found"), _or("ai_confidence", 0)).alias("confidence"),
+        F.when(F.col("_found"), F.coalesce("metadata_info", F.create_map().cast("map<string,string>"))).alias("metadata"),
+        "source_url", *[F.when(F.col("_found"), _or(stored, "")).alias(shown) for stored, shown in TEXT_FIELDS.items()],
+        F.when(F.col("_found"), F.coalesce("ai_key_risks", F.array().cast("array<string>"))).alias("key_risks"))
 
 
 PERIOD_DAYS = {"1d": 1, "30d": 30, "90d": 90, "1y": 365}

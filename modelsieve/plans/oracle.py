@@ -193,6 +193,14 @@ def sql(body: str, *views: str) -> str:
 ORACLE: dict[str, str] = {}
 
 # ---- sources and sinks
+ORACLE["artifact_manifest"] = sql("SELECT filename, ext, octet_length(content) AS length FROM v_artifacts", "v_artifacts")
+ORACLE["file_hashes"] = sql("""SELECT filename, octet_length(content) AS length, sha256(content) AS file_hash
+    FROM v_artifacts""", "v_artifacts")
+ORACLE["artifact_chunks"] = sql("""
+    SELECT filename, chunk_no, least(1024, octet_length(content) - chunk_no * 1024) AS own_len,
+           sha256(content[chunk_no * 1024 + 1 : chunk_no * 1024 + 1024]) AS chunk_hash
+    FROM (SELECT filename, content, unnest(range(0, greatest(1, (octet_length(content) + 1023) // 1024))) AS chunk_no
+          FROM v_artifacts)""", "v_artifacts")
 ORACLE["scan_store_read"] = sql("""SELECT scan_id, filename, file_size, risk_score, n_threats AS n, created_at
     FROM v_scans""", "v_scans")
 ORACLE["scan_store_append"] = sql("""SELECT strftime(created_at, '%Y-%m-%d') AS scan_day, count(*) AS scans,
@@ -533,7 +541,13 @@ ORACLE["recent_scans"] = sql("""SELECT scan_id, filename, risk_score, risk_level
 ORACLE["scan_detail"] = sql("""
     SELECT o_orderkey::VARCHAR AS scan_id, s.scan_id IS NOT NULL AS found, filename, risk_score, risk_level, n_threats AS threats,
            created_at, CASE WHEN s.scan_id IS NOT NULL THEN coalesce(nullif(ai_verdict, ''), 'UNKNOWN') END AS verdict,
-           CASE WHEN s.scan_id IS NOT NULL THEN coalesce(ai_confidence, 0) END::BIGINT AS confidence
+           CASE WHEN s.scan_id IS NOT NULL THEN coalesce(ai_confidence, 0) END::BIGINT AS confidence,
+           CASE WHEN risk_level <> 'clean' THEN file_size::VARCHAR END AS metadata_size,
+           CASE WHEN risk_level <> 'clean' THEN 'https://x.example/' || s.scan_id END AS source_url,
+           CASE WHEN s.scan_id IS NOT NULL THEN CASE WHEN risk_level <> 'clean' THEN coalesce('seen in ' || filename, '') ELSE '' END END AS summary_en,
+           CASE WHEN s.scan_id IS NOT NULL THEN '' END AS summary_ar, CASE WHEN s.scan_id IS NOT NULL THEN '' END AS recommendation,
+           CASE WHEN s.scan_id IS NOT NULL THEN '' END AS recommendation_ar,
+           CASE WHEN s.scan_id IS NOT NULL THEN CASE WHEN risk_level <> 'clean' THEN risk_level ELSE '' END END AS key_risks
     FROM orders LEFT JOIN v_scans s ON o_orderkey::VARCHAR = s.scan_id""", "v_scans")
 for _name, _days in (("daily_trend", 7), ("daily_trend_90d", 90)):
     ORACLE[_name] = sql(f"""

@@ -35,26 +35,28 @@ def chunks(spark, d) -> DataFrame:
 
 # ---- sources and sinks -------------------------------------------------------
 
-def _table_files(spark, d) -> DataFrame:
-    """The table files themselves, taken as a folder of binary artifacts."""
-    return files.artifact_manifest(spark, d, exts=("parquet",))
+def _artifact_files(spark, d) -> DataFrame:
+    """Manifest of the artifacts written as files, one each, to a folder all executors share."""
+    root = shared_dir(spark, "files")
+    files.write_files(v.v_artifacts(spark, d).select("filename", "content"), root)
+    return files.artifact_manifest(spark, root, exts=[*files.DEFAULT_EXTENSIONS, "onnx"])
 
 
 @query
 def artifact_manifest(spark, d):
-    return _table_files(spark, d).select("filename", "ext", "length")
+    return _artifact_files(spark, d).select("filename", "ext", "length")
 
 
 @query
 def artifact_chunks(spark, d):
-    return files.artifact_chunks(_table_files(spark, d), files.READ_LIMIT["engine"]).select(
+    return files.artifact_chunks(_artifact_files(spark, d), chunk=1024).select(
         "filename", "chunk_no", F.col("own_len").cast("bigint").alias("own_len"),
         F.sha2(F.substring("content", F.col("own_start") + 1, F.col("own_len")), 256).alias("chunk_hash"))
 
 
 @query
 def file_hashes(spark, d):
-    return files.file_hashes(_table_files(spark, d)).select("filename", "length", "file_hash")
+    return files.file_hashes(_artifact_files(spark, d)).select("filename", "length", "file_hash")
 
 
 @query
@@ -513,8 +515,15 @@ def recent_scans(spark, d):
 @query
 def scan_detail(spark, d):
     ids = v.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("scan_id"))
-    return analytics.scan_detail(ids, v.v_scans(spark, d)).select(
-        "scan_id", "found", "filename", "risk_score", "risk_level",
+    told = F.col("risk_level") != "clean"
+    scans = v.v_scans(spark, d).withColumns({
+        "metadata_info": F.when(told, F.create_map(F.lit("file_size"), F.col("file_size").cast("string"))),
+        "source_url": F.when(told, F.concat(F.lit("https://x.example/"), "scan_id")),
+        "ai_summary_en": F.when(told, F.concat(F.lit("seen in "), "filename")), "ai_summary_ar": F.lit(""),
+        "ai_key_risks": F.when(told, F.array("risk_level"))})
+    return analytics.scan_detail(ids, scans).select(
+        F.col("metadata")["file_size"].alias("metadata_size"), "source_url", "summary_en", "summary_ar", "recommendation", "recommendation_ar",
+        F.array_join("key_risks", ",").alias("key_risks"), "scan_id", "found", "filename", "risk_score", "risk_level",
         F.size("threats").cast("bigint").alias("threats"), "created_at", "verdict",
         F.col("confidence").cast("bigint").alias("confidence"))
 

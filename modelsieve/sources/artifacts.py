@@ -66,19 +66,22 @@ def _store(root: str) -> fs.FileSystem:
     return fs.FileSystem.from_uri(root)[0]
 
 
-@contextmanager
-def open_path(path: str):
-    """Random-access read handle for a Spark path (local, hdfs, s3, gs); names may hold blanks and any other characters."""
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """Store and plain name of a Spark path (local, hdfs, s3, gs); names may hold blanks and any other characters."""
     if path.startswith("file:"):
         path = "/" + path[len("file:"):].lstrip("/")
     if path.startswith("/"):
-        system, inner = fs.LocalFileSystem(), path
-    else:
-        scheme, _, rest = path.partition("://")
-        authority, _, name = rest.partition("/")
-        scheme = "s3" if scheme in ("s3a", "s3n") else scheme
-        system = _store(f"{scheme}://{authority}")
-        inner = f"/{name}" if scheme in ("hdfs", "viewfs") else f"{authority}/{name}"
+        return fs.LocalFileSystem(), path
+    scheme, _, rest = path.partition("://")
+    authority, _, name = rest.partition("/")
+    scheme = "s3" if scheme in ("s3a", "s3n") else scheme
+    return _store(f"{scheme}://{authority}"), f"/{name}" if scheme in ("hdfs", "viewfs") else f"{authority}/{name}"
+
+
+@contextmanager
+def open_path(path: str):
+    """Random-access read handle for a Spark path."""
+    system, inner = _located(path)
     handle = system.open_input_file(inner)
     try:
         yield handle
@@ -86,6 +89,21 @@ def open_path(path: str):
         handle.close()
 
 
+def write_files(table: DataFrame, root: str) -> None:
+    """Write each row (filename, content) as a file below ``root``; a repeated task writes the same files again."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, inner = _located(f"{root.rstrip('/')}/{name}")
+                system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(inner) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    table.select("filename", "content").mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
+
+
 class _Prefix:
     """The first ``limit`` bytes of a handle as a stream."""
 

@@ -80,8 +80,8 @@ def _newest_per_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.sort_values(["timestamp", "seq"]).drop_duplicates("scan_id", keep="last")
 
 
-def progress_state(events: DataFrame) -> DataFrame:
-    """Streaming form (update mode): one row per scan and micro-batch.
+def progress_state(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Streaming form (update mode): one row per scan and micro-batch. Events later than ``lateness`` are dropped.
 
     Each Arrow batch is first cut to its newest event per scan, before the
     shuffle, so one noisy scan does not fill a state task. ``abandoned`` closes
@@ -89,7 +89,7 @@ def progress_state(events: DataFrame) -> DataFrame:
     (``session.SETTINGS`` has it): this operator needs several columns per key.
     """
     slim = events.select("scan_id", "stage", "progress", "timestamp", "seq")
-    reduced = slim.mapInPandas(_newest_per_batch, slim.schema).withWatermark("timestamp", LATENESS)
+    reduced = slim.mapInPandas(_newest_per_batch, slim.schema).withWatermark("timestamp", lateness)
     return reduced.groupBy("scan_id").transformWithStateInPandas(
         statefulProcessor=_LatestStage(), outputStructType=PROGRESS_SCHEMA,
         outputMode="Update", timeMode="EventTime")

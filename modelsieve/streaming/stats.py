@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from modelsieve.operators.analytics import overview
+from modelsieve.session import shared_dir
 
 REFRESH = "5 seconds"
 
@@ -15,6 +17,31 @@ def live_stats(scans: DataFrame) -> DataFrame:
     return overview(scans).select("total_scans", "threats_found")
 
 
+def start_active_scans(progress: DataFrame, name: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the number of scans now running in an in-memory table ``name`` (active_scans).
+
+    ``progress`` is the stream of ``progress_state``. Each micro-batch's latest row per scan updates the set of open scans,
+    which is held as a table of its own: a scan opens with its first stage and leaves at a terminal one.
+    """
+    spark = progress.sparkSession
+    open_now = f"{name}_open"
+    spark.createDataFrame([], "scan_id string").createOrReplaceTempView(open_now)
+    spark.createDataFrame([(0,)], "active_scans bigint").createOrReplaceTempView(name)
+
+    def update(batch: DataFrame, _: int) -> None:
+        latest = batch.groupBy("scan_id").agg(F.max_by("closed", "timestamp").alias("closed"))
+        kept = spark.table(open_now).join(latest.select("scan_id"), "scan_id", "left_anti")
+        now = kept.unionByName(latest.filter(~F.col("closed")).select("scan_id")).checkpoint()
+        now.createOrReplaceTempView(open_now)
+        now.agg(F.count("*").alias("active_scans")).checkpoint().createOrReplaceTempView(name)
+
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_dir(spark, "active"))
+    return (progress.writeStream.outputMode("update").foreachBatch(update).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": REFRESH})).start())
+
+
 def start_live_stats(scans: DataFrame, name: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Refresh the totals every five seconds in an in-memory table ``name``."""
     return (live_stats(scans).writeStream.outputMode("complete").format("memory").queryName(name)

@@ -20,7 +20,7 @@ from modelsieve.streaming.outbox import stream_outbox
 from modelsieve.streaming.progress import latest_stage, progress_state
 from modelsieve.streaming.ratelimits import rate_limit_audit
 from modelsieve.streaming.scan import stream_scan
-from modelsieve.streaming.stats import start_live_stats
+from modelsieve.streaming.stats import start_active_scans, start_live_stats
 from tests.conftest import SF
 
 FILES = {"evil.pkl": b"\x80\x02cos\nsystem\n(X\x01\x00\x00\x00xtR. eval(", "ok.safetensors": b"\x02\0\0\0\0\0\0\0{}",
@@ -117,6 +117,27 @@ def test_progress_state_equals_batch(spark, tmp_path):
     assert final == want
 
 
+def test_progress_in_any_order_ends_and_counts_open_scans(spark, tmp_path):
+    """Shuffled arrival gives the batch result, availableNow ends, and a late older event reopens nothing."""
+    events = v.v_progress(spark, SF).withColumn("late", F.pmod(F.xxhash64("seq"), F.lit(1000)))
+    stream = slices(spark, events, tmp_path / "ev", 3, "late")
+    final = {}
+
+    def take(batch, _):
+        final.update({r["scan_id"]: tuple(r) for r in batch.collect()})
+
+    query = (progress_state(stream, "60 days").writeStream.outputMode("update").foreachBatch(take)
+             .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    assert query.awaitTermination(150)
+    want = {r["scan_id"]: tuple(r) for r in latest_stage(events).select(
+        "scan_id", "stage", "progress", "timestamp", "closed").collect()}
+    assert final == want
+    stream = slices(spark, events, tmp_path / "ev2", 2, "late")
+    query = start_active_scans(progress_state(stream, "60 days"), "running_scans", str(tmp_path / "ck2"), {"availableNow": True})
+    assert query.awaitTermination(150)
+    assert spark.table("running_scans").first()[0] == sum(not r[4] for r in want.values())
+
+
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
     limits = {"scan_file": (1, "1 minute"), "scan_url": (1, "1 minute"), "key_generate": (1, "1 hour")}
     requests = v.v_requests(spark, SF)
