@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from modelsieve.functions.once import computed_once
 from modelsieve.session import bound_arrow_batches
 
+MANY_RULES = 500     # beyond this a plan with an expression per anchor costs more than it saves
 CHUNK_COLUMNS = ["artifact_id", "chunk_no", "base_offset", "own_start", "own_len", "file_len", "content"]
 
 
@@ -56,8 +57,13 @@ def match_offsets(rules: Sequence[Rule]):
         rows = []
         for data, first, lo, size, ids in zip(content, base, own_start, own_len, wanted):
             found = []
+            folded = data.lower() if any(rules[k].ignore_case for k in ids) else data
             for k in ids:
                 rule = rules[k]
+                # many rules come without having been looked for in the JVM
+                if rule.anchor is not None and (rule.anchor.lower().encode("latin-1") not in folded if rule.ignore_case
+                                                else rule.anchor.encode("latin-1") not in data):
+                    continue
                 if k not in compiled:
                     source = rule.regex if rule.text else rule.regex.encode("latin-1")
                     compiled[k] = re.compile(source, flags[k])
@@ -78,6 +84,8 @@ def with_candidates(chunks: DataFrame, rules: Sequence[Rule], out: str = "_rules
     when some rule ignores case.
     """
     bound_arrow_batches(chunks.sparkSession)
+    if len(rules) > MANY_RULES:
+        return chunks.withColumn(out, F.sequence(F.lit(0), F.lit(len(rules) - 1)))
     tests = []
     for k, rule in enumerate(rules):
         if rule.anchor is None:

@@ -110,8 +110,7 @@ def byte_findings(chunks: DataFrame, signatures: Sequence[Signature] = SIGNATURE
     catalog = signature_catalog(chunks.sparkSession, signatures).select(
         F.lit(SIGNATURE_PHASE).alias("phase"), F.col("position").alias("rule_no"),
         F.col("id").alias("pattern_id"), "category", "severity", "cvss_score", "cvss_vector", "desc")
-    # the catalogue is a bounded parameter, never data: see MAX_CATALOGUE
-    named = hits.join(F.broadcast(catalog), ["phase", "rule_no"], "left")
+    named = hits.join(catalog, ["phase", "rule_no"], "left")
     is_error = F.col("phase") == ERROR_PHASE
     is_block = F.col("phase") == ENTROPY_PHASE
     bits = F.round("bits", 3)

@@ -127,7 +127,7 @@ VIEWS: dict[str, str] = {
         SELECT doc_id AS artifact_id, 'm_' || doc_id || '.gguf' AS filename, 'model-' || doc_id % 50 AS model,
                {pick(PAYLOADS, 'doc_id % 23')} AS template, text FROM documents""",
     "signatures": "SELECT * FROM " + values(
-        [(k, s.id, s.category, "(?i)" + s.regex, s.severity, *s.metrics, s.desc) for k, s in enumerate(SIGNATURES)],
+        [(k, s.id, s.category, "(?i)" + s.regex, s.severity, *s.letters(), s.desc) for k, s in enumerate(SIGNATURES)],
         "position, id, category, regex, severity, av, ac, pr, ui, s, c, i, a, description"),
 }
 

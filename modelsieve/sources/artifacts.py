@@ -27,9 +27,10 @@ DEFAULT_EXTENSIONS = ("gguf", "safetensors", "pkl", "pickle", "pt", "pth")
 MIB = 1 << 20
 # What reading can fail with; everything else is a fault of the program.
 READ_ERRORS = (OSError, pa.ArrowException)
-CHUNK = MIB
-CONTEXT = 4096      # shared bytes before a chunk
-TAIL_TEXT = 64      # shared non-blank bytes after a chunk: longer than any signature's text
+CHUNK = 4 * MIB
+# What neighbouring chunks share, on either side: matches up to this many non-blank bytes are found across a border. The built-in
+# signatures are under 64 bytes without blanks; a catalogue with longer ones passes its own.
+CONTEXT = 64 << 10
 _BLANK = b" \t\n\r\x0b\x0c"
 
 
@@ -150,21 +151,21 @@ def spread_reads(files: DataFrame, bytes_col: Column, *keys: str) -> DataFrame:
     return files.repartition(tasks, *keys)
 
 
-def _read_range(handle, base: int, size: int, limit: int) -> tuple[int, bytes]:
+def _read_range(handle, base: int, size: int, limit: int, context: int = CONTEXT) -> tuple[int, bytes]:
     """Bytes of one chunk with shared context; returns (context length, bytes).
 
-    The context after the chunk runs on until it holds ``TAIL_TEXT`` non-blank
+    The context after the chunk runs on until it holds ``context`` non-blank
     bytes, so a match that starts in the chunk ends in it however much blank
     space it spans.
     """
-    first = max(0, base - CONTEXT)
+    first = max(0, base - context)
     handle.seek(first)
     data = bytearray(handle.read(min(base + size, limit) - first))
     own = data[base - first:]
     if own.strip(_BLANK):
         text, at = 0, first + len(data)
-        while text < TAIL_TEXT and at < limit:
-            piece = handle.read(min(CONTEXT, limit - at))
+        while text < context and at < limit:
+            piece = handle.read(min(context - text, limit - at))
             if not piece:
                 break
             data += piece
@@ -173,7 +174,7 @@ def _read_range(handle, base: int, size: int, limit: int) -> tuple[int, bytes]:
     return base - first, bytes(data)
 
 
-def artifact_chunks(manifest: DataFrame, limit: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def artifact_chunks(manifest: DataFrame, limit: int | None = None, chunk: int = CHUNK, context: int = CONTEXT) -> DataFrame:
     """Chunk rows of every file, or of its first ``limit`` bytes.
 
     The ranges, not the bytes, are shuffled to spread them; the bytes are then
@@ -200,7 +201,7 @@ def artifact_chunks(manifest: DataFrame, limit: int | None = None, chunk: int =
                 error, lead, data = None, 0, b""
                 try:
                     with open_path(row["path"]) as handle:
-                        lead, data = _read_range(handle, base, chunk, row["file_len"])
+                        lead, data = _read_range(handle, base, chunk, row["file_len"], context)
                 except READ_ERRORS as exc:
                     error, own = str(exc), 0
                 row |= {"base_offset": base - lead, "own_start": lead, "own_len": own,

@@ -6,12 +6,14 @@ from datetime import datetime
 
 import pytest
 
+from modelsieve.functions.matching import whole_content
 from modelsieve.operators.gguf import gguf_metadata, gguf_metadata_rules
 from modelsieve.operators.safetensors import safetensors_header, safetensors_header_rules
 from modelsieve.operators.scoring import inspector_risk, rank_findings
+from modelsieve.operators.signatures import Signature, required_literal, signature_hits
 from modelsieve.operators.templates import iter_blocks
 from modelsieve.plans.corpus import inspect_files, scan_files, scan_rows, sdk_scan
-from modelsieve.sources.artifacts import artifact_manifest
+from modelsieve.sources.artifacts import artifact_chunks, artifact_manifest
 from modelsieve.sources.tables import append_results, read_table
 
 MIB = 1 << 20
@@ -62,6 +64,23 @@ def test_engine(spark, folder, tmp_path):
     assert len(kept) == 7 and {r["scan_status"] for r in kept if r["filename"].startswith("gone")} == {"error"}
 
 
+def test_long_match_on_a_border(spark, tmp_path):
+    rule = Signature("LONG", "x", r"KEY:\[A+\]", "high", "AV:L/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", "long")
+    data = b"b" * (2 * MIB - 100) + b"key:[" + b"a" * 9_000 + b"]" + b"c" * MIB
+    (tmp_path / "long.pkl").write_bytes(data)
+    chunks = artifact_chunks(artifact_manifest(spark, str(tmp_path)), chunk=MIB)
+    assert [r["offset"] for r in signature_hits(chunks, [rule]).collect()] == [2 * MIB - 100]
+    assert required_literal(r"(?:a|b)+x\s*(token_key)=\d") == "token_key=" and required_literal(r"a|bcdef") is None
+
+
+def test_a_catalogue_of_any_size(spark):
+    rows = [(f"R{k}", "c", f"needle{k:05d}[0-9]", "low", ("N", "L", "N", "N", "U", "H", "H", "H"), "d") for k in range(20_000)]
+    catalog = spark.createDataFrame(rows, "id string, category string, pattern string, severity string, "
+                                    "default_cvss struct<av:string,ac:string,pr:string,ui:string,s:string,c:string,i:string,a:string>, desc string")
+    table = whole_content(spark.createDataFrame([("a", b"x needle190071 NEEDLE000009 needle12")], "artifact_id string, content binary"))
+    assert {r["pattern_id"] for r in signature_hits(table, catalog).collect()} == {"R19007", "R0"}
+
+
 def test_a_limit_is_partial_not_clean(spark, folder):
     rows = {r["filename"]: r for r in scan_files(spark, artifact_manifest(spark, str(folder)), limit=MIB).results.collect()}
     assert rows["late payload.safetensors"]["status"] == "error" and "partial" in rows["late payload.safetensors"]["details"]
