@@ -36,6 +36,7 @@ N_BEST = 4
 PENALTY = 10.0            # how far an unknown character lies below the lowest piece
 SLICE = 2 << 20           # characters cut at a time
 CACHED = 1 << 19
+SHORT, AT_ONCE = 32, 1 << 18   # longest segments that are searched together, and their characters at a time
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -83,6 +84,7 @@ class Lattice:
         self.table = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.firsts = np.cumsum(self.sizes) - self.sizes
+        self._build_trie()
         self.known: dict[str, Segment] = {}
         self.stand_in = STAND_IN
 
@@ -145,6 +147,77 @@ class Lattice:
         ids = np.array(list(itertools.chain.from_iterable(reversed(path))), "<u4").tobytes()
         return Segment(ids, best[-1], best[-1] - second)
 
+    def _build_trie(self) -> None:
+        """The prefixes of all pieces as arrays: node * characters + character, sorted, and the node each leads to."""
+        characters = sorted({c for p in self.pieces for c in p})
+        self.character = np.zeros(0x110000, np.int64)
+        self.character[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
+        number = {prefix: k for k, prefix in enumerate(["", *sorted(self.prefixes)])}
+        self.dead = len(number)
+        keys = [(number[p[:-1]] * (len(characters) + 1) + int(self.character[ord(p[-1])]), k) for p, k in number.items() if p]
+        self.steps, self.leads = (np.array(x, np.int64) for x in zip(*sorted(keys)))
+        self.node_score, self.node_id = np.full(self.dead + 1, -np.inf), np.full(self.dead + 1, 1 << 40)
+        for piece, (k, score) in self.pieces.items():
+            self.node_score[number[piece]], self.node_id[number[piece]] = score, k
+        self.width = len(characters) + 1
+        self.single = {p for p in self.pieces if len(p) == 1}
+        self.longest = max(map(len, self.pieces))
+
+    def learn(self, names: list[str]) -> None:
+        """Put the best path of each segment into ``known``; short segments of known characters many at a time."""
+        groups: dict[int, list[str]] = {}
+        for name in names:
+            if len(name) <= SHORT and self.single.issuperset(name):
+                groups.setdefault(len(name), []).append(name)
+            else:
+                self.known[name] = self.segment(name)
+        for size, group in groups.items():
+            for k in range(0, len(group), AT_ONCE // size):
+                self._learn_equal(group[k:k + AT_ONCE // size], size)
+
+    def _learn_equal(self, group: list[str], size: int) -> None:
+        """As ``segment`` for segments of one length, each step for all of them."""
+        m = len(group)
+        own = self.character[np.frombuffer("".join(group).encode("utf-32-le"), np.uint32).reshape(m, size)].T
+        scores: dict[tuple[int, int], np.ndarray] = {}
+        ids: dict[tuple[int, int], np.ndarray] = {}
+        for start in range(size):
+            node = np.zeros(m, np.int64)
+            live = np.arange(m)
+            for end in range(start + 1, min(size, start + self.longest) + 1):
+                step = node[live] * self.width + own[end - 1, live]
+                at = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+                there = self.steps[at] == step
+                node[live] = np.where(there, self.leads[at], self.dead)
+                live = live[there]
+                if not len(live):
+                    break
+                scores[start, end], ids[start, end] = self.node_score[node], self.node_id[node]
+        best, after = np.full((size + 1, m), -np.inf), np.full((size + 1, m), -np.inf)
+        best[0], after[size] = 0, 0
+        into: list[list[int]] = [[s for s in range(size) if (s, e) in scores] for e in range(size + 1)]
+        for end in range(1, size + 1):
+            for start in into[end]:
+                np.maximum(best[end], best[start] + scores[start, end], out=best[end])
+        for end in range(size, 0, -1):
+            for start in into[end]:
+                np.maximum(after[start], after[end] + scores[start, end], out=after[start])
+        place, second, tokens = np.full(m, size), np.full(m, -np.inf), np.full((size, m), -1)
+        for end in range(size, 0, -1):
+            here = place == end
+            chosen, first = np.full(m, 1 << 40), np.zeros(m, np.int64)
+            for start in into[end]:
+                better = here & (best[start] + scores[start, end] == best[end]) & (ids[start, end] < chosen)
+                chosen[better], first[better] = ids[start, end][better], start
+            tokens[end - 1][here], place = chosen[here], np.where(here, first, place)
+            for start in into[end]:
+                total = best[start] + scores[start, end] + after[end]
+                np.maximum(second, np.where(here & (first == start), -np.inf, total), out=second)
+        used = (tokens >= 0).T
+        data, ends = tokens.T[used].astype("<u4").tobytes(), np.cumsum(used.sum(1)) * 4
+        for name, a, b, score, gap in zip(group, [0, *ends[:-1].tolist()], ends.tolist(), best[size].tolist(), (best[size] - second).tolist()):
+            self.known[name] = Segment(data[a:b], score, gap)
+
     def segments(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
         """The segments of all texts in order, and where each text's begin; texts have their mark in front."""
         joined = "".join(texts)
@@ -171,9 +244,7 @@ class Lattice:
         if len(self.known) + len(names) > CACHED:
             self.known.clear()
         known = self.known
-        for name in names:
-            if name not in known:
-                known[name] = self.segment(name)
+        self.learn([name for name in names if name not in known])
         found = [known[name] for name in names]
         ids = np.frombuffer(b"".join(f.ids for f in found), "<u4")
         sizes = np.array([len(f.ids) // 4 for f in found], np.int64)

@@ -67,6 +67,16 @@ def test_batches_equal_single_texts_and_whole_lattice(lattice, spark):
         assert [s for s, _ in chained] == [s for s, _ in lattice.n_best(marked, 4)]
 
 
+def test_searching_many_segments_together_equals_one_by_one(spark):
+    lattice = op.Lattice(op.default_model())
+    texts = [r["text"].replace(" ", op.MARK) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    names = lattice.segments(texts)[0].dictionary.to_pylist()
+    lattice.learn(names)
+    assert len(names) > 2_000
+    for name in names:
+        assert lattice.known[name] == lattice.segment(name), name
+
+
 def test_whole_table(spark):
     rows = op.op2_sentencepiece_n_best(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
