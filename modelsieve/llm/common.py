@@ -61,6 +61,25 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(rest)
 
 
+SLICE = 4 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Cut batches into pieces of about ``size`` bytes of the string column number ``text``, so that what is derived from them stays
+    small. A longer text is a piece of its own. The allocator gives back what it holds at the end."""
+    for batch in batches:
+        column = batch.column(text)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+        begin = 0
+        while begin < len(column) or not len(column):
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + size, side="right")) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+            if not len(column):
+                break
+    pa.default_memory_pool().release_unused()
+
+
 def each_text(batches: Iterable[pa.RecordBatch], work: Callable[[str], tuple], schema: pa.Schema,
               text: str = "_text") -> Iterator[pa.RecordBatch]:
     """Apply ``work`` to one text at a time; null is the empty text. Other columns pass through."""

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelsieve.llm import op8_outliers
-from modelsieve.llm.common import stored
+from modelsieve.llm.common import slices, stored
 from modelsieve.llm.op8_outliers import COUNTS, text_counts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -122,7 +122,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return None
 
     def distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             known_words, sets = word_sets(batch.column(0))
             good = batch.column(1).to_numpy()
             for codes, y in zip(sets, good):
@@ -138,7 +138,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     words = tuple(sorted(r["word"] for r in telling.select("word").collect()))
 
     def design(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             x = np.column_stack([statistics(text_counts(batch.column(0))), presence(batch.column(0), words)])
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "good"])
 
@@ -168,7 +168,7 @@ def evidence(documents: DataFrame, model: Model | None, carried: list[str], text
     base = float(np.log(model.rate / (1 - model.rate)))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(carried)):
             texts = batch.column(len(carried))
             x = np.column_stack([statistics(text_counts(texts)), presence(texts, model.words)])
             logit = ((x - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1] - base

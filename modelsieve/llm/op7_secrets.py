@@ -24,6 +24,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modelsieve.llm.common import slices
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -45,7 +47,7 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 # A lane holds at least LANE bytes, a slice about SLICE bytes; below FEW lanes plain steps are faster.
-LANE, LANES, FEW, SLICE = 256, 8192, 24, 16 << 20
+LANE, LANES, FEW, SLICE = 256, 8192, 24, 8 << 20
 
 
 class Nfa:
@@ -389,7 +391,7 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text",
     narrow = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             spans = compiled.spans([x or "" for x in batch.column(1).to_pylist()])
             found = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in row] for row in spans]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(span))], names=["_key", "found"])
@@ -407,6 +409,8 @@ def redact(documents: DataFrame, text: str = "text", chars: str = "n_chars", mar
     """
     compiled = scanner(rules)
 
+    at = documents.columns.index(text)
+
     def clean(value: str, spans: list[tuple[int, int, int]]) -> str:
         out, at = [], 0
         for start, _, end in spans:
@@ -416,8 +420,7 @@ def redact(documents: DataFrame, text: str = "text", chars: str = "n_chars", mar
         return "".join([*out, value[at:]]) if at else value
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
+        for batch in slices(batches, at):
             old = batch.column(at).to_pylist()
             spans = compiled.spans([x or "" for x in old])
             new = [None if x is None else clean(x, found) for x, found in zip(old, spans)]

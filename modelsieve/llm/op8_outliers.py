@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modelsieve.llm.common import stored
+from modelsieve.llm.common import slices, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -94,7 +94,7 @@ def counted(documents: DataFrame, carried: list[str], text: str = "text") -> Dat
     narrow = documents.select(*[F.col(c) for c in carried], F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(carried)):
             numbers = text_counts(batch.column(len(carried)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in range(len(carried))] + [pa.array(c) for c in numbers.T],

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modelsieve.llm.common import stored
+from modelsieve.llm.common import slices, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -136,7 +136,7 @@ def pieces(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, line = ChunkEncoder(tokenizer), 0
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows: list[tuple[int, int, int, int, int]] = []
             for row, ids in enumerate(encoder.encode(batch.column(1))):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
