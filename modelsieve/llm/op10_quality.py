@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from modelsieve.llm import op8_outliers
 from modelsieve.llm.common import slices, stored
-from modelsieve.llm.op8_outliers import COUNTS, text_counts
+from modelsieve.llm.op8_outliers import COUNTS, rows_of, text_counts, text_mark
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(op8_outliers)
@@ -198,11 +198,17 @@ def judged(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     Null hosts and paths are groups of their own. Null and empty texts are judged by having no words. Without usable labels all
     evidence is zero and every row is kept. Repeated rows each come back and count as often as they occur.
     """
+    return (_verdicts(documents, labels, key, text, host, path, sample)
+            .select(F.col("_key").alias(key), "evidence", "host_rate", "path_rate", "probability", "kept"))
+
+
+def _verdicts(documents: DataFrame, labels: DataFrame, key: str, text: str, host: str, path: str, sample: int) -> DataFrame:
+    """(_key, _host, _path, _mark, evidence, host_rate, path_rate, probability, kept) of every row."""
     model = fit(documents, labels, key, text, sample)
     named = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(host).cast("string").alias("_host"),
-                             F.col(path).cast("string").alias("_path"))
+                             F.col(path).cast("string").alias("_path"), text_mark(F.col(text)).alias("_mark"))
     known = acceptable(labels, key).withColumnRenamed("_key", "_labelled")
-    rows = evidence(named, model, ["_key", "_host", "_path"], "_text")
+    rows = evidence(named, model, ["_key", "_host", "_path", "_mark"], "_text")
     rows = rows.join(known, rows["_key"] == known["_labelled"], "left").drop("_labelled")
     prior = float(np.log(model.rate / (1 - model.rate))) if model else 30.0
     chance = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(prior))))
@@ -227,18 +233,15 @@ def judged(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     met = met.withColumn("path_rate", path_rate)
     probability = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_rate")))))
     met = met.withColumn("probability", probability)
-    return met.select(F.col("_key").alias(key), "evidence", "host_rate", "path_rate", "probability",
+    return met.select("_key", "_host", "_path", "_mark", "evidence", "host_rate", "path_rate", "probability",
                       (F.col("probability") >= KEEP).alias("kept"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``documents`` that are kept, all columns as they are.
-
-    Rows that share a key, or have none, stay only if all of them are good.
-    """
-    good = (judged(documents, labels, key).groupBy(F.col(key).alias("_keep")).agg(F.bool_and("kept").alias("_good"))
-            .filter("_good").select("_keep"))
-    return documents.join(good, documents[key].eqNullSafe(good["_keep"]), "left_semi")
+    """The rows of ``documents`` that are kept, all columns as they are. Each row stands by its own result."""
+    found = _verdicts(documents, labels, key, "text", "source", "lang", SAMPLE)
+    good = found.filter("kept").withColumnsRenamed({"_host": "_source", "_path": "_lang"})
+    return rows_of(documents, good, key, "text", "lang", "source")
 
 
 def op10_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,9 +206,20 @@ def judged(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     Rows without a word have no distance and fail the base rule. Null languages and sources are sites of
     their own. Repeated rows each come back and count as often as they occur.
     """
+    return (_verdicts(documents, key, text, lang, source, cutoff)
+            .select(F.col("_key").alias(key), *COUNTS, "base_failed", "distance", "kept"))
+
+
+def text_mark(text: Column) -> Column:
+    """Digest by which equal texts are told; null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _verdicts(documents: DataFrame, key: str, text: str, lang: str, source: str, cutoff: float) -> DataFrame:
+    """(_key, _lang, _source, _mark, counts, base_failed, distance, kept) of every row."""
     named = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"),
-                             F.col(source).cast("string").alias("_source"))
-    rows = counted(named, ["_key", "_lang", "_source"], "_text")
+                             F.col(source).cast("string").alias("_source"), text_mark(F.col(text)).alias("_mark"))
+    rows = counted(named, ["_key", "_lang", "_source", "_mark"], "_text")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = stored(rows.withColumn("base_failed", base).withColumns(
         {f: F.when(F.col("n_words") > 0, c) for f, c in features().items()}), "counts")
@@ -226,17 +237,24 @@ def judged(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     distance = F.sqrt(F.pow(F.lit(2.0), _log_distance("centre", "precision")) - 1)
     return (met.withColumn("distance", distance)
             .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(False)))
-            .select(F.col("_key").alias(key), *COUNTS, "base_failed", "distance", "kept"))
+            .select("_key", "_lang", "_source", "_mark", *COUNTS, "base_failed", "distance", "kept"))
 
 
-def keep_good(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``documents`` that are kept, all columns as they are.
+def rows_of(documents: DataFrame, good: DataFrame, key: str, text: str, lang: str, source: str) -> DataFrame:
+    """The rows of ``documents`` whose key, language, source and text are those of a row of ``good``.
 
-    Rows that share a key, or have none, stay only if all of them are good.
+    These four decide a verdict, so each row stands by its own, also if rows share a key or have none.
     """
-    good = (judged(documents, key).groupBy(F.col(key).alias("_keep")).agg(F.bool_and("kept").alias("_good"))
-            .filter("_good").select("_keep"))
-    return documents.join(good, documents[key].eqNullSafe(good["_keep"]), "left_semi")
+    good = good.select("_key", "_lang", "_source", "_mark").distinct()
+    same = (documents[key].eqNullSafe(good["_key"]) & documents[lang].cast("string").eqNullSafe(good["_lang"])
+            & documents[source].cast("string").eqNullSafe(good["_source"]) & (text_mark(documents[text]) == good["_mark"]))
+    return documents.join(good, same, "left_semi")
+
+
+def keep_good(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``documents`` that are kept, all columns as they are. Each row stands by its own result."""
+    found = _verdicts(documents, key, "text", "lang", "source", CUTOFF)
+    return rows_of(documents, found.filter("kept"), key, "text", "lang", "source")
 
 
 def op8_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

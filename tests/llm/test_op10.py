@@ -76,3 +76,14 @@ def test_odd_rows(spark, tables, odd_documents, no_documents):
         assert op.keep_good(odd_documents, given).columns == odd_documents.columns
     assert all(r["kept"] for r in rows)
     assert op.judged(no_documents, labels).count() == 0 and op.keep_good(no_documents, labels).count() == 0
+
+
+def test_each_row_is_kept_by_its_own_result(spark, tables):
+    docs, labels = tables
+    found = op.judged(docs, labels).filter("evidence > 2").orderBy(F.desc("evidence")).limit(1).select("doc_id")
+    good = docs.join(found, "doc_id").first()
+    bad = docs.join(op.judged(docs, labels).orderBy("evidence").limit(1).select("doc_id"), "doc_id").first()
+    rows = [(k, r["text"], r["lang"], r["source"], n) for k in (None, 10**9) for n, r in enumerate((good, bad))]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {(r["doc_id"], r["n_chars"]) for r in op.keep_good(more, labels).filter("doc_id is null or doc_id = 1000000000").collect()}
+    assert kept == {(None, 0), (10**9, 0)}

@@ -101,3 +101,12 @@ def test_odd_rows(odd_documents, no_documents):
     assert len(rows) == odd_documents.count() and not any(r["kept"] for r in rows)
     assert op.keep_good(odd_documents).columns == odd_documents.columns
     assert op.judged(no_documents).count() == 0 and op.keep_good(no_documents).count() == 0
+
+
+def test_each_row_is_kept_by_its_own_result(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = op.judged(docs).filter("kept").limit(1).select("doc_id")
+    good = docs.join(kept, "doc_id").first()
+    rows = [(k, t, good["lang"], good["source"], n) for k in (None, 10**9) for n, t in enumerate((good["text"], "too short"))]
+    found = op.keep_good(docs.unionByName(spark.createDataFrame(rows, docs.schema))).filter("doc_id is null or doc_id = 1000000000")
+    assert {(r["doc_id"], r["n_chars"]) for r in found.collect()} == {(None, 0), (10**9, 0)}
