@@ -116,7 +116,10 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     ids = known.orderBy(F.xxhash64("_key"), "_key").limit(sample)
     # At most ``sample`` rows of two numbers.
     rows = documents.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = stored(rows.join(F.broadcast(ids), "_key").select("_text", "good"), "sample")
+    # One text of each sampled key, that of the smallest hash, so that rows which share a key count once; combines before the shuffle.
+    rows = (rows.join(F.broadcast(ids), "_key").groupBy("_key", "good")
+            .agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")))
+    rows = stored(rows.select("_text", "good"), "sample")
     rate = rows.agg(F.avg("good"), F.count("*")).first()
     if not rate[1] or not 0 < rate[0] < 1:
         return None

@@ -78,6 +78,15 @@ def test_odd_rows(spark, tables, odd_documents, no_documents):
     assert op.judged(no_documents, labels).count() == 0 and op.keep_good(no_documents, labels).count() == 0
 
 
+def test_one_key_on_many_rows_counts_once_in_the_sample(spark, tables):
+    docs, labels = tables
+    hot = labels.filter("quality = 1 and toxic = 0").agg(F.min("doc_id")).first()[0]
+    extra = spark.range(3000).select(F.lit(hot).alias("doc_id"), F.concat(F.lit("zebra crossing "), "id").alias("text"),
+                                     F.lit("en").alias("lang"), F.lit("s0").alias("source"), F.lit(20).cast("long").alias("n_chars"))
+    plain, model = op.fit(docs, labels), op.fit(docs.unionByName(extra), labels)
+    assert "zebra" not in model.words and abs(model.rate - plain.rate) < 1e-9
+
+
 def test_each_row_is_kept_by_its_own_result(spark, tables):
     docs, labels = tables
     found = op.judged(docs, labels).filter("evidence > 2").orderBy(F.desc("evidence")).limit(1).select("doc_id")
