@@ -110,3 +110,22 @@ def test_each_row_is_kept_by_its_own_result(spark):
     rows = [(k, t, good["lang"], good["source"], n) for k in (None, 10**9) for n, t in enumerate((good["text"], "too short"))]
     found = op.keep_good(docs.unionByName(spark.createDataFrame(rows, docs.schema))).filter("doc_id is null or doc_id = 1000000000")
     assert {(r["doc_id"], r["n_chars"]) for r in found.collect()} == {(None, 0), (10**9, 0)}
+
+
+def prose(rng, words):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(words))
+
+
+def kept_of(spark, texts):
+    """``kept`` of each text among 400 plain ones of its site."""
+    rng = random.Random(7)
+    rows = [(-k, prose(rng, 100 + k % 80), "en", "s") for k in range(1, 401)] + [(k, t, "en", "s") for k, t in enumerate(texts)]
+    found = op.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r["kept"] for r in found if r["doc_id"] < 0) and not any(r["base_failed"] for r in found)
+    return {r["doc_id"]: r["kept"] for r in found if r["doc_id"] >= 0}
+
+
+def test_a_third_of_a_site_in_copies_of_junk_goes(spark):
+    rng = random.Random(8)
+    junk = " ".join("#" + prose(rng, 1).upper() + "$|" for _ in range(80))
+    assert not any(kept_of(spark, [junk] * 200).values())
