@@ -129,3 +129,11 @@ def test_a_third_of_a_site_in_copies_of_junk_goes(spark):
     rng = random.Random(8)
     junk = " ".join("#" + prose(rng, 1).upper() + "$|" for _ in range(80))
     assert not any(kept_of(spark, [junk] * 200).values())
+
+
+def test_repeated_lines_or_words_alone_are_rejected_under_the_base_rule(spark):
+    rng = random.Random(9)
+    lines = "\n".join(["Home"] * 60 + [prose(rng, 1000) for _ in range(3)])
+    passage = prose(rng, 25)
+    words = " ".join([passage, prose(rng, 52), passage])
+    assert kept_of(spark, [lines, words]) == {0: False, 1: False}
