@@ -193,29 +193,46 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     fps = stored(fingerprints(documents, key, text, width), "fingerprints")
     by_fp = fps.groupBy("fp").agg(F.min(key).alias("_least"))
-    roots = components(links(by_fp, limit))
-    root = F.coalesce("component", "fp")
-    classes = by_fp.join(roots, by_fp.fp == roots.node, "left").select("fp", "_least", root.alias("_root"))
+    classes = _rooted(by_fp, limit)
     least = classes.groupBy("_root").agg(F.min("_least").alias("component_id"))
     of_fp = classes.join(least, "_root").select("fp", "component_id")
     return (fps.join(of_fp, "fp")
             .select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+def _rooted(by_fp: DataFrame, limit: int) -> DataFrame:
+    """Rows of distinct ``fp`` with ``_root``, the smallest fingerprint reachable."""
+    roots = components(links(by_fp, limit))
+    return by_fp.join(roots, by_fp.fp == roots.node, "left").withColumn("_root", F.coalesce("component", "fp")).drop("node", "component")
+
+
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4,
                 limit: int = 4) -> DataFrame:
     """The rows of ``documents``, one per group of near duplicates: that with the smallest key.
 
-    Of rows that repeat a key the one with the smallest text stays. A row without a key can't be told
-    from others, so it is kept as it is. All columns are kept.
+    Groups are of rows, not of keys: unlike texts under one key both stay, and rows without a key go where another row is
+    their near duplicate. Keys come before null, then the smallest digest of the text counts. All columns are kept.
     """
-    found = near_duplicates(documents, key, text, width, limit)
-    keep = found.filter(F.col("component_id") == F.col(key)).select(F.col(key).alias("_keep")).distinct()
-    rows = documents.join(keep, documents[key] == keep["_keep"], "left_semi")
+    mark, digest = "_mark", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    marked = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"), digest.alias(mark))
+    narrow = marked.select("_key", F.col("_key").cast("long").alias("_long"), mark, "_text")
+    kind = narrow.schema["_key"].dataType.simpleString()
+    schema = pa.schema([("_long", pa.int64()), (mark, pa.string()), ("fp", pa.int64())])
+    fps = (narrow.drop("_key").mapInArrow(lambda batches: each_text(batches, lambda t: (fingerprint(t, width),), schema),
+                                          f"_long long, {mark} string, fp long")
+           .select(F.col("_long").cast(kind).alias("_key"), mark, "fp"))
+    fps = stored(fps, "fingerprints")
+    # Two minima, each combined before the shuffle: of a fingerprint, then of a component.
+    first = F.struct(F.col("_key").isNull().alias("_none"), "_key", mark)
+    classes = _rooted(fps.groupBy("fp").agg(F.min(first).alias("_first")), limit)
+    keep = classes.groupBy("_root").agg(F.min("_first").alias("_first")).select("_first._key", F.col("_first." + mark).alias(mark))
+    rows = documents.join(keep, documents[key].eqNullSafe(keep["_key"])
+                          & (F.sha2(F.coalesce(documents[text], F.lit("")), 256) == keep[mark]), "left_semi")
+    # Rows that repeat key and text: a group limit before the shuffle leaves one of each task.
     number = "_row_of_key"
-    first = Window.partitionBy(F.col(key)).orderBy(F.col(text))
-    rows = rows.withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1).drop(number)
-    return rows.unionByName(documents.filter(F.col(key).isNull()))
+    others = F.to_json(F.struct(*[F.col(c) for c in documents.columns if c != text]))
+    same = Window.partitionBy(F.col(key), digest).orderBy(others)
+    return rows.withColumn(number, F.row_number().over(same)).filter(F.col(number) == 1).drop(number)
 
 
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,12 @@ def test_odd_rows(odd_documents, no_documents):
     assert kept.columns == odd_documents.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [-7, 1, 3, 5]
     assert op.near_duplicates(no_documents).count() == 0 and op.one_of_each(no_documents).count() == 0
+
+
+def test_survivors_are_chosen_by_row(spark):
+    rng = random.Random(5)
+    one, two, three, four = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(4))
+    rows = [(1, one, "a"), (5, one, "b"), (5, two, "c"), (5, three, "d"), (5, three, "d"), (None, one, "e"), (None, four, "f"),
+            (None, four, "f"), (None, three, "g")]
+    kept = op.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, note string")).collect()
+    assert sorted(r["note"] for r in kept) == ["a", "c", "d", "f"]
