@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from modelsieve.llm.op1_arc import op1_arc_to_warc
 from modelsieve.llm.op10_quality import op10_quality_bayes
+from modelsieve.llm.op13_merkle import SQL as OP13_SQL
+from modelsieve.llm.op13_merkle import op13_merkle_butterfly
 from modelsieve.llm.op2_sentencepiece import op2_sentencepiece_n_best
 from modelsieve.llm.op3_chat import op3_chat_events
 from modelsieve.llm.op4_epsilon_grid import op4_epsilon_grid_join
@@ -28,6 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mcd_outliers": op8_mcd_outliers,
     "op9_packing_cutting_stock": op9_packing_cutting_stock,
     "op10_quality_bayes": op10_quality_bayes,
+    "op13_merkle_butterfly": op13_merkle_butterfly,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op13_merkle_butterfly": OP13_SQL,
+}
