@@ -10,6 +10,7 @@ from modelsieve.llm.op1_arc import op1_arc_to_warc
 from modelsieve.llm.op10_quality import op10_quality_bayes
 from modelsieve.llm.op11_sketch import SQL as OP11_SQL
 from modelsieve.llm.op11_sketch import op11_threshold_sketch
+from modelsieve.llm.op12_whitening import op12_jacobi_davidson_whitening
 from modelsieve.llm.op13_merkle import SQL as OP13_SQL
 from modelsieve.llm.op13_merkle import op13_merkle_butterfly
 from modelsieve.llm.op2_sentencepiece import op2_sentencepiece_n_best
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing_cutting_stock": op9_packing_cutting_stock,
     "op10_quality_bayes": op10_quality_bayes,
     "op11_threshold_sketch": op11_threshold_sketch,
+    "op12_jacobi_davidson_whitening": op12_jacobi_davidson_whitening,
     "op13_merkle_butterfly": op13_merkle_butterfly,
 }
 
