@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modelsieve.llm.common import each_text, slices, stored
+from modelsieve.llm.common import each_text, scratch, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -43,12 +43,10 @@ def merge(a: np.ndarray, b: np.ndarray, fraction: int = FRACTION, least: int = L
     return kept(np.concatenate([a, b]), fraction, least)
 
 
-def sketch(text: str, width: int = WIDTH, fraction: int = FRACTION, least: int = LEAST) -> np.ndarray:
-    """Sorted kept hashes of a whole text. Fewer words than ``width`` are one shingle; without words the sketch is empty."""
-    words = text.encode("utf-8").lower().split()  # bytes: A-Z and ASCII white space only
-    out = np.empty(0, np.uint64)
+def hashed(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """Hash of every shingle, in order. Fewer words than ``width`` are one shingle, no words none."""
     if not words:
-        return out
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -56,12 +54,32 @@ def sketch(text: str, width: int = WIDTH, fraction: int = FRACTION, least: int =
         starts, ends = starts[:1], ends[-1:]
     else:
         starts, ends = starts[:len(words) - width + 1], ends[width - 1:]
+    out = np.empty(len(starts), np.uint64)
     for k in range(0, len(starts), CHUNK):
         raw = b"".join([md5(line[a:b]).digest() for a, b in zip(starts[k:k + CHUNK].tolist(), ends[k:k + CHUNK].tolist())])
-        out = merge(out, np.frombuffer(raw, ">u8")[::2].astype(np.uint64), fraction, least)
+        out[k:k + CHUNK] = np.frombuffer(raw, ">u8")[::2]
     return out
 
 
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8").lower().split()  # bytes: A-Z and ASCII white space only
+
+
+def sketch(text: str, width: int = WIDTH, fraction: int = FRACTION, least: int = LEAST) -> np.ndarray:
+    """Sorted kept hashes of a whole text; without words the sketch is empty."""
+    return kept(hashed(words_of(text), width), fraction, least)
+
+
+def rehashed(words: list[bytes], before: list[bytes], hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Hashes of ``words``, where they start like ``before`` taken from its ``hashes``."""
+    common = next((k for k, (a, b) in enumerate(zip(words, before)) if a != b), min(len(words), len(before)))
+    taken = max(0, common - width + 1)
+    if len(words) < width or not taken:
+        return hashed(words, width)
+    rest = words[taken:]
+    return np.concatenate([hashes[:taken], hashed(rest, width) if len(rest) >= width else np.empty(0, np.uint64)])
+
+
 def bound(hashes: np.ndarray, fraction: int = FRACTION, least: int = LEAST) -> int:
     """The largest number up to which the sketch holds every hash of its text."""
     if len(hashes) < least:
@@ -137,11 +155,29 @@ def _edited(text: str, follower: str) -> str:
     return text[:len(text) - cut] + follower[:cut]
 
 
-def _digest(text: str, own: np.ndarray, follower: str, other: np.ndarray, how: tuple[int, int, int]) -> tuple:
-    edited = _edited(text, follower)
-    changed = sketch(edited, *how)
-    return (len(text), sha256(edited.encode()).hexdigest(), written(own), written(changed), likeness(own, changed, *how[1:]),
-            likeness(own, other, *how[1:]))
+class _Held:
+    """A text with what its own row and that of the document before it need."""
+
+    def __init__(self, text: str, how: tuple[int, int, int]) -> None:
+        self.text, self.words = text, words_of(text)
+        self.hashes = hashed(self.words, how[0])
+        self.sketch = kept(self.hashes, *how[1:])
+
+
+def _digest(own: _Held, follower: _Held, how: tuple[int, int, int]) -> tuple:
+    edited = _edited(own.text, follower.text)
+    changed = kept(rehashed(words_of(edited), own.words, own.hashes, how[0]), *how[1:])
+    return (len(own.text), sha256(edited.encode()).hexdigest(), written(own.sketch), written(changed), likeness(own.sketch, changed, *how[1:]),
+            likeness(own.sketch, follower.sketch, *how[1:]))
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the way through the shuffle."""
+    for batch in slices(batches, 3):
+        raw = [value.as_py().encode() for value in batch.column(3)]
+        packed = [pa.compress(r, codec="zstd", asbytes=True) for r in raw]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary()), pa.array([len(r) for r in raw], pa.int64())],
+                                         names=["_key", "_digest", "_tie", "_packed", "_bytes"])
 
 
 def edits(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, fraction: int = FRACTION,
@@ -152,14 +188,15 @@ def edits(documents: DataFrame, key: str = "doc_id", text: str = "text", width:
     the last. Null texts are empty. Null keys come first, rows of one key by the MD5 of their texts; equal rows follow one another.
     Keys are whole numbers. A lone row follows itself. Other columns play no part.
 
-    Rows are sorted by ranges, so texts are shuffled once; a task streams through its range and holds two texts. Where one
+    Rows are sorted by ranges, so texts are shuffled once, compressed; a task streams through its range and holds two texts. Where one
     range ends and the next begins, the two texts at the border are set aside and met afterwards: two per task.
     """
     how = (width, fraction, least)
     narrow = documents.select(F.col(f"`{key}`").cast("long").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     by = [F.col("_key").asc_nulls_first(), F.col("_digest"), F.col("_tie")]
-    ranged = (narrow.withColumn("_digest", F.md5(F.col("_text").cast("binary"))).withColumn("_tie", F.monotonically_increasing_id())
-              .repartitionByRange(*by).sortWithinPartitions(*by).select("_key", "_text"))
+    packed = narrow.select("_key", F.md5(F.col("_text").cast("binary")).alias("_digest"), F.monotonically_increasing_id().alias("_tie"), "_text")
+    ranged = (packed.mapInArrow(_packed, "_key long, _digest string, _tie long, _packed binary, _bytes long")
+              .repartitionByRange(*by).sortWithinPartitions(*by).select("_key", "_packed", "_bytes"))
     names = [x.split()[0] for x in DIGEST.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     schema = pa.schema([("_part", pa.int64()), ("_end", pa.int32()), ("_key", pa.int64()), ("_text", pa.string()), *zip(names, kinds)])
@@ -176,28 +213,31 @@ def edits(documents: DataFrame, key: str = "doc_id", text: str = "text", width:
 
         none = (None,) * len(names)
         for batch in slices(batches, 1):
-            for at, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                now = value.as_py()
-                own = sketch(now, *how)
+            for at, value, size in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                now = _Held(pa.decompress(value.as_buffer(), size, "zstd", asbytes=True).decode(), how)
                 if last is None:
-                    rows.append((part, 0, at, now, *none))
+                    rows.append((part, 0, at, now.text, *none))
                 else:
-                    rows.append((part, None, last[0], None, *_digest(last[1], last[2], now, own, how)))
-                last = (at, now, own)
+                    rows.append((part, None, last[0], None, *_digest(last[1], now, how)))
+                last = (at, now)
             if rows:
                 yield flush()
         if last is not None:
-            rows.append((part, 1, last[0], last[1], *none))
+            rows.append((part, 1, last[0], last[1].text, *none))
             yield flush()
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = pa.schema([("_key", pa.int64()), *zip(names, kinds)])
         for batch in batches:
             for at, one, other in zip(*[c.to_pylist() for c in batch.columns]):
-                row = (at, *_digest(one, sketch(one, *how), other, sketch(other, *how), how))
+                row = (at, *_digest(_Held(one, how), _Held(other, how), how))
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, fields)], schema=fields)
 
-    done = stored(ranged.mapInArrow(stream, f"_part long, _end int, _key long, _text string, {DIGEST}"), "edits")
+    # Fingerprints are hex digits of hashes: only a codec with entropy coding makes them smaller.
+    made = ranged.mapInArrow(stream, f"_part long, _end int, _key long, _text string, {DIGEST}")
+    path = scratch(documents.sparkSession, "edits")
+    made.write.option("compression", "zstd").parquet(path)
+    done = documents.sparkSession.read.schema(made.schema).parquet(path)
     heads = done.filter("_end = 0").select(F.col("_part").alias("_next"), F.col("_text").alias("_follower"))
     # One number per task of the sort.
     after = Window.orderBy("_part")
