@@ -39,6 +39,55 @@ class Rule:
     text: bool = False          # match as Latin-1 text (Unicode classes), not as bytes
 
 
+def widest(rule: Rule) -> int | None:
+    """Most non-blank bytes a match can have; None if there is no bound. Blank runs do not count: shared context extends over them."""
+    parser = re._parser
+    flags = (re.IGNORECASE if rule.ignore_case else 0) | re.MULTILINE
+
+    def blank(items) -> bool:
+        return all(op is parser.IN and all(k is parser.CATEGORY and v is parser.CATEGORY_SPACE for k, v in value)
+                   or op is parser.LITERAL and chr(value) in " \t\n\r\x0b\x0c" for op, value in items)
+
+    def width(items) -> float:
+        total = 0.0
+        for op, value in items:
+            if op in (parser.MAX_REPEAT, parser.MIN_REPEAT, parser.POSSESSIVE_REPEAT):
+                low, high, inner = value
+                own = 0.0 if blank(inner) else width(inner)
+                total += own and (float("inf") if high is parser.MAXREPEAT else own * high)
+            elif op is parser.BRANCH:
+                total += max(width(v) for v in value[1])
+            elif op is parser.SUBPATTERN:
+                total += width(value[-1])
+            elif op in (parser.ASSERT, parser.ASSERT_NOT):
+                # What is looked at beyond the match must be there as well.
+                total += width(value[1])
+            elif op is parser.ATOMIC_GROUP:
+                total += width(value)
+            elif op is parser.AT:
+                continue
+            else:
+                total += float("inf") if op in (parser.GROUPREF, parser.GROUPREF_EXISTS) else 1
+        return total
+
+    found = width(parser.parse(rule.regex, flags))
+    return None if found == float("inf") else int(found)
+
+
+def shared_context(rules: Sequence[Rule], least: int = 64 << 10) -> int:
+    """Bytes neighbouring chunks must share so that no match of ``rules`` is lost at a border.
+
+    A rule without a bound raises: chunks of a file cannot answer for it.
+    """
+    most = 0
+    for rule in rules:
+        bound = widest(rule)
+        if bound is None:
+            raise ValueError(f"rule {rule.rule_id} can match any number of bytes; bound its repetitions, so that chunks can share enough")
+        most = max(most, bound)
+    return max(least, most + 2)
+
+
 def whole_content(df: DataFrame) -> DataFrame:
     """View a table with one ``content`` per artifact as single-chunk rows."""
     return df.withColumns({

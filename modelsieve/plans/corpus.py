@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modelsieve.functions.matching import shared_context
 from modelsieve.operators.admission import advisories, format_of
 from modelsieve.operators.ioc import ioc_screen
 from modelsieve.operators.literals import literal_presence
 from modelsieve.operators.scoring import assemble_results, final_verdict, inspector_risk, sdk_risk
-from modelsieve.plans.dispatch import FINDING_COLUMNS, READ_ERROR, engine_findings, inspector_findings
+from modelsieve.operators.signatures import SIGNATURES, Signature
+from modelsieve.plans.dispatch import FILE_FACTS, FINDING_COLUMNS, READ_ERROR, byte_findings, inspector_findings, structure_findings
 from modelsieve.session import shared_dir
-from modelsieve.sources.artifacts import (artifact_chunks, artifact_prefix, file_hashes, gguf_kv_of_files,
-                                          pickle_ops_of_files, safetensors_heads, template_blocks_of_files, with_ids)
+from modelsieve.sources.artifacts import (artifact_chunks, artifact_prefix, gguf_kv_of_files, pickle_ops_of_files,
+                                          safetensors_heads, template_blocks_of_files, with_ids)
 
 FORMAT_HEAD = 100
 
@@ -42,42 +45,43 @@ class CorpusScan:
 
 
 def scan_files(spark: SparkSession, manifest: DataFrame, iocs: DataFrame | None = None,
-               limit: int | None = None) -> CorpusScan:
+               limit: int | None = None, signatures: Sequence[Signature] = SIGNATURES) -> CorpusScan:
     """Engine-profile scan of the files of a manifest, whole files unless ``limit`` says otherwise.
 
-    1. one pass hashes every file, 2. known-bad hashes are set aside before any
-    detector runs, 3. the format is read from the first bytes, 4. chunk, opcode
-    and header readers run only on the files of their format, 5. findings are
-    stored once and scored from the stored table.
+    1. one pass opens every file once and gives its hash, its format and the byte-level findings, stored together; 2. files with a
+    known-bad hash are set aside; 3. opcode and header walkers run only on the other files of their format; 4. all findings are
+    stored once and scored from the stored table. ``signatures`` replaces the built-in catalogue; the bytes that neighbouring
+    chunks share follow from its widest rule.
 
     A file that any pass cannot read, or that is longer than ``limit``, is never clean: its status is ``error``
     (``partial`` in the message of the latter) and it has no score.
     """
-    files = stored(file_hashes(with_ids(manifest)), "files")
+    listed = stored(with_ids(manifest), "listed")
+    chunks = artifact_chunks(listed, limit, context=shared_context([s.rule() for s in signatures]), facts=True)
+    chunks = chunks.withColumn("format", format_of(F.coalesce("head", F.lit(b"")), F.col("filename")))
+    first = stored(byte_findings(chunks, signatures).select(*FINDING_COLUMNS), "bytes")
+    facts = first.filter(F.col("type") == FILE_FACTS).select("artifact_id", F.col("pattern_id").alias("format"), F.col("desc").alias("file_hash"))
+    failed = first.filter(F.col("type") == READ_ERROR).groupBy("artifact_id").agg(F.min("desc").alias("error"))
+    files = stored(listed.join(facts, "artifact_id", "left").join(failed, "artifact_id", "left"), "files")
     sound = files.filter("error is null").drop("error")
     if iocs is None:
         iocs = spark.createDataFrame([], "file_hash string")
-    hits, rest = ioc_screen(sound, iocs)
-    routed = stored(artifact_prefix(rest, FORMAT_HEAD).withColumn(
-        "format", format_of(F.col("content"), F.col("filename"))).drop("content"), "routed")
-    open_ = routed.filter("error is null").drop("error")
+    hits, open_ = ioc_screen(sound, iocs)
     of = lambda *formats: open_.filter(F.col("format").isin(*formats))
-    seen = stored(engine_findings(
-        artifact_chunks(open_, limit), pickle_ops_of_files(of("pickle", "unknown"), limit),
-        template_blocks_of_files(of("gguf")), artifact_chunks(of("onnx"), limit).filter("error is null"),
-        safetensors_heads(of("safetensors")), chunked=True).select(*FINDING_COLUMNS), "findings")
+    walked = structure_findings(
+        pickle_ops_of_files(of("pickle", "unknown"), limit), template_blocks_of_files(of("gguf")),
+        artifact_chunks(of("onnx"), limit).filter("error is null"), safetensors_heads(of("safetensors")), chunked=True)
+    in_bytes = first.filter(F.col("type") != FILE_FACTS).join(hits.select("artifact_id"), "artifact_id", "left_anti")
+    seen = stored(in_bytes.unionByName(walked.select(*FINDING_COLUMNS)), "findings")
     findings = seen.filter(F.col("type") != READ_ERROR)
+    routed = open_.unionByName(files.filter("error is not null").drop("error").withColumn("format", F.lit("unknown")), allowMissingColumns=True)
     path = routed.select("artifact_id", "path")
-    errors = (files.filter("error is not null").select("artifact_id", "path", "error")
-              .unionByName(routed.filter("error is not null").select("artifact_id", "path", "error"))
-              .unionByName(seen.filter(F.col("type") == READ_ERROR).select("artifact_id", F.col("desc").alias("error"))
-                           .distinct().join(path, "artifact_id")))
+    errors = (seen.filter(F.col("type") == READ_ERROR).select("artifact_id", F.col("desc").alias("error"))
+              .distinct().join(path, "artifact_id"))
     if limit is not None:
         errors = errors.unionByName(routed.filter(F.col("length") > limit).select(
             "artifact_id", "path", F.format_string("partial: %d of %d bytes were scanned", F.lit(limit), F.col("length")).alias("error")))
-    unread = files.filter("error is not null").select(*[c for c in routed.columns if c not in ("format", "error")], F.lit("unknown").alias("format"))
-    scanned = routed.drop("error").unionByName(unread, allowMissingColumns=True)
-    results = assemble_results(scanned.withColumn("file_size", F.col("length")), findings, errors=errors)
+    results = assemble_results(routed.withColumn("file_size", F.col("length")), findings, errors=errors)
     known = hits.select(
         "artifact_id", "filename", F.lit(0).alias("page"), "risk_score", "risk_level",
         F.lit("danger").alias("status"), F.lit(1).cast("bigint").alias("threats_found"),

@@ -22,8 +22,9 @@ from modelsieve.operators.signatures import SIGNATURES, Signature, signature_cat
 from modelsieve.operators.templates import block_findings, template_blocks
 
 # Findings are ordered by phase (signatures, structure, entropy), rule, offset.
-SIGNATURE_PHASE, STRUCTURE_PHASE, ENTROPY_PHASE, ERROR_PHASE = 0, 1, 2, 3
+SIGNATURE_PHASE, STRUCTURE_PHASE, ENTROPY_PHASE, ERROR_PHASE, FACT_PHASE = 0, 1, 2, 3, 4
 READ_ERROR = "read_error"
+FILE_FACTS = "file_facts"
 
 FINDING_COLUMNS = {
     "artifact_id": None, "type": "string", "pattern_id": "string", "category": "string",
@@ -83,17 +84,21 @@ def read_errors(df: DataFrame, message: str = "error") -> DataFrame:
 
 def byte_findings(chunks: DataFrame, signatures: Sequence[Signature] = SIGNATURES) -> DataFrame:
     """Signatures and entropy in one pass: each chunk is read once and crosses to
-    Python once, where only rules with a present anchor are matched."""
+    Python once, where only rules with a present anchor are matched.
+
+    Chunks with a ``file_hash`` also give a row FILE_FACTS with format and hash, so that the pass over the bytes is the only one.
+    """
     signatures = list(signatures)
     rules = [s.rule() for s in signatures]
     # a SafeTensors file too short for its length field is not scanned at all
     scanned = (F.col("format") != "safetensors") | (F.col("file_len") >= 8)
     block = (F.when((F.col("format") == "safetensors") | (F.col("file_len") < MIN_FILE), 0)
              .when(F.col("format") == "onnx", ONNX_BLOCK).otherwise(BLOCK))
-    seen = (with_candidates(chunks.filter(scanned), rules).withColumn("_block", block)
-            .withColumn("_error", F.col("error") if "error" in chunks.columns else F.lit(None).cast("string"))
-            .filter((F.size("_rules") > 0) | (F.col("_block") > 0) | F.col("_error").isNotNull())
-            .select("artifact_id", "_block", "own_len", "_error", (F.col("base_offset") + F.col("own_start")).alias("_at"),
+    given = lambda name: F.col(name) if name in chunks.columns else F.lit(None).cast("string")
+    chunks = chunks.withColumns({"_error": given("error"), "_hash": given("file_hash")})
+    seen = (with_candidates(chunks.withColumn("content", F.when(scanned, F.col("content")).otherwise(F.lit(b""))), rules).withColumn("_block", block)
+            .filter((F.size("_rules") > 0) | (F.col("_block") > 0) | F.col("_error").isNotNull() | F.col("_hash").isNotNull())
+            .select("artifact_id", "format", "_hash", "_block", "own_len", "_error", (F.col("base_offset") + F.col("own_start")).alias("_at"),
                     match_offsets(rules)("content", "base_offset", "own_start", "own_len", "_rules").alias("_m"),
                     block_entropies("content", "own_start", "own_len", "_block").alias("_e")))
     none = F.lit(None)
@@ -106,20 +111,24 @@ def byte_findings(chunks: DataFrame, signatures: Sequence[Signature] = SIGNATURE
         F.least(F.col("_block"), F.col("own_len") - i * F.col("_block")), bits)),
         lambda b: (b["bits"] > THRESHOLD) & (b["size"] >= MIN_BLOCK))
     failed = F.when(F.col("_error").isNotNull(), F.array(row(ERROR_PHASE, F.lit(0), F.col("_at"), none, none))).otherwise(F.array())
-    hits = seen.select("artifact_id", "_error", F.explode(F.concat(matches, blocks, failed)).alias("h")).select("artifact_id", "_error", "h.*")
+    facts = F.when(F.col("_hash").isNotNull(), F.array(row(FACT_PHASE, F.lit(0), F.lit(0), none, none))).otherwise(F.array())
+    own = ("artifact_id", "format", "_hash", "_error")
+    hits = seen.select(*own, F.explode(F.concat(matches, blocks, failed, facts)).alias("h")).select(*own, "h.*")
     catalog = signature_catalog(chunks.sparkSession, signatures).select(
         F.lit(SIGNATURE_PHASE).alias("phase"), F.col("position").alias("rule_no"),
         F.col("id").alias("pattern_id"), "category", "severity", "cvss_score", "cvss_vector", "desc")
     named = hits.join(catalog, ["phase", "rule_no"], "left")
     is_error = F.col("phase") == ERROR_PHASE
     is_block = F.col("phase") == ENTROPY_PHASE
+    is_fact = F.col("phase") == FACT_PHASE
     bits = F.round("bits", 3)
     return named.select(
-        "artifact_id", F.when(is_error, READ_ERROR).when(is_block, "possible_encrypted_payload").otherwise("pattern_match").alias("type"),
-        "pattern_id", "category", "offset",
+        "artifact_id", F.when(is_error, READ_ERROR).when(is_fact, FILE_FACTS).when(is_block, "possible_encrypted_payload")
+        .otherwise("pattern_match").alias("type"),
+        F.when(is_fact, F.col("format")).otherwise(F.col("pattern_id")).alias("pattern_id"), "category", "offset",
         F.when(is_block, "high").otherwise(F.col("severity")).alias("severity"),
         "cvss_score", "cvss_vector",
-        F.when(is_error, F.col("_error"))
+        F.when(is_error, F.col("_error")).when(is_fact, F.col("_hash"))
          .when(is_block, F.format_string("High entropy chunk detected (%s). Possible encrypted payload.",
                                          bits.cast("string"))).otherwise(F.col("desc")).alias("desc"),
         F.col("size"), bits.alias("entropy"),
@@ -136,12 +145,16 @@ def engine_findings(chunks: DataFrame, ops: DataFrame, templates: DataFrame, onn
     ``ops`` are walked opcodes of the pickle route; ``onnx`` holds chunks of that
     format; ``templates`` are the template blocks of GGUF artifacts; ``safetensors`` has the header in ``content``.
     """
+    return union_all([byte_findings(chunks, signatures).select(*FINDING_COLUMNS), structure_findings(ops, templates, onnx, safetensors, chunked)])
+
+
+def structure_findings(ops: DataFrame, templates: DataFrame, onnx: DataFrame, safetensors: DataFrame, chunked: bool) -> DataFrame:
+    """The engine detectors beside the byte-level ones; inputs as in ``engine_findings``."""
     onnx = onnx_ops(onnx, chunked)
     opcodes = opcode_findings(ops)
     failed = [read_errors(ops.filter("op = 'READ_ERROR'"), "arg")]
     failed += [read_errors(df) for df in (templates, safetensors) if "error" in df.columns]
     return union_all([
-        byte_findings(chunks, signatures).select(*FINDING_COLUMNS),
         as_findings(opcodes, STRUCTURE_PHASE, F.col("rule_no")),
         as_findings(block_findings(templates), STRUCTURE_PHASE),
         as_findings(onnx, STRUCTURE_PHASE, F.col("rule_no")),

@@ -1,19 +1,17 @@
 """Artifact files: listing, range reads in chunks, leading bytes, streams.
 
 No file ever becomes one row of a shuffle. The listing does not read bytes;
-executors read byte ranges themselves, each range in its own row, and rows of
-one large file are spread over the cluster.
+executors read them through the data source of ``sources.reader``, each range in
+its own row, and rows of one large file are spread over the cluster. Walkers of
+a format (opcodes, key-value pairs, template blocks) stream through a file.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +19,10 @@ from modelsieve.operators.gguf import KV_SCHEMA, kv_batches
 from modelsieve.operators.pickles import OPS_SCHEMA, ops_batches
 from modelsieve.operators.safetensors import MAX_HEADER
 from modelsieve.operators.templates import iter_blocks
+from modelsieve.sources.reader import BYTES_PER_TASK, CHUNK, CONTEXT, MIB, READ_ERRORS, located, read_artifacts
 
 DEFAULT_EXTENSIONS = ("gguf", "safetensors", "pkl", "pickle", "pt", "pth")
 
-MIB = 1 << 20
-# What reading can fail with; everything else is a fault of the program.
-READ_ERRORS = (OSError, pa.ArrowException)
-CHUNK = 4 * MIB
-# What neighbouring chunks share, on either side: matches up to this many non-blank bytes are found across a border. The built-in
-# signatures are under 64 bytes without blanks; a catalogue with longer ones passes its own.
-CONTEXT = 64 << 10
-_BLANK = b" \t\n\r\x0b\x0c"
-
-
 def artifact_manifest(spark: SparkSession, root: str, exts=DEFAULT_EXTENSIONS) -> DataFrame:
     """(path, filename, ext, length, modified) of the files below ``root``.
 
@@ -61,28 +50,10 @@ def with_ids(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("artifact_id", artifact_id(F.col("path"), F.col("modified"), F.col("length")))
 
 
-@lru_cache(maxsize=16)
-def _store(root: str) -> fs.FileSystem:
-    """Client of a store, kept for the life of a worker. ``root`` has no path, so no name in it needs quoting."""
-    return fs.FileSystem.from_uri(root)[0]
-
-
-def _located(path: str) -> tuple[fs.FileSystem, str]:
-    """Store and plain name of a Spark path (local, hdfs, s3, gs); names may hold blanks and any other characters."""
-    if path.startswith("file:"):
-        path = "/" + path[len("file:"):].lstrip("/")
-    if path.startswith("/"):
-        return fs.LocalFileSystem(), path
-    scheme, _, rest = path.partition("://")
-    authority, _, name = rest.partition("/")
-    scheme = "s3" if scheme in ("s3a", "s3n") else scheme
-    return _store(f"{scheme}://{authority}"), f"/{name}" if scheme in ("hdfs", "viewfs") else f"{authority}/{name}"
-
-
 @contextmanager
 def open_path(path: str):
     """Random-access read handle for a Spark path."""
-    system, inner = _located(path)
+    system, inner = located(path)
     handle = system.open_input_file(inner)
     try:
         yield handle
@@ -96,7 +67,7 @@ def write_files(table: DataFrame, root: str) -> None:
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                system, inner = _located(f"{root.rstrip('/')}/{name}")
+                system, inner = located(f"{root.rstrip('/')}/{name}")
                 system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(inner) as out:
                     out.write(content)
@@ -135,9 +106,6 @@ class _Prefix:
         return self.handle.tell()
 
 
-BYTES_PER_TASK = 256 * MIB
-
-
 def spread_reads(files: DataFrame, bytes_col: Column, *keys: str) -> DataFrame:
     """Repartition read orders so that a task reads about ``BYTES_PER_TASK``.
 
@@ -151,70 +119,18 @@ def spread_reads(files: DataFrame, bytes_col: Column, *keys: str) -> DataFrame:
     return files.repartition(tasks, *keys)
 
 
-def _read_range(handle, base: int, size: int, limit: int, context: int = CONTEXT) -> tuple[int, bytes]:
-    """Bytes of one chunk with shared context; returns (context length, bytes).
+def artifact_chunks(manifest: DataFrame, limit: int | None = None, chunk: int = CHUNK, context: int = CONTEXT, facts: bool = False) -> DataFrame:
+    """Chunk rows of every file, or of its first ``limit`` bytes; ``facts`` adds ``head`` and ``file_hash`` (in one row of each file).
 
-    The context after the chunk runs on until it holds ``context`` non-blank
-    bytes, so a match that starts in the chunk ends in it however much blank
-    space it spans.
+    A range that cannot be read gives a row with ``error`` set instead of
+    failing the job.
     """
-    first = max(0, base - context)
-    handle.seek(first)
-    data = bytearray(handle.read(min(base + size, limit) - first))
-    own = data[base - first:]
-    if own.strip(_BLANK):
-        text, at = 0, first + len(data)
-        while text < context and at < limit:
-            piece = handle.read(min(context - text, limit - at))
-            if not piece:
-                break
-            data += piece
-            at += len(piece)
-            text += len(piece) - sum(piece.count(bytes([b])) for b in _BLANK)
-    return base - first, bytes(data)
-
-
-def artifact_chunks(manifest: DataFrame, limit: int | None = None, chunk: int = CHUNK, context: int = CONTEXT) -> DataFrame:
-    """Chunk rows of every file, or of its first ``limit`` bytes.
-
-    The ranges, not the bytes, are shuffled to spread them; the bytes are then
-    read where they are used. A range that cannot be read gives a row with
-    ``error`` set instead of failing the job.
-    """
-    size = _read_bytes(limit).cast("bigint")
     if "artifact_id" not in manifest.columns:
         manifest = with_ids(manifest)
     keep = ["artifact_id", "path", "filename", "ext", "length"]
     keep += [c for c in ("format",) if c in manifest.columns]
-    ranges = (manifest.select(*keep, size.alias("file_len"))
-              .withColumn("chunk_no", F.explode(F.sequence(
-                  F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("file_len") / chunk) - 1, F.lit(0))))))
-    own_bytes = F.least(F.lit(chunk).cast("bigint"), F.col("file_len") - F.col("chunk_no") * chunk)
-    ranges = spread_reads(ranges, own_bytes, "path", "chunk_no")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                base = row["chunk_no"] * chunk
-                own = max(0, min(chunk, row["file_len"] - base))
-                error, lead, data = None, 0, b""
-                try:
-                    with open_path(row["path"]) as handle:
-                        lead, data = _read_range(handle, base, chunk, row["file_len"], context)
-                except READ_ERRORS as exc:
-                    error, own = str(exc), 0
-                row |= {"base_offset": base - lead, "own_start": lead, "own_len": own,
-                        "content": data, "error": error}
-                # one row per batch: a task never holds more than one chunk
-                yield pa.RecordBatch.from_pylist([row], schema=out_schema)
-
-    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    fields = [(f.name, f.dataType.simpleString()) for f in ranges.schema.fields]
-    fields += [("base_offset", "bigint"), ("own_start", "int"), ("own_len", "int"),
-               ("content", "binary"), ("error", "string")]
-    out_schema = pa.schema([(name, types[kind]) for name, kind in fields])
-    return ranges.mapInArrow(read, ", ".join(f"{n} {k}" for n, k in fields))
+    made = ["file_len", "chunk_no", "base_offset", "own_start", "own_len", "content", *(["head", "file_hash"] if facts else []), "error"]
+    return read_artifacts(manifest.select(*keep), made, limit, chunk=chunk, context=context)
 
 
 def split_content(df: DataFrame, limit: int | None = None, chunk: int = CHUNK, context: int = CONTEXT) -> DataFrame:
@@ -248,14 +164,8 @@ def artifact_prefix(manifest: DataFrame, limit: int | None) -> DataFrame:
 
 def file_hashes(manifest: DataFrame) -> DataFrame:
     """Add ``file_hash``: SHA-256 of each whole file, streamed in blocks."""
-
-    def digest(handle, row):
-        sha = hashlib.sha256()
-        while block := handle.read(MIB):
-            sha.update(block)
-        return {"file_hash": sha.hexdigest()}
-
-    return _per_file(manifest, None, {"file_hash": ("string", pa.string())}, digest)
+    keep = [c for c in ("artifact_id", "path", "filename", "ext", "length", "format") if c in manifest.columns]
+    return read_artifacts(manifest.select(*keep), ["file_hash", "error"])
 
 
 def _read_bytes(limit: int | None) -> Column:
