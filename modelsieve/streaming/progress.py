@@ -59,7 +59,7 @@ class _LatestStage(StatefulProcessor):
         self.handle.registerTimer(max(micros // 1000 + ABANDONED_AFTER_MS, timer_values.getCurrentWatermarkInMs() + 1))
         yield self._row(key[0], stage, progress, micros, stage in TERMINAL)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.last.exists():
             stage, progress, micros, _ = self.last.get()
             self.last.clear()
