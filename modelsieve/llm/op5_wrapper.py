@@ -4,15 +4,18 @@
    one slot, so a list or an article of any length has one shape.
 2. A host's reference tree is its most frequent shape. All shapes of the host are aligned to it by simple tree
    matching (the largest common top-down mapping that keeps sibling order), once per shape and reference.
-3. Over all distinct pages of the host each slot of the reference counts its texts: slots whose text stays the same are template, slots
-   whose text varies are data. The lowest node above all data slots that are not page furniture is the content region.
+3. Over all distinct pages of the host each slot of the reference counts its texts exactly: a slot whose most frequent text is that of
+   ``CONSTANT`` of the pages is template, the others are data, on a host of any size alike. The lowest node above all data slots that are not page furniture is the content region.
 4. A page's text is what lies in the region of its host, by its own alignment, without furniture (menus, headers, footers,
    sidebars, notices, adverts, forms, comments) and without template slots outside an article.
 
 Hosts with fewer than ``LEAST_PAGES`` distinct pages, and pages that do not align with the region, use their own article or
 main element, else the body.
 
-Slot statistics are grouped aggregations with sketches of bounded size; the only thing that meets a page again is its host's wrapper.
+An element counts as furniture by its class or id only if one of these names as a whole says so (``related-posts``, not ``related-work``),
+and never if it holds the page's main element or heading. A page that would have no text at all is read without these names.
+
+Slot statistics are grouped aggregations, combined before the shuffle; the only thing that meets a page again is its host's wrapper.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ import html
 import re
 import sys
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
@@ -34,9 +37,9 @@ from modelsieve.llm.common import stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAST_PAGES = 3
-DEEPEST = 256     # blocks nested deeper become siblings; their text stays
-WIDEST = 1_000_000  # pairs of children beyond which the first fitting partner is taken
-VARYING = 0.2     # distinct texts per page from which a slot is data
+CONSTANT = 0.8    # share of pages with the same text from which a slot is template
+TABLE = 4_000_000  # pairs of children beyond which the matching is found by halves, in memory that grows with one side only
+MEMO = 1_000_000  # shapes and pairs that a task remembers
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -51,6 +54,10 @@ FURNITURE_WORDS = frozenset(("ad ads advert adverts advertisement advertising sp
                              "social related recommended comment comments commentlist respond toolbar pagination pager disclaimer "
                              "complementary contentinfo search alert dialog form").split())
 HEADER_WORDS = frozenset("header masthead banner".split())
+#: What a name may hold beside such a word.
+NEUTRAL_WORDS = frozenset(("area bar block body bottom box button buttons col column container content entry global group inner item items left "
+                           "link links list main module outer page panel post posts primary region right row secondary section site slot "
+                           "text title top unit user widget wrap wrapper").split())
 WHOLE = frozenset("html body main article".split())
 #: What a start tag closes when it is the innermost open block.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"),
@@ -63,81 +70,149 @@ class Node:
     def __init__(self, tag: str, label: str, out: bool) -> None:
         self.tag, self.label, self.out = tag, label, out
         self.parts: list[Node | str] = []
-        self.shape, self.slot = "", -1
+        self.shape, self.slot = -1, -1
+
 
+def _says(name: str, words: frozenset[str]) -> bool:
+    """Whether a class or id as a whole names one of ``words``, alone or with neutral words beside it."""
+    parts = set(_WORD.findall(name))
+    return bool(parts & words) and parts <= words | NEUTRAL_WORDS
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """(label, whether the element and all in it is no content)."""
+
+def _is_furniture(tag: str, attributes: str, in_article: bool, names: bool = True) -> tuple[str, bool, bool]:
+    """(label, whether the element and all in it is no content, whether only a name says so that its content can overrule)."""
     if tag in FURNITURE or (tag == "header" and not in_article):
-        return tag, True
+        return tag, True, False
     if not attributes or tag in WHOLE:
-        return tag, False
+        return tag, False, False
     words: set[str] = set()
+    by_name = header = False
     for _, a, b, c in _ATTRIBUTE.findall(attributes):
-        words.update(_WORD.findall((a or b or c).lower()))
-    out = bool(words & FURNITURE_WORDS) or bool(words & HEADER_WORDS and not in_article)
-    return f"{tag}.{'-'.join(sorted(words))}" if words else tag, out
+        value = (a or b or c).lower()
+        words.update(_WORD.findall(value))
+        if names:
+            for name in value.split():
+                by_name |= _says(name, FURNITURE_WORDS)
+                header |= not in_article and _says(name, HEADER_WORDS)
+    return f"{tag}.{'-'.join(sorted(words))}" if words else tag, by_name or header, by_name and not header
+
 
+def parse(page: str, names: bool = True) -> Node:
+    """The tree of blocks of a page, broken markup included. Comments, scripts and the like leave nothing.
 
-def parse(page: str) -> Node:
-    """The tree of blocks of a page, broken markup included. Comments, scripts and the like leave nothing."""
+    Blocks may be nested to any depth. ``names`` says whether classes and ids can make an element furniture.
+    """
     root = Node("html", "html", False)
     stack, articles = [root], 0
+    is_open: dict[str, int] = {}
+    unsure: list[Node] = []   # open elements that a name alone makes furniture
     at = 0
-    while found := _TAG.search(page, at):
+
+    def close(keep: int) -> None:
+        nonlocal articles
+        for n in stack[keep:]:
+            is_open[n.tag] -= 1
+            articles -= n.tag == "article"
+            if unsure and unsure[-1] is n:
+                unsure.pop()
+        del stack[keep:]
+
+    last = page.rfind(">") + 1   # no tag ends beyond, so none is looked for there
+    while found := _TAG.search(page, at, last):
         if found.start() > at:
             stack[-1].parts.append(page[at:found.start()])
         at = found.end()
         if found[2] is None:
+            if found[0].startswith("<!--") and not found[0].endswith("-->"):
+                at = len(page)
             continue
         tag = found[2].lower()
         if found[1]:
-            if tag not in INLINE or any(n.tag == tag for n in stack[1:]):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        articles -= sum(n.tag == "article" for n in stack[k:])
-                        del stack[k:]
-                        break
+            if is_open.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                if k:
+                    close(k)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at, last)
             at = end.end() if end else len(page)
             continue
         if tag in ("html", "body"):
             continue
-        label, out = _is_furniture(tag, found[3], articles > 0)
+        label, out, doubtful = _is_furniture(tag, found[3], articles > 0, names)
         if tag in INLINE and not (out and tag in ("a", "span")):
             stack[-1].parts.append(" " if tag == "br" else "")
             continue
         if tag not in INLINE:
             while stack[-1].tag == "p" or stack[-1].tag in CLOSES.get(tag, ()):
-                stack.pop()
+                close(len(stack) - 1)
+        if tag in ("main", "h1"):
+            for n in unsure:
+                n.out = False
+            unsure.clear()
         node = Node(tag, label, out)
         stack[-1].parts.append(node)
-        if tag != "hr" and not found[3].endswith("/") and (out or len(stack) < DEEPEST):
+        if tag != "hr" and not found[3].endswith("/"):
             stack.append(node)
+            is_open[tag] = is_open.get(tag, 0) + 1
             articles += tag == "article"
+            if doubtful:
+                unsure.append(node)
     if at < len(page) and not re.match(r"<[a-zA-Z/!]", page[at:at + 2]):
-        stack[-1].parts.append(page[at:])
+        stack[-1].parts.append(page[at:].partition("<!--")[0])
     return root
 
 
+class Pool:
+    """Distinct trees, each by a number; equal trees have equal numbers."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[str, tuple[int, ...]], int] = {}
+        self.labels: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+
+    def number(self, label: str, children: tuple[int, ...]) -> int:
+        found = self.numbers.setdefault((label, children), len(self.labels))
+        if found == len(self.labels):
+            self.labels.append(label)
+            self.children.append(children)
+            self.sizes.append(1 + sum(self.sizes[c] for c in children))
+        return found
+
+
 def shape(node: Node) -> str:
-    """The shape below a node, runs of equal siblings once: ``label(child,child)``. Deep trees are walked without recursion."""
+    """The shape below a node, runs of equal siblings once: ``label(child,child)``. Every node gets its number as ``shape``."""
+    pool = Pool()
     todo: list[tuple[Node, bool]] = [(node, False)]
     while todo:
         now, ready = todo.pop()
-        inner = [p for p in now.parts if not isinstance(p, str)]
+        inner = [p for p in now.parts if not isinstance(p, str)] if not now.out else []
         if not ready:
             todo.append((now, True))
-            todo += [(p, False) for p in inner if not now.out]
+            todo += [(p, False) for p in inner]
+            continue
+        runs: list[int] = []
+        for p in inner:
+            if not runs or runs[-1] != p.shape:
+                runs.append(p.shape)
+        now.shape = pool.number(now.label, tuple(runs))
+    out: list[str] = []
+    open_: list[int | str] = [node.shape]
+    while open_:
+        token = open_.pop()
+        if isinstance(token, str):
+            out.append(token)
             continue
-        shapes: list[str] = []
-        for p in inner if not now.out else ():
-            if not shapes or shapes[-1] != p.shape:
-                shapes.append(p.shape)
-        now.shape = now.label + (f"({','.join(shapes)})" if shapes else "")
-    return node.shape
+        out.append(pool.labels[token])
+        if kids := pool.children[token]:
+            out.append("(")
+            open_.append(")")
+            for k, c in enumerate(reversed(kids)):
+                open_ += [",", c] if k else [c]
+    return "".join(out)
 
 
 def number_slots(node: Node) -> int:
@@ -167,10 +242,6 @@ def number_slots(node: Node) -> int:
     return count
 
 
-Tree = tuple[str, tuple]
-
-
-@lru_cache(maxsize=4096)
 def tree(text: str) -> tuple[list[str], list[list[int]]]:
     """Labels and children of the slots of a shape, in its order."""
     labels: list[str] = []
@@ -190,59 +261,146 @@ def tree(text: str) -> tuple[list[str], list[list[int]]]:
     return labels, children
 
 
-@lru_cache(maxsize=8192)
+class Aligner:
+    """Simple tree matching, with what it has found kept for the pages of one task.
+
+    Scores belong to pairs of distinct trees, so the many equal parts of two pages are compared once, and equal trees not at all.
+    """
+
+    def __init__(self) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pool = Pool()
+        self.trees: dict[str, tuple[list[str], list[list[int]], list[int]]] = {}
+        self.scores: dict[tuple[int, int], int] = {}
+        self.found: dict[tuple[str, str], tuple[int, ...]] = {}
+
+    def tree(self, text: str) -> tuple[list[str], list[list[int]], list[int]]:
+        """Labels and children of the slots of a shape, and the number of the tree below each."""
+        if text not in self.trees:
+            labels, children = tree(text)
+            numbers = [0] * len(labels)
+            for slot in range(len(labels) - 1, -1, -1):
+                numbers[slot] = self.pool.number(labels[slot], tuple(numbers[c] for c in children[slot]))
+            self.trees[text] = labels, children, numbers
+        return self.trees[text]
+
+    def _table(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of distinct children, and the place of each child among them."""
+        (ux, ix), (uy, iy) = np.unique(xs, return_inverse=True), np.unique(ys, return_inverse=True)
+        labels = self.pool.labels
+        table = np.zeros((len(ux), len(uy)), np.int64)
+        by_label: dict[str, list[int]] = {}
+        for j, y in enumerate(uy.tolist()):
+            by_label.setdefault(labels[y], []).append(j)
+        for i, x in enumerate(ux.tolist()):
+            for j in by_label.get(labels[x], ()):
+                table[i, j] = self.scores[x, int(uy[j])]
+        return table, ix.ravel(), iy.ravel()
+
+    @staticmethod
+    def _last_row(table: np.ndarray, ix: np.ndarray, iy: np.ndarray) -> np.ndarray:
+        """Best totals of all ``ix`` with each beginning of ``iy``."""
+        row = np.zeros(len(iy) + 1, np.int64)
+        for i in ix.tolist():
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + table[i, iy]))
+        return row
+
+    def _pairs(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of the children that match in a best order-keeping matching."""
+        begin = 0
+        while begin < min(len(xs), len(ys)) and xs[begin] == ys[begin]:
+            begin += 1
+        end = 0
+        while end < min(len(xs), len(ys)) - begin and xs[-1 - end] == ys[-1 - end]:
+            end += 1
+        out = [(k, k) for k in range(begin)] + [(len(xs) - k, len(ys) - k) for k in range(end, 0, -1)]
+        a, b = xs[begin:len(xs) - end], ys[begin:len(ys) - end]
+        if not a or not b:
+            return out
+        table, ix, iy = self._table(a, b)
+        todo = [(0, len(ix), 0, len(iy))]
+        while todo:
+            i0, i1, j0, j1 = todo.pop()
+            if i0 == i1 or j0 == j1:
+                continue
+            if (i1 - i0) * (j1 - j0) > TABLE and i1 - i0 > 1:
+                # Where a best matching crosses the middle row.
+                half = (i0 + i1) // 2
+                first = self._last_row(table, ix[i0:half], iy[j0:j1])
+                second = self._last_row(table, ix[half:i1][::-1], iy[j0:j1][::-1])[::-1]
+                cut = j0 + int(np.argmax(first + second))
+                todo += [(i0, half, j0, cut), (half, i1, cut, j1)]
+                continue
+            rows = [np.zeros(j1 - j0 + 1, np.int64)]
+            for i in ix[i0:i1].tolist():
+                row = np.zeros_like(rows[-1])
+                row[1:] = np.maximum.accumulate(np.maximum(rows[-1][1:], rows[-1][:-1] + table[i, iy[j0:j1]]))
+                rows.append(row)
+            i, j = i1 - i0, j1 - j0
+            while i and j:
+                own = table[ix[i0 + i - 1], iy[j0 + j - 1]]
+                if own and rows[i][j] == rows[i - 1][j - 1] + own:
+                    out.append((begin + i0 + i - 1, begin + j0 + j - 1))
+                    i, j = i - 1, j - 1
+                elif rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return sorted(out)
+
+    def score(self, a: int, b: int) -> int:
+        """Size of the largest top-down mapping of two trees of one label that keeps the order of siblings."""
+        pool, todo = self.pool, [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if (x, y) in self.scores:
+                todo.pop()
+                continue
+            xs, ys = pool.children[x], pool.children[y]
+            if x == y or not xs or not ys:
+                self.scores[x, y] = pool.sizes[x] if x == y else 1
+                continue
+            by_label: dict[str, set[int]] = {}
+            for q in ys:
+                by_label.setdefault(pool.labels[q], set()).add(q)
+            open_ = [(p, q) for p in set(xs) for q in by_label.get(pool.labels[p], ()) if (p, q) not in self.scores]
+            if open_:
+                todo += open_
+                continue
+            pairs = self._pairs(xs, ys)
+            self.scores[x, y] = 1 + sum(self.scores[xs[i], ys[j]] for i, j in pairs)
+        return self.scores[a, b]
+
+    def align(self, reference: str, other: str) -> tuple[int, ...]:
+        """For each slot of ``other`` the slot of ``reference`` it matches, or -1."""
+        if (reference, other) in self.found:
+            return self.found[reference, other]
+        if len(self.scores) + len(self.pool.labels) + sum(map(len, self.found.values())) > MEMO:
+            self._forget()
+        (la, ca, na), (lb, cb, nb) = self.tree(reference), self.tree(other)
+        out = [-1] * len(lb)
+        if la[0] == lb[0]:
+            self.score(na[0], nb[0])
+            todo = [(0, 0)]
+            while todo:
+                x, y = todo.pop()
+                if na[x] == nb[y]:
+                    # Slots are numbered from the root down, so equal trees have their slots in equal order.
+                    size = self.pool.sizes[na[x]]
+                    out[y:y + size] = range(x, x + size)
+                    continue
+                out[y] = x
+                xs, ys = self.pool.children[na[x]], self.pool.children[nb[y]]
+                if xs and ys:
+                    todo += [(ca[x][i], cb[y][j]) for i, j in self._pairs(xs, ys)]
+        self.found[reference, other] = tuple(out)
+        return self.found[reference, other]
+
+
 def align(reference: str, other: str) -> tuple[int, ...]:
-    """For each slot of ``other`` the slot of ``reference`` it matches, or -1: simple tree matching."""
-    (la, ca), (lb, cb) = tree(reference), tree(other)
-    if reference == other:
-        return tuple(range(len(la)))
-    memo: dict[tuple[int, int], tuple[int, tuple]] = {}
-
-    def pairs_of(table: list[list[int]], scores: list[list[int]], xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
-        i, j, out = len(xs), len(ys), []
-        while i and j:
-            if scores[i - 1][j - 1] and table[i][j] == table[i - 1][j - 1] + scores[i - 1][j - 1]:
-                out.append((xs[i - 1], ys[j - 1]))
-                i, j = i - 1, j - 1
-            elif table[i][j] == table[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        return out[::-1]
-
-    def score(x: int, y: int) -> int:
-        """Size of the largest mapping of the trees below two slots of one label."""
-        if (x, y) in memo:
-            return memo[x, y][0]
-        xs, ys = ca[x], cb[y]
-        if not xs or not ys:
-            memo[x, y] = (1, ())
-        elif len(xs) * len(ys) > WIDEST:
-            at, taken = 0, []
-            for p in xs:
-                k = next((k for k in range(at, min(len(ys), at + 64)) if la[p] == lb[ys[k]]), -1)
-                if k >= 0:
-                    at = k + 1
-                    taken.append((p, ys[k]))
-            memo[x, y] = (1 + sum(score(*pair) for pair in taken), tuple(taken))
-        else:
-            scores = [[score(p, q) if la[p] == lb[q] else 0 for q in ys] for p in xs]
-            table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i in range(len(xs)):
-                for j in range(len(ys)):
-                    table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + scores[i][j])
-            memo[x, y] = (1 + table[-1][-1], tuple(pairs_of(table, scores, xs, ys)))
-        return memo[x, y][0]
-
-    if la[0] == lb[0]:
-        score(0, 0)
-    out = [-1] * len(lb)
-    todo = [(0, 0)] if la[0] == lb[0] else []
-    while todo:
-        x, y = todo.pop()
-        out[y] = x
-        todo += memo[x, y][1]
-    return tuple(out)
+    return Aligner().align(reference, other)
 
 
 def blocks(node: Node, dropped: frozenset[int] = frozenset()) -> list[tuple[int, str]]:
@@ -316,21 +474,26 @@ def region_of(labels: list[str], children: list[list[int]], data: list[int]) ->
     return common[-1]
 
 
-def extract(page: str, reference: str | None, region: int, template: list[int]) -> str:
+def extract(page: str, reference: str | None, region: int, template: list[int], aligner: Aligner | None = None) -> str:
     """The main text of a page under its host's wrapper; ``reference`` is None where there is none."""
     root = parse(page)
     found: list[Node] = []
     dropped: frozenset[int] = frozenset()
     if reference is not None:
+        aligner = aligner or Aligner()
         own = shape(root)
         number_slots(root)
-        mapped = align(reference, own)
+        mapped = aligner.align(reference, own)
         found = _outermost(root, frozenset(), frozenset(k for k, x in enumerate(mapped) if x == region))
-        labels = tree(reference)[0]
+        labels = aligner.tree(reference)[0]
         if not {"article", "main"} & {n.tag for n in found} and labels[region].split(".")[0] not in ("article", "main"):
             constant = set(template)
             dropped = frozenset(k for k, x in enumerate(mapped) if x in constant)
-    return " ".join(text for n in found or own_region(root) for _, text in blocks(n, dropped))
+    text = " ".join(text for n in found or own_region(root) for _, text in blocks(n, dropped))
+    if text:
+        return text
+    # Nothing but what names call furniture: then the names mean something else here.
+    return " ".join(text for n in own_region(parse(page, names=False)) for _, text in blocks(n))
 
 
 def _host(url: Column) -> Column:
@@ -355,8 +518,9 @@ def _shapes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _aligned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    aligner = Aligner()
     for batch in batches:
-        mapped = [align(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        mapped = [aligner.align(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(mapped, pa.list_(pa.int32()))], names=["host", "shape", "mapped"])
 
 
@@ -366,7 +530,7 @@ def _regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for host, reference, slots in zip(*(c.to_pylist() for c in batch.columns)):
             labels, children = tree(reference)
-            varying = {s["slot"] for s in slots if s["chars"] and s["pages"] >= LEAST_PAGES and s["texts"] >= VARYING * s["pages"]}
+            varying = {s["slot"] for s in slots if s["chars"] and s["pages"] >= LEAST_PAGES and s["most"] < CONSTANT * s["pages"]}
             constant = sorted(s["slot"] for s in slots if s["chars"] and s["pages"] >= LEAST_PAGES and s["slot"] not in varying)
             if varying:
                 out.append((host, reference, region_of(labels, children, sorted(varying)), constant))
@@ -386,10 +550,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
               .mapInArrow(_aligned, "host string, shape string, mapped array<int>"))
     slots = (distinct.join(mapped, ["host", "shape"])
              .select("host", F.explode(F.arrays_zip("mapped", "hashes", "sizes")).alias("s")).filter("s.mapped >= 0")
-             .groupBy("host", F.col("s.mapped").alias("slot"))
-             .agg(F.count("*").alias("pages"), F.approx_count_distinct("s.hashes").alias("texts"), F.sum("s.sizes").alias("chars")))
+             .groupBy("host", F.col("s.mapped").alias("slot"), "s.hashes").agg(F.count("*").alias("n"), F.sum("s.sizes").alias("chars"))
+             .groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars")))
     # One entry per slot of a single tree.
-    by_host = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "texts", "chars")).alias("slots"))
+    by_host = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "most", "chars")).alias("slots"))
     return reference.join(by_host, "host").select("host", "reference", "slots").mapInArrow(
         _regions, "host string, reference string, region int, template array<int>")
 
@@ -405,8 +569,9 @@ def main_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
     kind = met.schema["_key"].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = Aligner()
         for batch in batches:
-            texts = [extract(p, r, -1 if n is None else n, t or []) for p, r, n, t in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+            texts = [extract(p, r, -1 if n is None else n, t or [], aligner) for p, r, n, t in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=["_key", "url", "text", "n_chars"])
 
