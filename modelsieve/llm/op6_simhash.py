@@ -11,6 +11,10 @@ differ in at most ``t`` bits, then some part starts a chain of consecutive parts
 
 Tasks give back spanning edges, not pairs, so a large group of near copies costs rows in proportion
 to its size.
+
+For a given similarity of shingle sets (``one_of_each_similar``) a few bits are too few and many bits meet everything. There
+texts also meet by equal passages, cut where the words themselves say so, each text with a few leaders of a passage; the
+Hamming check with a wide limit prunes these pairs, and the exact similarity of the texts decides.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modelsieve.llm.common import components, each_text, sorted_groups, stored
+from modelsieve.llm.common import components, each_text, slices, sorted_groups, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -226,14 +230,121 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", w
     first = F.struct(F.col("_key").isNull().alias("_none"), "_key", mark)
     classes = _rooted(fps.groupBy("fp").agg(F.min(first).alias("_first")), limit)
     keep = classes.groupBy("_root").agg(F.min("_first").alias("_first")).select("_first._key", F.col("_first." + mark).alias(mark))
+    return _kept_rows(documents, keep, key, text)
+
+
+def _kept_rows(documents: DataFrame, keep: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows whose key and digest of the text are in ``keep`` (_key, _mark), each once."""
+    digest, number = F.sha2(F.coalesce(F.col(text), F.lit("")), 256), "_row_of_key"
+    while number in documents.columns:
+        number += "_"
     rows = documents.join(keep, documents[key].eqNullSafe(keep["_key"])
-                          & (F.sha2(F.coalesce(documents[text], F.lit("")), 256) == keep[mark]), "left_semi")
+                          & (F.sha2(F.coalesce(documents[text], F.lit("")), 256) == keep["_mark"]), "left_semi")
     # Rows that repeat key and text: a group limit before the shuffle leaves one of each task.
-    number = "_row_of_key"
     others = F.to_json(F.struct(*[F.col(c) for c in documents.columns if c != text]))
     same = Window.partitionBy(F.col(key), digest).orderBy(others)
     return rows.withColumn(number, F.row_number().over(same)).filter(F.col(number) == 1).drop(number)
 
 
+WIDE = 22        # differing bits beyond which texts of similarity 0.8 are not expected: 10 on average, deviation 3
+LEADERS = 4      # texts of a passage that all others of it are compared with
+PASSAGE = 8      # least words of a passage; one word in as many ends it
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8").lower().split()
+
+
+def passages(words: list[bytes]) -> list[int]:
+    """Hashes of the passages of a text. A passage ends at a word whose hash says so, so an edit changes those around it alone."""
+    out, begin = [], 0
+    for k, word in enumerate(words):
+        if k - begin + 1 >= PASSAGE and xxhash.xxh64_intdigest(word, 7) % PASSAGE == 0:
+            out.append(xxhash.xxh64_intdigest(b" ".join(words[begin:k + 1]), SEED))
+            begin = k + 1
+    if begin < len(words):
+        out.append(xxhash.xxh64_intdigest(b" ".join(words[begin:]), SEED))
+    return [x - (1 << 64) if x >> 63 else x for x in dict.fromkeys(out)]
+
+
+def shingles(text: str, width: int) -> set[bytes]:
+    """Distinct word shingles; fewer words than ``width`` are one."""
+    words = words_of(text)
+    return {b" ".join(words[k:k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def _similar(batches: Iterable[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of pairs of texts (a, b, text of a, text of b) those that are similar enough."""
+    last, held = None, set()
+    for batch in batches:
+        found: tuple[list[int], list[int]] = ([], [])
+        for a, b, one, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            if a != last:
+                last, held = a, shingles(one.as_py(), width)
+            own = shingles(other.as_py(), width)
+            both = len(held & own)
+            if both >= similarity * (len(held) + len(own) - both):
+                found[0].append(a), found[1].append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["u", "v"])
+
+
+def similar_texts(narrow: DataFrame, width: int = 5, similarity: float = 0.8, limit: int = 4, wide: int = WIDE,
+                  leaders: int = LEADERS) -> tuple[DataFrame, DataFrame]:
+    """((_id, _mark, _first) of every distinct text, edges (u, v) between ids), from (_key, _mark, _text).
+
+    Edges are those of ``links`` for ``limit`` bits, and pairs of at least ``similarity`` among texts that share a passage, of which one
+    is a leader of the passage: the least texts in ``leaders`` random orders. A passage that very many texts hold costs rows in
+    proportion to them.
+    """
+    schema = pa.schema([("_key", pa.int64()), ("_mark", pa.string()), ("fp", pa.int64()), ("n", pa.int64()), ("passages", pa.list_(pa.int64()))])
+
+    def work(text: str) -> tuple:
+        return fingerprint(text, width), len(shingles(text, width)), passages(words_of(text))
+
+    prints = (narrow.select("_key", "_mark", "_text")
+              .mapInArrow(lambda batches: each_text(slices(batches, 2), work, schema), "_key long, _mark string, fp long, n long, passages array<long>")
+              .groupBy("_mark").agg(F.min(F.struct(F.col("_key").isNull().alias("_none"), "_key", "_mark")).alias("_first"), F.min("fp").alias("fp"),
+                                    F.min("n").alias("n"), F.min("passages").alias("passages"), F.count("*").alias("copies")))
+    # Written once with its numbers, so all that follows sees the same.
+    prints = stored(prints.withColumn("_id", F.monotonically_increasing_id()), "prints")
+    by_fp = stored(prints.groupBy("fp").agg(F.min("_id").alias("_node")), "by-fp")
+    ends = links(by_fp, limit)
+    near = (ends.join(by_fp.select(F.col("fp").alias("u"), F.col("_node").alias("_u")), "u")
+            .join(by_fp.select(F.col("fp").alias("v"), F.col("_node").alias("_v")), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+    equal = prints.join(by_fp, "fp").filter("_id <> _node").select(F.col("_id").alias("u"), F.col("_node").alias("v"))
+    held = stored(prints.select("_id", "fp", "n", "copies", F.explode("passages").alias("passage")), "passages")
+    orders = [-F.col("copies"), *[F.xxhash64("_id", "passage", F.lit(k)) for k in range(1, leaders)]]
+    least = [F.min(F.struct(o.alias("_order"), "_id", "fp", "n")).alias(f"_l{k}") for k, o in enumerate(orders)]
+    led = held.groupBy("passage").agg(F.count("*").alias("_texts"), *least).filter("_texts > 1").drop("_texts")
+    met = (held.join(led, "passage").select("_id", "fp", "n", F.explode(F.array(*[f"_l{k}" for k in range(leaders)])).alias("l"))
+           .filter((F.col("_id") != F.col("l._id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= wide)
+                   & (F.least("n", "l.n") >= similarity * F.greatest("n", "l.n"))))
+    pairs = stored(met.select(F.least("_id", "l._id").alias("a"), F.greatest("_id", "l._id").alias("b")).distinct(), "pairs")
+    needed = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
+    marks = needed.join(prints.select("_id", "_mark"), "_id")
+    texts = stored(narrow.select("_mark", "_text").join(marks, "_mark").groupBy("_id").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text")), "texts")
+    both = (pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_one")), "a")
+            .join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_other")), "b").select("a", "b", "_one", "_other"))
+    alike = both.mapInArrow(lambda batches: _similar(batches, width, similarity), "u long, v long")
+    edges = stored(near.unionByName(equal).unionByName(alike), "edges")
+    return prints.select("_id", "_mark", "_first"), edges
+
+
+def one_of_each_similar(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8,
+                        limit: int = 4) -> DataFrame:
+    """The rows of ``documents``, one per group of texts of at least ``similarity``: that with the smallest key.
+
+    Similarity is that of the sets of word shingles. Groups are what links reach, of rows and not of keys, as in ``one_of_each``; null and
+    empty texts are equal. Keys are whole numbers, and come before null, then the smallest digest of the text counts. All columns are kept.
+    """
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    narrow = documents.select(F.col(key).cast("long").alias("_key"), digest.alias("_mark"), F.col(text).alias("_text"))
+    classes, edges = similar_texts(narrow, width, similarity, limit)
+    roots = components(edges)
+    rooted = classes.join(roots, classes["_id"] == roots["node"], "left").withColumn("_root", F.coalesce("component", "_id"))
+    keep = rooted.groupBy("_root").agg(F.min("_first").alias("_first")).select("_first._key", "_first._mark")
+    return _kept_rows(documents, keep, key, text)
+
+
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -26,6 +26,47 @@ def groups(fps, limit):
     return root
 
 
+def similar_pairs(texts, similarity=0.8):
+    """All pairs of keys whose five-word shingle sets are that similar, over an index of shingles."""
+    sets = {}
+    for key, text in texts.items():
+        words = (text or "").encode().lower().split()
+        sets[key] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    index, both = {}, {}
+    for key, own in sets.items():
+        for shingle in own or {()}:
+            for other in index.setdefault(shingle, []):
+                both[other, key] = both.get((other, key), 0) + 1
+            index[shingle].append(key)
+    return [(a, b) for (a, b), n in both.items() if n >= similarity * (max(1, len(sets[a])) + max(1, len(sets[b])) - n)]
+
+
+def test_similar_texts_meet_and_others_stay(spark):
+    """Families of edited copies, and a passage that all texts hold: each pair from 0.8 on in one group, unlike texts apart."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    licence = " ".join(word() for _ in range(60))
+    texts = {}
+    for family in range(25):
+        base = [word() for _ in range(rng.choice([40, 120, 400]))]
+        for copy in range(rng.choice([1, 2, 6])):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, len(base) // 60, len(base) // 25])):
+                own[rng.randrange(len(own))] = word()
+            texts[1000 * family + copy] = " ".join(own) + " " + licence
+    rows = [(k, t, "x", 0) for k, t in texts.items()] + [(None, "", "x", 0), (None, None, "x", 0)]
+    kept = op.one_of_each_similar(spark.createDataFrame(rows, "doc_id long, text string, _id string, fp int").repartition(5))
+    got = [r["doc_id"] for r in kept.collect()]
+    assert got.count(None) == 1 and kept.columns == ["doc_id", "text", "_id", "fp"]
+    pairs = similar_pairs(texts)
+    root = {k: k for k in texts}
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root.update({k: low for k, r in root.items() if r == high})
+    want = set(root.values())
+    assert len(pairs) > 60 and want <= set(got) and len(set(got) - want - {None}) <= 0.1 * (len(texts) - len(want))
+
+
 def test_fingerprint_equals_plain_form(spark):
     for (text,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(40).collect():
         assert op.fingerprint(text) & (2**64 - 1) == slow_fingerprint(text)
@@ -81,6 +122,9 @@ def test_odd_rows(odd_documents, no_documents):
     assert kept.columns == odd_documents.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [-7, 1, 3, 5]
     assert op.near_duplicates(no_documents).count() == 0 and op.one_of_each(no_documents).count() == 0
+    alike = op.one_of_each_similar(odd_documents)
+    assert alike.columns == odd_documents.columns and op.one_of_each_similar(no_documents).count() == 0
+    assert sorted(r["doc_id"] for r in alike.collect() if r["doc_id"] is not None) == [-7, 1, 3, 5]
 
 
 def test_survivors_are_chosen_by_row(spark):
