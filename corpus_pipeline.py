@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from modelsieve.llm import op8_outliers, op10_quality
 from modelsieve.llm.common import stored
-from modelsieve.llm.op6_simhash import one_of_each
+from modelsieve.llm.op6_simhash import one_of_each_similar
 from modelsieve.llm.op7_secrets import redact
 from modelsieve.llm.op9_packing import packed
 
@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest doc_id."""
-    return one_of_each(docs)
+    """One document of each group of near duplicates, alike in 0.8 of their five-word shingles, stays: that with the smallest doc_id."""
+    return one_of_each_similar(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
