@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from modelsieve.functions.hashing import hmac_pads, hmac_sha256
 from modelsieve.functions.once import computed_once
+from modelsieve.session import shared_dir
+from modelsieve.sources.tables import path_exists
 
 
 def key_usage(presented: DataFrame, keys: DataFrame, usage: DataFrame) -> DataFrame:
@@ -70,15 +72,23 @@ def delivery_log(logs: DataFrame, subs: DataFrame, n: int = 50, user: str | None
     return joined.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= n)
 
 
-def profile_merge(users: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Keyed upsert by email; ``incoming`` holds each email once.
+def profile_merge(users: DataFrame, incoming: DataFrame, newest: str | None = None) -> DataFrame:
+    """Keyed upsert by email.
+
+    Of several incoming rows of an email the one with the greatest ``newest`` wins (nulls last), ties and the lack of such a column
+    falling to the greatest values; one winner per email and task is all that is shuffled. Incoming rows without an
+    email are left out. Stored users without an email stay as they are, and each stored user of an email is updated.
 
     Name and picture change only to non-empty values, the provider id always;
     new rows start on the free plan and take their username from the email.
     """
-    old, new = users.alias("o"), incoming.alias("n")
-    fresh = F.col("o.email").isNull()
-    seen = F.col("n.email").isNotNull()
+    fields = ["username", "display_name", "avatar_url", "provider", "provider_id"]
+    order = F.struct(*([newest] if newest else []), *[F.coalesce(c, F.lit("")) for c in fields])
+    winners = (incoming.filter("email IS NOT NULL").groupBy("email").agg(F.max_by(F.struct(*fields), order).alias("_w"))
+               .select("email", "_w.*", F.lit(True).alias("_new")))
+    old, new = users.withColumn("_old", F.lit(True)).alias("o"), winners.alias("n")
+    fresh = F.col("o._old").isNull()
+    seen = F.col("n._new").isNotNull()
     keep = lambda c: F.coalesce(F.nullif(F.col(f"n.{c}"), F.lit("")), F.col(f"o.{c}")).alias(c)
     name = F.coalesce(F.nullif(F.col("n.username"), F.lit("")), F.substring_index("n.email", "@", 1))
     return old.join(new, F.col("o.email") == F.col("n.email"), "full").select(
@@ -89,3 +99,29 @@ def profile_merge(users: DataFrame, incoming: DataFrame) -> DataFrame:
         F.when(seen, F.col("n.provider_id")).otherwise(F.col("o.provider_id")).alias("provider_id"),
         F.when(fresh, "free").otherwise(F.col("o.plan")).alias("plan"),
         F.when(fresh, "inserted").when(seen, "updated").otherwise("kept").alias("change"))
+
+
+PROFILE = ("email", "username", "display_name", "avatar_url", "provider", "provider_id", "plan")
+
+
+def upsert_profiles(incoming: DataFrame, path: str, newest: str | None = None, buckets: int = 64) -> None:
+    """Merge profiles into a stored table, of which only the buckets that hold an incoming email are read and rewritten.
+
+    The table is partitioned by a hash of the email; ``buckets`` belongs to the table and may not change. Merging the same rows again
+    changes nothing. One writer at a time.
+    """
+    spark = incoming.sparkSession
+    of = F.pmod(F.xxhash64("email"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = incoming.filter("email IS NOT NULL")
+    touched = [r["bucket"] for r in rows.select(of).distinct().collect()]   # at most ``buckets`` numbers
+    schema = ", ".join(f"{c} string" for c in PROFILE)
+    if path_exists(spark, path):
+        users = spark.read.schema(f"{schema}, bucket int").parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket")
+    else:
+        users = spark.createDataFrame([], schema)
+    merged = profile_merge(users, rows, newest).select(*PROFILE)
+    staged = f"{shared_dir(spark, 'profiles')}/merged"
+    merged.select("*", of).write.parquet(staged)
+    # What is overwritten was read before, into the staged table.
+    (spark.read.schema(f"{schema}, bucket int").parquet(staged).repartition("bucket").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))

@@ -377,10 +377,10 @@ ORACLE["ioc_screen"] = sql("""
            CASE WHEN i.file_hash IS NOT NULL THEN 'critical' END AS risk_level
     FROM v_hashes h LEFT JOIN v_iocs i ON h.file_hash = i.file_hash""", "v_hashes", "v_iocs")
 ORACLE["scan_dispatch"] = sql("""
-    SELECT filename AS artifact_id, 'pattern_match' AS type, pattern_id, category, "offset", severity, cvss_score,
-           position * 1000000000000 + "offset" AS ordinal
-    FROM hits h JOIN v_artifacts a ON h.artifact_id = a.artifact_id AND (ext IN ('.gguf', '.onnx')
-         OR ext = '.safetensors' AND octet_length(content) >= 8)
+    SELECT filename AS artifact_id, 'pattern_match' AS type, pattern_id, category, "offset" + frame AS "offset", severity, cvss_score,
+           position * 1000000000000 + "offset" + frame AS ordinal
+    FROM hits h JOIN (SELECT *, CASE WHEN ext IN ('.pkl', '.pickle', '.pt', '.pth') THEN 5 ELSE 0 END AS frame FROM v_artifacts) a
+         ON h.artifact_id = a.artifact_id AND (ext <> '.safetensors' OR octet_length(content) >= 8)
     UNION ALL SELECT filename, type, NULL, category, "offset", severity, cvss_score,
         10000000000000000 + "offset" + CASE WHEN type = 'malformed_pickle' THEN 1000000000000 ELSE 0 END FROM pickle_rows
     UNION ALL SELECT 'model_' || artifact_id || ext, type, NULL, 'command_injection', 0, severity, cvss_score, 10000000000000000
@@ -616,14 +616,15 @@ ORACLE["delivery_log"] = sql("""
                              "v_webhook_logs", "v_webhook_subs")
 ORACLE["profile_merge"] = """
     SELECT c_name || '@example.com' AS email, c_name AS username,
-           CASE WHEN seen AND c_custkey % 4 <> 0 THEN 'New ' || c_name WHEN fresh THEN NULL ELSE c_name END AS display_name,
-           CASE WHEN seen AND c_custkey % 6 = 0 THEN 'https://img.example/a' END AS avatar_url,
-           CASE WHEN fresh THEN 'google' ELSE 'github' END AS provider,
-           CASE WHEN seen THEN 'g' || c_custkey ELSE 'p' || c_custkey END AS provider_id,
-           CASE WHEN fresh THEN 'free' WHEN c_mktsegment = 'BUILDING' THEN 'pro' WHEN c_mktsegment = 'FURNITURE' THEN 'enterprise'
-                ELSE 'free' END AS plan,
-           CASE WHEN fresh THEN 'inserted' WHEN seen THEN 'updated' ELSE 'kept' END AS change
-    FROM (SELECT *, c_custkey % 2 = 0 AS seen, c_custkey % 3 = 0 AS fresh FROM customer) WHERE seen OR NOT fresh"""
+           CASE WHEN seen AND c_custkey % 4 <> 0 THEN 'New ' || c_name ELSE c_name END AS display_name,
+           CASE WHEN seen AND c_custkey % 6 = 0 THEN 'https://img.example/a' END AS avatar_url, 'github' AS provider,
+           CASE WHEN seen THEN 'g' ELSE 'p' END || c_custkey AS provider_id,
+           CASE c_mktsegment WHEN 'BUILDING' THEN 'pro' WHEN 'FURNITURE' THEN 'enterprise' ELSE 'free' END AS plan,
+           CASE WHEN seen THEN 'updated' ELSE 'kept' END AS change
+    FROM (SELECT *, c_custkey % 2 = 0 AS seen FROM customer)
+    UNION ALL
+    SELECT c_name || '@new.example.com', c_name, 'New ' || c_name, NULL, 'google', 'g' || c_custkey, 'free', 'inserted'
+    FROM customer WHERE c_custkey % 2 = 1"""
 
 # ---- batch forms of the streaming operators
 _STAGE = "CASE event_type " + " ".join(f"WHEN {lit(k)} THEN {lit(s)}" for k, s in STAGES.items()) + " END"

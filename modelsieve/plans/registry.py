@@ -276,8 +276,10 @@ def ioc_screen(spark, d):
 
 @query
 def scan_dispatch(spark, d):
-    mixed = (v.v_artifacts(spark, d).filter("ext in ('.gguf', '.onnx', '.safetensors')").select("filename", "content")
-             .unionByName(v.v_pickles(spark, d).select("filename", "content"))
+    # Artifacts of the pickle family are a short valid stream with their text behind it.
+    framed = F.concat(F.lit(v.PICKLE_FRAME), F.col("content"))
+    mixed = (v.v_artifacts(spark, d).withColumn("content", F.when(F.col("ext").isin(*v.PICKLE_FAMILY), framed).otherwise(F.col("content")))
+             .select("filename", "content").unionByName(v.v_pickles(spark, d).select("filename", "content"))
              .withColumn("artifact_id", F.col("filename")))
     return scan_corpus(mixed).select(
         "artifact_id", "type", "pattern_id", "category", "offset", "severity", "cvss_score", "ordinal")
@@ -627,14 +629,17 @@ def delivery_log(spark, d):
 
 @query
 def profile_merge(spark, d):
-    users = v.v_users(spark, d).filter("cast(id as bigint) % 3 <> 0")
-    name = F.concat(F.lit("New "), F.col("c_name"))
-    incoming = v.table(spark, d, "customer").filter("c_custkey % 2 = 0").select(
-        F.concat("c_name", F.lit("@example.com")).alias("email"), F.lit("").alias("username"),
-        F.when(F.col("c_custkey") % 4 == 0, F.lit("")).otherwise(name).alias("display_name"),
-        F.when(F.col("c_custkey") % 6 == 0, F.lit("https://img.example/a")).alias("avatar_url"),
-        F.lit("google").alias("provider"), F.concat(F.lit("g"), F.col("c_custkey").cast("string")).alias("provider_id"))
-    return notify.profile_merge(users, incoming)
+    """All users meet a newer and an older profile of every customer, half of them under an address of their own."""
+    key, name = F.col("c_custkey"), F.concat(F.lit("New "), F.col("c_name"))
+    domain = F.when(key % 2 == 0, "@example.com").otherwise("@new.example.com")
+    customers = v.table(spark, d, "customer").withColumn("seen_at", F.explode(F.array(F.lit(1), F.lit(2))))
+    newer = F.col("seen_at") == 2
+    incoming = customers.select(
+        F.concat(F.col("c_name"), domain).alias("email"), F.lit("").alias("username"),
+        F.when(~newer, "Old").when(key % 4 == 0, "").otherwise(name).alias("display_name"),
+        F.when(newer & (key % 6 == 0), "https://img.example/a").alias("avatar_url"),
+        F.lit("google").alias("provider"), F.concat(F.when(newer, "g").otherwise("old"), key.cast("string")).alias("provider_id"), "seen_at")
+    return notify.profile_merge(v.v_users(spark, d), incoming, "seen_at")
 
 
 # ---- batch forms of the streaming operators ----------------------------------

@@ -27,6 +27,10 @@ KEYWORDS = ["pickle", "pytorch", "tensorflow", "keras", "huggingface",
             "safetensors", "gguf", "onnx", "machine learning model"]
 
 
+PICKLE_FAMILY = (".pkl", ".pickle", ".pt", ".pth")
+PICKLE_FRAME = b"\x80\x02N.\n"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; timestamps without zone are read as UTC instants."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
