@@ -72,6 +72,7 @@ class Lattice:
             raise ValueError("the model has no byte pieces")
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - PENALTY
         self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        self.suffixes = {p[n:] for p in self.pieces for n in range(len(p))}
         long = [p for p in self.pieces if len(p) > 1]
         letters = sorted({c for p in long for c in p})
         self.letter = np.zeros(0x110000, np.uint16)
@@ -88,62 +89,83 @@ class Lattice:
         self.known: dict[str, Segment] = {}
         self.stand_in = STAND_IN
 
-    def edges(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each place the edges that end there: (start, ids, score)."""
-        out: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(len(text) + 1)]
-        for start in range(len(text)):
-            for end in range(start + 1, len(text) + 1):
-                part = text[start:end]
-                if found := self.pieces.get(part):
-                    out[end].append((start, (found[0],), found[1]))
-                elif end == start + 1:
-                    raw = (MARK if part == self.stand_in else part).encode("utf-8")
-                    out[end].append((start, tuple(self.byte_ids[b] for b in raw), self.unknown))
-                if part not in self.prefixes:
-                    break
-        return out
-
-    def forward(self, edges: list[list[tuple[int, tuple[int, ...], float]]]) -> list[float]:
+    def ending(self, text: str, end: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
+        """The edges of the lattice that end at a place, short ones first: (start, ids, score). They are found anew each time, so
+        a text of any length needs no table of them."""
+        for start in range(end - 1, -1, -1):
+            part = text[start:end]
+            if found := self.pieces.get(part):
+                yield start, (found[0],), found[1]
+            elif start == end - 1:
+                raw = (MARK if part == self.stand_in else part).encode("utf-8")
+                yield start, tuple(self.byte_ids[b] for b in raw), self.unknown
+            if part not in self.suffixes:
+                return
+
+    def forward(self, text: str) -> list[float]:
+        """Viterbi: the best score up to every place."""
         best = [0.0]
-        for ends in edges[1:]:
-            best.append(max(best[start] + score for start, _, score in ends))
+        for end in range(1, len(text) + 1):
+            best.append(max(best[start] + score for start, _, score in self.ending(text, end)))
         return best
 
+    def _best_edge(self, text: str, best: list[float], end: int) -> tuple[int, tuple[int, ...], float]:
+        """The edge that the best path up to a place ends with, of equal ones that with the least ids."""
+        return min((e for e in self.ending(text, end) if best[e[0]] + e[2] == best[end]), key=lambda e: e[1])
+
     def n_best(self, text: str, n: int) -> list[Path]:
-        """The n best (score, ids) of a text, best first; equal scores in order of their ids, last edges first."""
-        edges = self.edges(text)
-        best = self.forward(edges)
-        agenda: list[tuple[float, tuple[tuple[int, ...], ...], int, float]] = [(-best[-1], (), len(text), 0.0)]
+        """The n best (score, ids) of a text, best first; of equal scores those that leave the best path least, then nearest to the end.
+
+        What stands on the agenda is a path from the end to some place; its total is known, as the Viterbi scores are exact. One that
+        leaves the agenda follows the best edges to the start at once, and of the edges it passes by there the n that cost least join the agenda: no
+        others can be among the n best. So the agenda holds n * n entries, and a path is a few turns off the best edges, not a copy.
+        """
+        best = self.forward(text)
+        agenda: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         out: list[Path] = []
         while agenda and len(out) < n:
-            _, path, place, done = heapq.heappop(agenda)
-            if place == 0:
-                out.append((done, tuple(itertools.chain.from_iterable(reversed(path)))))
-                continue
-            for start, ids, score in edges[place]:
-                total = done + score
-                heapq.heappush(agenda, (-(best[start] + total), (*path, ids), start, total))
+            cost, turns = heapq.heappop(agenda)
+            taken = {-place: start for place, start in turns}
+            place, score, ids = len(text), 0.0, []
+            passed: list[tuple[float, tuple[int, int]]] = []   # the n least, as a heap with the worst on top
+            last = -turns[-1][0] if turns else len(text) + 1
+            while place:
+                chosen = self._best_edge(text, best, place)
+                if place in taken:
+                    chosen = next(e for e in self.ending(text, place) if e[0] == taken[place])
+                elif place < last:
+                    for start, _, own in self.ending(text, place):
+                        if start != chosen[0]:
+                            entry = (-(best[place] - best[start] - own), (place, -start))
+                            if len(passed) < n:
+                                heapq.heappush(passed, entry)
+                            elif entry > passed[0]:
+                                heapq.heapreplace(passed, entry)
+                ids.append(chosen[1])
+                score += chosen[2]
+                place = chosen[0]
+            for less, (end, start) in passed:
+                heapq.heappush(agenda, (cost - less, (*turns, (-end, -start))))
+            out.append((score, tuple(itertools.chain.from_iterable(reversed(ids)))))
         return out
 
     def segment(self, text: str) -> Segment:
         """Best path, and how far the second best lies below: the best over all edges that are not on the best path."""
-        edges = self.edges(text)
-        best = self.forward(edges)
-        size = len(text)
-        after = [float("-inf")] * size + [0.0]
-        for end in range(size, 0, -1):
-            for start, _, score in edges[end]:
-                if after[end] + score > after[start]:
-                    after[start] = after[end] + score
+        best, size = self.forward(text), len(text)
         path: list[tuple[int, ...]] = []
-        on: set[tuple[int, int]] = set()
+        on = np.full(size + 1, -1, np.int64)
         place = size
         while place:
-            start, ids, _ = min(((s, i, w) for s, i, w in edges[place] if best[s] + w == best[place]), key=lambda e: e[1])
-            on.add((start, place))
+            start, ids, _ = self._best_edge(text, best, place)
+            on[place] = start
             path.append(ids)
             place = start
-        second = max((best[s] + w + after[e] for e in range(1, size + 1) for s, _, w in edges[e] if (s, e) not in on), default=float("-inf"))
+        after, second = [float("-inf")] * size + [0.0], float("-inf")
+        for end in range(size, 0, -1):
+            for start, _, score in self.ending(text, end):
+                after[start] = max(after[start], after[end] + score)
+                if on[end] != start:
+                    second = max(second, best[start] + score + after[end])
         ids = np.array(list(itertools.chain.from_iterable(reversed(path))), "<u4").tobytes()
         return Segment(ids, best[-1], best[-1] - second)
 
@@ -265,7 +287,11 @@ class Lattice:
         near = np.argsort(gap, kind="stable")[:n - 1] if len(gap) <= 64 else _least(gap, n - 1)
         places = sorted(int(p) for p in near if np.isfinite(gap[p]))
         options = [[(self.known[names[own[p]]].score - s, np.array(i, "<u4").tobytes()) for s, i in self.n_best(names[own[p]], n)] for p in places]
-        ways = sorted(itertools.product(*[range(len(o)) for o in options]), key=lambda w: (sum(o[k][0] for o, k in zip(options, w)), w))[:n]
+        # The n least sums of all options follow from the n least of the options before.
+        sums: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        for option in options:
+            sums = heapq.nsmallest(n, [(cost + o[0], (*way, k)) for cost, way in sums for k, o in enumerate(option)])
+        ways = [way for _, way in sums]
         data, out = best.tobytes(), []
         for way in ways:
             parts, at = [], 0

@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -94,6 +97,37 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert op.encode(no_documents).count() == 0 and op.decode(op.encode(no_documents)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" * 7, "the" * 3 + "i" * 3, "ininin", "=" * 9])
+@pytest.mark.parametrize("n", [3, 12])
+def test_ties_give_distinct_paths_of_the_best_scores(lattice, text, n):
+    paths = sorted(all_paths(lattice, op.MARK + text), reverse=True)
+    found = lattice.n_best(op.MARK + text, n)
+    assert [s for s, _ in found] == [s for s, _ in paths[:n]] and len(set(found)) == len(found) and set(found) <= set(paths)
+    (ids, _, chained), = lattice.encode_all([text], n)
+    assert [s for s, _ in chained] == [s for s, _ in paths[:n]] and chained[0][1] == ids.tobytes()
+
+
+LONG = """
+import base64, random, resource, sys
+sys.path.insert(0, {repo!r})
+from modelsieve.llm import op2_sentencepiece as op
+lattice = op.Lattice(op.default_model())
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for text in ("a" * {size}, base64.b64encode(random.Random(1).randbytes({size} * 3 // 4)).decode()):
+    (ids, score, best), = lattice.encode_all([text], 4)
+    assert lattice.decode(ids).decode() == text and len(best) == 4 and best[0][1] == ids.tobytes()
+    assert [s for s, _ in best] == sorted((s for s, _ in best), reverse=True)
+print("MB", (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+
+
+def test_long_unbroken_text_needs_little_memory():
+    """A run of one character and a line of base64, 200,000 characters each."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", LONG.format(repo=repo, size=200_000)], capture_output=True, text=True, timeout=300)
+    assert float(done.stdout.split("MB")[1]) < 250, done.stderr
+
+
 def test_any_characters_survive(lattice):
     rng = random.Random(2)
     texts = ["".join(chr(rng.choice([rng.randrange(0x20, 0x3000), rng.randrange(0xE000, 0x10FFFF), 0x2581, 32, 10])) for _ in range(200)) for _ in range(30)]
