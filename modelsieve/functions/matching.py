@@ -8,7 +8,8 @@ chunk its first byte lies in, so chunking neither loses nor doubles a match.
 Two steps keep the bulk of the data inside the JVM:
 
 1. each rule has an *anchor*, a literal every match must contain; a chunk is
-   kept for a rule only if the anchor occurs in it (plain substring search);
+   kept for a rule only if the anchor occurs in it (plain substring search, or
+   one pass of an automaton over all anchors of a large catalogue);
 2. the few surviving (chunk, rule) pairs are matched with ``re`` in an Arrow
    batch, which yields byte offsets in one linear pass.
 """
@@ -23,10 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelsieve.functions.automaton import Literals
 from modelsieve.functions.once import computed_once
 from modelsieve.session import bound_arrow_batches
 
-MANY_RULES = 500     # beyond this a plan with an expression per anchor costs more than it saves
+MANY_RULES = 500     # beyond this a plan with an expression per anchor costs more than it saves; one automaton finds all anchors
+LOOK = -1            # stands for the rules that the automaton of a task finds
 CHUNK_COLUMNS = ["artifact_id", "chunk_no", "base_offset", "own_start", "own_len", "file_len", "content"]
 
 
@@ -98,6 +101,13 @@ def whole_content(df: DataFrame) -> DataFrame:
 def match_offsets(rules: Sequence[Rule]):
     """UDF (content, base_offset, own_start, own_len, rule numbers) -> matches found."""
     flags = [(re.IGNORECASE if r.ignore_case else 0) | re.MULTILINE for r in rules]
+    always, of_anchor, literals = [], [], None
+    if len(rules) > MANY_RULES:
+        # Anchors are looked for in folded text; those of rules that heed case are looked for once more.
+        by_anchor: dict[bytes, list[int]] = {}
+        for k, rule in enumerate(rules):
+            (always if rule.anchor is None else by_anchor.setdefault(rule.anchor.encode("latin-1").lower(), [])).append(k)
+        literals, of_anchor = Literals(list(by_anchor)), list(by_anchor.values())
 
     @F.pandas_udf("array<struct<rule:int,start:bigint>>")
     def offsets(content: pd.Series, base: pd.Series, own_start: pd.Series,
@@ -106,13 +116,11 @@ def match_offsets(rules: Sequence[Rule]):
         rows = []
         for data, first, lo, size, ids in zip(content, base, own_start, own_len, wanted):
             found = []
-            folded = data.lower() if any(rules[k].ignore_case for k in ids) else data
+            if literals is not None and len(ids) and ids[0] == LOOK:
+                ids = sorted([*always, *(k for word in literals.found(data.lower()) for k in of_anchor[word]
+                                         if rules[k].ignore_case or rules[k].anchor.encode("latin-1") in data)])
             for k in ids:
                 rule = rules[k]
-                # many rules come without having been looked for in the JVM
-                if rule.anchor is not None and (rule.anchor.lower().encode("latin-1") not in folded if rule.ignore_case
-                                                else rule.anchor.encode("latin-1") not in data):
-                    continue
                 if k not in compiled:
                     source = rule.regex if rule.text else rule.regex.encode("latin-1")
                     compiled[k] = re.compile(source, flags[k])
@@ -134,7 +142,7 @@ def with_candidates(chunks: DataFrame, rules: Sequence[Rule], out: str = "_rules
     """
     bound_arrow_batches(chunks.sparkSession)
     if len(rules) > MANY_RULES:
-        return chunks.withColumn(out, F.sequence(F.lit(0), F.lit(len(rules) - 1)))
+        return chunks.withColumn(out, F.array(F.lit(LOOK)))
     tests = []
     for k, rule in enumerate(rules):
         if rule.anchor is None:

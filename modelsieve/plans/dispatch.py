@@ -25,6 +25,7 @@ from modelsieve.operators.templates import block_findings, template_blocks
 SIGNATURE_PHASE, STRUCTURE_PHASE, ENTROPY_PHASE, ERROR_PHASE, FACT_PHASE = 0, 1, 2, 3, 4
 READ_ERROR = "read_error"
 FILE_FACTS = "file_facts"
+MOST_RULES = 10 ** 6
 
 FINDING_COLUMNS = {
     "artifact_id": None, "type": "string", "pattern_id": "string", "category": "string",
@@ -33,8 +34,8 @@ FINDING_COLUMNS = {
 
 
 def _ordinal(phase: int, rule: Column, offset: Column) -> Column:
-    """One sortable number; offsets stay below 10^12 and rules below 10^4."""
-    return (F.lit(phase * 10 ** 16).cast("bigint") + rule.cast("bigint") * 10 ** 12 + offset.cast("bigint"))
+    """One sortable number; offsets stay below 10^12 and rules below ``MOST_RULES``."""
+    return (F.lit(phase * MOST_RULES * 10 ** 12).cast("bigint") + rule.cast("bigint") * 10 ** 12 + offset.cast("bigint"))
 
 
 def as_findings(df: DataFrame, phase: int, rule: Column | None = None) -> DataFrame:
@@ -89,6 +90,8 @@ def byte_findings(chunks: DataFrame, signatures: Sequence[Signature] = SIGNATURE
     Chunks with a ``file_hash`` also give a row FILE_FACTS with format and hash, so that the pass over the bytes is the only one.
     """
     signatures = list(signatures)
+    if len(signatures) > MOST_RULES:
+        raise ValueError(f"a catalogue holds at most {MOST_RULES} rules")
     rules = [s.rule() for s in signatures]
     # a SafeTensors file too short for its length field is not scanned at all
     scanned = (F.col("format") != "safetensors") | (F.col("file_len") >= 8)
@@ -132,7 +135,7 @@ def byte_findings(chunks: DataFrame, signatures: Sequence[Signature] = SIGNATURE
          .when(is_block, F.format_string("High entropy chunk detected (%s). Possible encrypted payload.",
                                          bits.cast("string"))).otherwise(F.col("desc")).alias("desc"),
         F.col("size"), bits.alias("entropy"),
-        (F.col("phase") * F.lit(10 ** 16).cast("bigint") + F.col("rule_no") * F.lit(10 ** 12).cast("bigint")
+        (F.col("phase") * F.lit(MOST_RULES * 10 ** 12).cast("bigint") + F.col("rule_no") * F.lit(10 ** 12).cast("bigint")
          + F.col("offset")).alias("ordinal"))
 
 

@@ -382,12 +382,12 @@ ORACLE["scan_dispatch"] = sql("""
     FROM hits h JOIN (SELECT *, CASE WHEN ext IN ('.pkl', '.pickle', '.pt', '.pth') THEN 5 ELSE 0 END AS frame FROM v_artifacts) a
          ON h.artifact_id = a.artifact_id AND (ext <> '.safetensors' OR octet_length(content) >= 8)
     UNION ALL SELECT filename, type, NULL, category, "offset", severity, cvss_score,
-        10000000000000000 + "offset" + CASE WHEN type = 'malformed_pickle' THEN 1000000000000 ELSE 0 END FROM pickle_rows
-    UNION ALL SELECT 'model_' || artifact_id || ext, type, NULL, 'command_injection', 0, severity, cvss_score, 10000000000000000
+        1000000000000000000 + "offset" + CASE WHEN type = 'malformed_pickle' THEN 1000000000000 ELSE 0 END FROM pickle_rows
+    UNION ALL SELECT 'model_' || artifact_id || ext, type, NULL, 'command_injection', 0, severity, cvss_score, 1000000000000000000
         FROM template_rows WHERE ext = '.gguf'
     UNION ALL SELECT 'model_' || artifact_id || ext, 'dangerous_onnx_op', NULL, 'code_execution', "offset", 'critical', 9.8,
-        10000000000000000 + "offset" + CASE op WHEN 'CustomOp' THEN 1000000000000 ELSE 0 END FROM onnx_rows WHERE ext = '.onnx'
-    UNION ALL SELECT filename, 'malformed_safetensors', NULL, 'obfuscation_payload', 0, 'low', 3.3, 10000000000000000
+        1000000000000000000 + "offset" + CASE op WHEN 'CustomOp' THEN 1000000000000 ELSE 0 END FROM onnx_rows WHERE ext = '.onnx'
+    UNION ALL SELECT filename, 'malformed_safetensors', NULL, 'obfuscation_payload', 0, 'low', 3.3, 1000000000000000000
         FROM v_artifacts WHERE ext = '.safetensors' AND octet_length(content) >= 8""",
                               "hits", "pickle_rows", "template_rows", "onnx_rows")
 ORACLE["scan_dispatch_sdk"] = sql("SELECT artifact_id, pattern, severity FROM sdk_threats", "sdk_threats")
