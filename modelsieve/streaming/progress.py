@@ -75,11 +75,39 @@ class _LatestStage(StatefulProcessor):
                              "timestamp": [pd.Timestamp(micros, unit="us")], "closed": [closed]})
 
 
+class _OpenScans(_LatestStage):
+    """The same state, but only what opens and closes scans is given out: (scan_id, change), +1 or -1."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        before = self.last.exists() and self.last.get()[0] not in TERMINAL
+        for frame in super().handleInputRows(key, rows, timer_values):
+            change = int(not frame["closed"].iloc[0]) - int(before)
+            if change:
+                yield pd.DataFrame({"scan_id": [key[0]], "change": pd.array([change], dtype="Int32")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for _ in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            yield pd.DataFrame({"scan_id": [key[0]], "change": pd.array([-1], dtype="Int32")})
+
+
 def _newest_per_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         yield frame.sort_values(["timestamp", "seq"]).drop_duplicates("scan_id", keep="last")
 
 
+def _reduced(events: DataFrame, lateness: str) -> DataFrame:
+    """Each Arrow batch cut to its newest event per scan. Events without a time are left out; a missing ``seq`` comes before all others."""
+    slim = events.select("scan_id", "stage", "progress", "timestamp", F.coalesce(F.col("seq").cast("bigint"), F.lit(-1 << 62)).alias("seq"))
+    return slim.filter("timestamp IS NOT NULL").mapInPandas(_newest_per_batch, slim.schema).withWatermark("timestamp", lateness)
+
+
+def open_scan_changes(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Streaming (update mode): (scan_id, change), +1 where a scan opens and -1 where it ends or falls silent. The sum of all changes
+    is the number of scans now open. State and lateness as in ``progress_state``."""
+    return _reduced(events, lateness).groupBy("scan_id").transformWithStateInPandas(
+        statefulProcessor=_OpenScans(), outputStructType="scan_id string, change int", outputMode="Update", timeMode="EventTime")
+
+
 def progress_state(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Streaming form (update mode): one row per scan and micro-batch. Events later than ``lateness`` are dropped.
 
@@ -88,8 +116,6 @@ def progress_state(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     scans that fell silent for an hour of event time. The session must use the state store ``STATE_STORE``
     (``session.SETTINGS`` has it): this operator needs several columns per key.
     """
-    slim = events.select("scan_id", "stage", "progress", "timestamp", "seq")
-    reduced = slim.mapInPandas(_newest_per_batch, slim.schema).withWatermark("timestamp", lateness)
-    return reduced.groupBy("scan_id").transformWithStateInPandas(
+    return _reduced(events, lateness).groupBy("scan_id").transformWithStateInPandas(
         statefulProcessor=_LatestStage(), outputStructType=PROGRESS_SCHEMA,
         outputMode="Update", timeMode="EventTime")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from modelsieve.operators.analytics import overview
-from modelsieve.session import shared_dir
+from modelsieve.sources.tables import path_exists
 
 REFRESH = "5 seconds"
 
@@ -17,28 +17,28 @@ def live_stats(scans: DataFrame) -> DataFrame:
     return overview(scans).select("total_scans", "threats_found")
 
 
-def start_active_scans(progress: DataFrame, name: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the number of scans now running in an in-memory table ``name`` (active_scans).
+def start_active_scans(changes: DataFrame, name: str, checkpoint: str, trigger: dict | None = None, store: str | None = None) -> StreamingQuery:
+    """Keep the number of scans now running in a view ``name`` (active_scans).
 
-    ``progress`` is the stream of ``progress_state``. Each micro-batch's latest row per scan updates the set of open scans,
-    which is held as a table of its own: a scan opens with its first stage and leaves at a terminal one.
+    ``changes`` is the stream of ``open_scan_changes``: which scans are open is held in its state store. Each micro-batch writes the sum of
+    its changes to ``store`` (by default beside the checkpoint) under its own number, so a batch that is replayed writes the same
+    row again, and a query that is restarted goes on from the same count.
     """
-    spark = progress.sparkSession
-    open_now = f"{name}_open"
-    spark.createDataFrame([], "scan_id string").createOrReplaceTempView(open_now)
-    spark.createDataFrame([(0,)], "active_scans bigint").createOrReplaceTempView(name)
-
-    def update(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("scan_id").agg(F.max_by("closed", "timestamp").alias("closed"))
-        kept = spark.table(open_now).join(latest.select("scan_id"), "scan_id", "left_anti")
-        now = kept.unionByName(latest.filter(~F.col("closed")).select("scan_id")).checkpoint()
-        now.createOrReplaceTempView(open_now)
-        now.agg(F.count("*").alias("active_scans")).checkpoint().createOrReplaceTempView(name)
-
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark, "active"))
-    return (progress.writeStream.outputMode("update").foreachBatch(update).option("checkpointLocation", checkpoint)
+    spark = changes.sparkSession
+    store = store or f"{checkpoint.rstrip('/')}-open-scans"
+
+    def show() -> None:
+        made = "batch bigint, change bigint"
+        rows = spark.read.schema(made).parquet(store) if path_exists(spark, store) else spark.createDataFrame([], made)
+        rows.agg(F.coalesce(F.sum("change"), F.lit(0)).alias("active_scans")).createOrReplaceTempView(name)
+
+    def update(batch: DataFrame, number: int) -> None:
+        row = batch.agg(F.coalesce(F.sum("change"), F.lit(0)).cast("bigint").alias("change"))
+        row.coalesce(1).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        show()
+
+    show()
+    return (changes.writeStream.outputMode("update").foreachBatch(update).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": REFRESH})).start())
 
 
