@@ -250,7 +250,8 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", embedding: str = "emb
     rows = stored(vectors(table, key, embedding, label), "vectors")
     valid = rows.filter("raw is not null")
     classes = valid.groupBy("_label", "raw").agg(F.min("_key").alias("_least"), F.count("*").alias("n"))
-    classes = stored(classes.withColumn("id", F.xxhash64("_label", "raw")).withColumn("dim", (F.octet_length("raw") / 8).cast("int")), "classes")
+    # Numbers given once, in a stored table: a hash could give two classes the same.
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("dim", (F.octet_length("raw") / 8).cast("int")), "classes")
     axes = directions(classes)
     epsilon = float(np.sqrt(2 - 2 * cosine))
     blocks = ordered_blocks(classes.select("id", "_label", "raw", "n", "dim"), axes, epsilon, block)
@@ -267,9 +268,8 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", embedding: str = "emb
              .select("_label", "raw", "id", "_least", "n", F.coalesce("_gained", F.lit(0)).alias("_gained"),
                      F.coalesce("component", "id").alias("_root")))
     least = known.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    of_class = known.join(least, "_root").select("id", "component_id", (F.col("_gained") + F.col("n") - 1).alias("n_links"))
-    keyed = rows.select("_key", F.when(F.col("raw").isNotNull(), F.xxhash64("_label", "raw")).alias("id"))
-    out = keyed.join(of_class, "id", "left")
+    of_class = known.join(least, "_root").select("id", "_label", "raw", "component_id", (F.col("_gained") + F.col("n") - 1).alias("n_links"))
+    out = rows.join(of_class, ["_label", "raw"], "left")
     component = F.when(F.col("id").isNull(), F.col("_key")).otherwise(F.col("component_id"))
     return out.select(F.col("_key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       component.alias("component_id"), F.coalesce(component == F.col("_key"), F.lit(False)).alias("kept"))
