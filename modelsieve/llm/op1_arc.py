@@ -336,4 +336,20 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
 
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    rows = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+#: Five hexadecimal digits make four of base 32.
+SQL = """
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+hashed AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM payloads),
+coded AS (
+    SELECT page_id, payload_bytes, hex, list_aggregate(list_transform(range(8), lambda k: list_aggregate(list_transform([15, 10, 5, 0],
+        lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * k + 1, 5))::BIGINT >> b) & 31)::INT + 1, 1)),
+        'string_agg', '')), 'string_agg', '') AS payload_digest FROM hashed),
+first AS (SELECT hex, max(page_id) AS response FROM coded GROUP BY hex)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> response THEN response END AS refers_to, true AS intact
+FROM coded JOIN first USING (hex)
+"""

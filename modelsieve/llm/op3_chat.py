@@ -199,3 +199,20 @@ def op3_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(EXTRA, 0, "user", said), (EXTRA, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return formatted_digests(rows.unionByName(extra))
+
+
+SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped AS (
+    SELECT *, regexp_replace(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '#', '\#'), '(^|[^#])\\#', '\1#', 'g') AS safe
+    FROM rows),
+messages AS (SELECT *, '### ' || role || ': ' || safe || '</turn>' || chr(10) AS formatted FROM escaped)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length(formatted))::BIGINT AS formatted_chars
+FROM messages GROUP BY conv_id
+"""

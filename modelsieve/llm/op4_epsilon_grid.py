@@ -277,3 +277,21 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", embedding: str = "emb
 
 def op4_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v, embedding IS NOT NULL AND len(embedding) > 0 AND label IS NOT NULL
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0 AS sound
+    FROM embeddings),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND a.sound AND b.sound AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reached AS (SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.other),
+least AS (SELECT node, min(other) AS component FROM reached GROUP BY node),
+counted AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(component, vec_id)) AS component_id,
+    vec_id = least(vec_id, coalesce(component, vec_id)) AS kept
+FROM vectors LEFT JOIN least ON least.node = vec_id LEFT JOIN counted ON counted.node = vec_id
+"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from modelsieve.llm.op1_arc import SQL as OP1_SQL
 from modelsieve.llm.op1_arc import op1_arc_to_warc
 from modelsieve.llm.op10_quality import op10_quality_bayes
 from modelsieve.llm.op11_sketch import SQL as OP11_SQL
@@ -14,7 +15,9 @@ from modelsieve.llm.op12_whitening import op12_jacobi_davidson_whitening
 from modelsieve.llm.op13_merkle import SQL as OP13_SQL
 from modelsieve.llm.op13_merkle import op13_merkle_butterfly
 from modelsieve.llm.op2_sentencepiece import op2_sentencepiece_n_best
+from modelsieve.llm.op3_chat import SQL as OP3_SQL
 from modelsieve.llm.op3_chat import op3_chat_events
+from modelsieve.llm.op4_epsilon_grid import SQL as OP4_SQL
 from modelsieve.llm.op4_epsilon_grid import op4_epsilon_grid_join
 from modelsieve.llm.op5_wrapper import op5_wrapper_induction
 from modelsieve.llm.op6_simhash import op6_simhash_pigeonring
@@ -39,6 +42,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_arc_to_warc": OP1_SQL,
+    "op3_chat_events": OP3_SQL,
+    "op4_epsilon_grid_join": OP4_SQL,
     "op11_threshold_sketch": OP11_SQL,
     "op13_merkle_butterfly": OP13_SQL,
 }
