@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from modelsieve.functions.automaton import Literals
 from modelsieve.functions.once import computed_once
-from modelsieve.session import bound_arrow_batches
 
 MANY_RULES = 500     # beyond this a plan with an expression per anchor costs more than it saves; one automaton finds all anchors
 LOOK = -1            # stands for the rules that the automaton of a task finds
@@ -140,7 +139,6 @@ def with_candidates(chunks: DataFrame, rules: Sequence[Rule], out: str = "_rules
     Only substring search: the folded text is computed once per chunk, and only
     when some rule ignores case.
     """
-    bound_arrow_batches(chunks.sparkSession)
     if len(rules) > MANY_RULES:
         return chunks.withColumn(out, F.array(F.lit(LOOK)))
     tests = []

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelsieve.session import bound_arrow_batches
 
 # Block sizes, threshold and size floors of the engine profile.
 BLOCK, ONNX_BLOCK = 8192, 4096
@@ -56,7 +55,6 @@ def chunk_entropy(chunks: DataFrame, size=BLOCK, threshold: float = THRESHOLD) -
     multiples of it, as those of the readers are, so that blocks line up with
     the file. ``flagged`` marks blocks above the threshold.
     """
-    bound_arrow_batches(chunks.sparkSession)
     block = F.lit(size) if isinstance(size, int) else size
     rows = (chunks.filter(F.col("file_len") >= MIN_FILE).withColumn("_block", block)
             .select("artifact_id", "own_len", "_block",
@@ -82,7 +80,6 @@ def entropy_findings(blocks: DataFrame) -> DataFrame:
 def text_entropy(df: DataFrame, col: str, threshold: float = TEXT_THRESHOLD,
                  min_chars: int = TEXT_MIN_CHARS) -> DataFrame:
     """Add ``entropy`` of the field's UTF-8 bytes and ``flagged``."""
-    bound_arrow_batches(df.sparkSession)
     bits = entropy(F.encode(F.col(col), "UTF-8"))
     return (df.withColumn("_bits", bits)
             .withColumn("flagged", (F.col("_bits") > threshold) & (F.char_length(col) > min_chars))

@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelsieve.session import bound_arrow_batches
 
 # Numpy codes of the scalar value types; 7 bool, 8 string, 9 array.
 SCALARS = {0: "<u1", 1: "<i1", 2: "<u2", 3: "<i2", 4: "<u4", 5: "<i4", 6: "<f4", 7: "?", 10: "<u8", 11: "<i8", 12: "<f8"}
@@ -203,7 +202,6 @@ def gguf_metadata(df: DataFrame, layout: str = "u64") -> DataFrame:
 
     The header sits at the front, so pass the leading bytes of large files.
     """
-    bound_arrow_batches(df.sparkSession)
     key_type = df.schema["artifact_id"].dataType.simpleString()
     arrow_key = pa.field("artifact_id", pa.string() if key_type == "string" else pa.int64())
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modelsieve.operators.literals import SDK_LITERALS
+
 # Feed keywords, in the order that decides ``affected_tech``.
 KEYWORDS = ["pickle", "pytorch", "tensorflow", "keras", "huggingface",
             "safetensors", "gguf", "onnx", "machine learning model"]
@@ -97,23 +99,24 @@ def ioc_merge(iocs: DataFrame, reports: DataFrame) -> DataFrame:
             .withColumn("status", F.when(F.col("_new"), "success").otherwise("ignored")).drop("_new"))
 
 
-# The built-in pattern list (pattern, severity, category, texts).
-BUILTIN_PATTERNS = [
-    ("os.system", "critical", "code_execution", "System command execution", "تنفيذ أوامر النظام"),
-    ("subprocess", "high", "code_execution", "External process execution", "تشغيل عمليات خارجية"),
-    ("eval", "critical", "code_execution", "Dynamic code evaluation", "تنفيذ كود ديناميكي"),
-    ("exec", "critical", "code_execution", "Code execution function", "دالة تنفيذ الكود"),
-    ("pickle.loads", "high", "deserialization", "Unsafe pickle deserialization", "تحميل pickle غير آمن"),
-    ("__reduce__", "critical", "deserialization", "Pickle execution hook", "خطاف تنفيذ pickle"),
-    ("import os", "high", "system_access", "OS module import", "استيراد وحدة النظام"),
-    ("shutil", "medium", "file_operations", "File system operations", "عمليات نظام الملفات"),
-    ("base64", "medium", "obfuscation", "Potential code obfuscation", "إخفاء الكود المحتمل"),
-    ("socket", "high", "network", "Network socket access", "الوصول للشبكة"),
-    ("requests", "medium", "network", "HTTP request capability", "قدرة طلب HTTP"),
-    ("urllib", "medium", "network", "URL access capability", "قدرة الوصول للروابط"),
-    ("__import__", "high", "code_execution", "Dynamic import", "استيراد ديناميكي"),
-    ("ctypes", "critical", "system_access", "Low-level system access", "وصول منخفض للنظام"),
+# The built-in patterns are the SDK literals with a second text each.
+SECOND_TEXTS = [
+    "تنفيذ أوامر النظام",
+    "تشغيل عمليات خارجية",
+    "تنفيذ كود ديناميكي",
+    "دالة تنفيذ الكود",
+    "تحميل pickle غير آمن",
+    "خطاف تنفيذ pickle",
+    "استيراد وحدة النظام",
+    "عمليات نظام الملفات",
+    "إخفاء الكود المحتمل",
+    "الوصول للشبكة",
+    "قدرة طلب HTTP",
+    "قدرة الوصول للروابط",
+    "استيراد ديناميكي",
+    "وصول منخفض للنظام",
 ]
+BUILTIN_PATTERNS = [(*literal, text) for literal, text in zip(SDK_LITERALS, SECOND_TEXTS, strict=True)]
 
 
 def pattern_catalog_active(patterns: DataFrame) -> DataFrame:

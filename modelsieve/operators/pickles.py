@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelsieve.session import bound_arrow_batches
 
 # Imports considered harmless, scores, vectors and the texts of findings below.
 SAFE_IMPORTS = [("numpy.core.multiarray", "_reconstruct"), ("numpy.core.multiarray", "scalar"),
@@ -69,7 +68,6 @@ def ops_batches(batches, open_stream, key_field: pa.Field, rows_per_batch: int =
 
 def pickle_ops(df: DataFrame) -> DataFrame:
     """(artifact_id, pos, op, arg) of a table with the streams in ``content``."""
-    bound_arrow_batches(df.sparkSession)
     key_type = df.schema["artifact_id"].dataType.simpleString()
     arrow_key = pa.field("artifact_id", pa.string() if key_type == "string" else pa.int64())
 

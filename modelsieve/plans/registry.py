@@ -268,10 +268,8 @@ def onnx_op_indicators(spark, d):
 
 @query
 def ioc_screen(spark, d):
-    hits, rest = ioc.ioc_screen(v.v_hashes(spark, d), v.v_iocs(spark, d))
-    return hits.select("artifact_id", "file_hash", "pattern", F.col("risk_score").cast("bigint").alias("risk_score"),
-                       "risk_level").unionByName(
-        rest.select("artifact_id", "file_hash"), allowMissingColumns=True)
+    flagged = ioc.ioc_flagged(v.v_hashes(spark, d), v.v_iocs(spark, d))
+    return flagged.select("artifact_id", "file_hash", "pattern", F.col("risk_score").cast("bigint").alias("risk_score"), "risk_level")
 
 
 @query

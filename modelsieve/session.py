@@ -18,19 +18,6 @@ SETTINGS = {
 }
 
 
-# Rows that carry artifact bytes are up to some MiB each; the default Arrow batch
-# of 10,000 rows would not fit a worker.
-BYTES_PER_BATCH = 64 << 20
-
-
-def bound_arrow_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches of this session to a size in bytes, whatever the row width."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    current = spark.conf.get(key).rstrip("b")
-    if not current.isdigit() or int(current) > BYTES_PER_BATCH:
-        spark.conf.set(key, str(BYTES_PER_BATCH))
-
-
 def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName("modelsieve")
