@@ -271,3 +271,15 @@ def gguf_metadata_rules(kv: DataFrame) -> DataFrame:
                     F.when(template, "chat_template_injection").otherwise("dangerous_pattern").alias("type"),
                     F.lit("malicious").alias("severity"), "r.pattern", "r.hits",
                     F.when(template, TEMPLATE_WEIGHT).otherwise(PATTERN_WEIGHT).alias("weight")))
+
+
+def gguf_notes(kv: DataFrame) -> DataFrame:
+    """What the inspector notes without a score: (artifact_id, type, severity, detail) with the header's counts, and the first
+    key of any case that holds a chat template. One combined row per artifact is shuffled."""
+    template = F.when(F.contains(F.lower("key"), F.lit("chat_template")), F.struct("position", "key", F.char_length("value").alias("chars")))
+    seen = kv.groupBy("artifact_id").agg(F.max(F.struct("version", "tensors", "pairs")).alias("h"), F.min(template).alias("t"))
+    note = lambda kind, detail: F.struct(F.lit(kind).alias("type"), F.lit("clean").alias("severity"), detail.alias("detail"))
+    header = F.format_string("GGUF v%d — %d tensor(s), %d metadata key-value pair(s).", "h.version", "h.tensors", "h.pairs")
+    found = F.format_string("Chat template found in key '%s' (%d chars).", "t.key", F.coalesce("t.chars", F.lit(0)))
+    return seen.select("artifact_id", F.inline(F.array_compact(F.array(
+        F.when(F.col("h.version").isNotNull(), note("header_info", header)), F.when(F.col("t").isNotNull(), note("chat_template_found", found))))))

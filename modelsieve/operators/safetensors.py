@@ -186,3 +186,21 @@ def metadata_rules(df: DataFrame) -> DataFrame:
                         for label, regex, w in TEXT_RULES])
     return (values.select("artifact_id", "key", F.explode(F.when(one, of_value).otherwise(F.filter(of_text, lambda f: f["hits"] > 0))).alias("f"))
             .select("artifact_id", "key", "f.*"))
+
+
+def safetensors_notes(df: DataFrame) -> DataFrame:
+    """What the inspector notes without a score: (artifact_id, type, severity, detail) with the metadata's keys, the first ten of them
+    in order, and the safety of the format where the text rules found nothing malicious."""
+    h = _header_state(with_header(df)).filter("parsed")
+    names = F.array_sort(F.array_distinct(F.transform("_meta", lambda m: m["key"])))
+    keys = F.concat(F.format_string("__metadata__ contains %d key(s): ", F.size(names)), F.array_join(F.slice(names, 1, 10), ", "),
+                    F.when(F.size(names) > 10, "…").otherwise(""))
+    malicious = F.lit(False)
+    for _, regex, weight in TEXT_RULES:
+        if weight >= 20:
+            malicious = malicious | F.col("header").rlike(f"(?iu){regex}")
+    note = lambda kind, detail: F.struct(F.lit(kind).alias("type"), F.lit("clean").alias("severity"), detail.alias("detail"))
+    safe = F.lit("SafeTensors format does not support arbitrary code execution. This is inherently safer than Pickle.")
+    return h.select("artifact_id", F.inline(F.array_compact(F.array(
+        F.when((F.col("type") == "header_info") & _is_object(F.col("_meta_kind")), note("metadata_info", keys)),
+        F.when(~malicious, note("format_safety", safe))))))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from modelsieve.functions.matching import shared_context
 from modelsieve.operators.admission import advisories, format_of
+from modelsieve.operators.gguf import gguf_notes
 from modelsieve.operators.ioc import ioc_screen
 from modelsieve.operators.literals import literal_presence
+from modelsieve.operators.safetensors import safetensors_notes
 from modelsieve.operators.scoring import assemble_results, final_verdict, inspector_risk, sdk_risk
 from modelsieve.operators.signatures import SIGNATURES, Signature
 from modelsieve.plans.dispatch import FILE_FACTS, FINDING_COLUMNS, READ_ERROR, byte_findings, inspector_findings, structure_findings
@@ -132,7 +134,8 @@ def sdk_scan(manifest: DataFrame, limit: int | None = None) -> tuple[DataFrame,
 def inspect_files(manifest: DataFrame, layout: str = "u64", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, results) of a folder under the inspector profile, detectors chosen by extension.
 
-    Every file has a result. One that cannot be read has a ``file_error`` finding, an ``error`` and no score.
+    Every file has a result. What the inspector notes without a score (counts, keys, chat template, safety of the format) has a
+    ``message``. A file that cannot be read has a ``file_error`` finding, an ``error`` and no score.
     """
     files = with_ids(manifest)
     heads = stored(artifact_prefix(files, FORMAT_HEAD), "heads")
@@ -144,6 +147,7 @@ def inspect_files(manifest: DataFrame, layout: str = "u64", limit: int | None =
     found = inspector_findings(
         heads.filter("ext <> '.safetensors' and error is null"), chunks.filter("error is null"),
         kv.filter("error is null").drop("error"), tensors.filter("error is null"))
+    unscored = gguf_notes(kv.filter("error is null").drop("error")).unionByName(safetensors_notes(tensors.filter("error is null")))
     notes = advisories(files.select("artifact_id", "filename", F.col("length").alias("file_size")), limit).drop("filename", "file_size")
     failed = (heads.filter("error is not null").select("artifact_id", "error")
               .unionByName(kv.filter("error is not null").select("artifact_id", "error"))
@@ -151,6 +155,7 @@ def inspect_files(manifest: DataFrame, layout: str = "u64", limit: int | None =
               .unionByName(chunks.filter("error is not null").select("artifact_id", "error").distinct()))
     findings = stored(found.unionByName(failed.select("artifact_id", F.lit("file_error").alias("type"), F.lit("suspicious").alias("severity"),
                                                       F.col("error").alias("pattern")), allowMissingColumns=True)
-                      .unionByName(notes, allowMissingColumns=True), "inspection")
+                      .unionByName(notes, allowMissingColumns=True)
+                      .unionByName(unscored.withColumnRenamed("detail", "message").withColumn("weight", F.lit(0.0)), allowMissingColumns=True), "inspection")
     failed = findings.filter("type = 'file_error'").select("artifact_id", F.col("pattern").alias("error"))
-    return findings, _with_errors(inspector_risk(findings, files), failed, {"risk_score": None, "risk_level": None})
+    return findings, _with_errors(inspector_risk(findings.filter("message IS NULL"), files), failed, {"risk_score": None, "risk_level": None})

@@ -400,6 +400,17 @@ ORACLE["scan_dispatch_inspector"] = sql(f"""
     UNION ALL SELECT 'm_' || artifact_id || '.safetensors', type, severity, pattern, hits, weight FROM metadata_rows
         WHERE profile = 'inspector'""", "v_pickles", "gguf_rows", "header_rows", "metadata_rows")
 
+ORACLE["inspector_notes"] = sql("""
+    SELECT artifact_id, 'header_info' AS type, 'clean' AS severity, 'GGUF v3 — 0 tensor(s), 3 metadata key-value pair(s).' AS detail, 'gguf' AS format
+    FROM v_gguf
+    UNION ALL SELECT artifact_id, 'chat_template_found', 'clean', 'Chat template found in key ''tokenizer.chat_template'' (' || length(template) || ' chars).',
+        'gguf' FROM v_gguf
+    UNION ALL SELECT doc_id, 'metadata_info', 'clean', '__metadata__ contains 2 key(s): note, url', 'safetensors' FROM header_rows WHERE has_values
+    UNION ALL SELECT doc_id, 'format_safety', 'clean',
+        'SafeTensors format does not support arbitrary code execution. This is inherently safer than Pickle.', 'safetensors'
+        FROM header_rows WHERE parsed AND doc_id NOT IN (SELECT artifact_id FROM metadata_rows WHERE severity = 'malicious')""",
+                             "v_gguf", "header_rows", "metadata_rows")
+
 # ---- scoring
 _SETS = {"av": "NALP", "ac": "LH", "pr": "NLH", "ui": "NR", "s": "UC", "c": "HLN", "i": "HLN", "a": "HLN"}
 _DEF = {"av": "L", "ac": "L", "pr": "N", "ui": "N", "s": "U", "c": "H", "i": "H", "a": "H"}

@@ -295,6 +295,12 @@ def scan_dispatch_inspector(spark, d):
     return scan_corpus(mixed, "inspector").select("artifact_id", "type", "severity", "pattern", "hits", "weight")
 
 
+@query
+def inspector_notes(spark, d):
+    return gguf.gguf_notes(gguf.gguf_metadata(v.v_gguf(spark, d))).withColumn("format", F.lit("gguf")).unionByName(
+        safetensors.safetensors_notes(v.v_safetensors(spark, d)).withColumn("format", F.lit("safetensors")))
+
+
 # ---- scoring -----------------------------------------------------------------
 
 def _metric_rows(spark, d) -> DataFrame:

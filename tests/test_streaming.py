@@ -74,6 +74,8 @@ def test_sdk_and_inspector_profiles_over_files(spark, tmp_path):
                      "chat.gguf": (0.0, "clean"), "known.pt": (10.0, "clean"),
                      "short.gguf": (35.0, "suspicious"), "pre.pkl": (55.0, "malicious")}
     assert findings.filter("type = 'valid_magic'").count() == 3
+    noted = {r["type"] for r in findings.filter("message is not null").collect()}
+    assert "format_safety" in noted and noted <= {"format_safety", "header_info", "chat_template_found"}
 
 
 def test_stream_scan_appends_once(spark, tmp_path, iocs):
