@@ -2,13 +2,14 @@
 
 Every text gives counts; ratios of counts are made comparable by the arcsine square-root transform.
 For each (lang, source) the minimum covariance determinant estimate of centre and scatter is found by
-concentration steps: from coordinate medians and quartile ranges, the ``SUBSET`` share of rows nearest
-to the centre gives a new mean and covariance, ``STEPS`` times. Rows far from the centre by Mahalanobis
-distance are rejected.
+concentration steps: the ``SUBSET`` share of rows nearest to a centre gives a new mean and covariance, and so a
+determinant that falls until it settles. Three deterministic starts about the coordinate medians (quartile ranges
+alone, with correlations of hyperbolic tangents, with correlations of spatial signs) are followed to their ends, and
+the least determinant is taken. Rows far from the centre by Mahalanobis distance are rejected.
 
 Quantiles come from counts over fine bins, so they are exact on the binned values, need no sample and do not
-depend on the order of rows. Every step is a grouped aggregation with partial sums: a group that holds a
-third of all rows costs no more than its share. Sites with fewer than ``LEAST_ROWS`` rows use the estimate of
+depend on the order of rows. Every step is a grouped aggregation with partial sums, and rows meet the models of their
+sites by pair and salt: a group that holds a third of all rows, or all of them, costs no more than its share. Sites with fewer than ``LEAST_ROWS`` rows use the estimate of
 their language, and languages that small the estimate of all rows.
 """
 
@@ -35,7 +36,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "capitals", "marks")
 #: Half of the rows, so that a group of copies may hold up to half of a site without drawing the estimate to itself.
 SUBSET = 0.5
-STEPS = 4
+#: A determinant falls as long as its logarithm does by this much.
+FALL = 1e-3
+#: A (language, source) pair meets its models in this many parts.
+SALTS = 32
 LEAST_ROWS = 200
 #: Least standard deviation of each feature: statistics that hardly vary are not read more finely. With a centre near zero
 #: repeated lines alone reject beyond 87 % of the lines, repeated words alone just under the base rule's half.
@@ -130,9 +134,8 @@ def _consistency(share: float, half: int = len(FEATURES) // 2) -> float:
     return share / _chi_square(low, half + 1)
 
 
-def _quantiles(rows: DataFrame, keys: list[str], value: Column, width: float, shares: list[float]) -> DataFrame:
-    """keys and an array: for each share the middle of the first bin up to which that share of rows lies."""
-    bins = rows.groupBy(*keys, F.floor(value / width).alias("_bin")).agg(F.count("*").alias("_n"))
+def _bin_quantiles(bins: DataFrame, keys: list[str], width: float, shares: list[float]) -> DataFrame:
+    """keys and an array: for each share the middle of the first bin up to which that share of the counts ``_n`` lies."""
     w = Window.partitionBy(*keys)
     bins = (bins.withColumn("_upto", F.sum("_n").over(w.orderBy("_bin")))
             .withColumn("_all", F.sum("_n").over(w)))
@@ -140,6 +143,11 @@ def _quantiles(rows: DataFrame, keys: list[str], value: Column, width: float, sh
     return bins.groupBy(*keys).agg(F.array(*firsts).alias("_q"))
 
 
+def _quantiles(rows: DataFrame, keys: list[str], value: Column, width: float, shares: list[float]) -> DataFrame:
+    """``_bin_quantiles`` of a value of rows."""
+    return _bin_quantiles(rows.groupBy(*keys, F.floor(value / width).alias("_bin")).agg(F.count("*").alias("_n")), keys, width, shares)
+
+
 def _log_distance(centre: str, precision: str) -> Column:
     """log2(1 + squared Mahalanobis distance) of the features."""
     p = len(FEATURES)
@@ -151,49 +159,138 @@ def _log_distance(centre: str, precision: str) -> Column:
     return F.log2(1 + F.greatest(total, F.lit(0.0)))
 
 
-def _scatter(groups: Iterable[pd.DataFrame], factor: float) -> Iterator[pd.DataFrame]:
-    """Centre and precision matrix of each group from its sums."""
+def _inverse(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inverse and log determinant of a scatter matrix, both with a floor on every direction in units of the features' floors."""
+    scale = np.outer(FLOORS, FLOORS)
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2 / scale)
+    values = np.maximum(values, 1.0)
+    return (vectors / values) @ vectors.T / scale, float(np.log(values).sum())
+
+
+def _correlation(cross: np.ndarray) -> np.ndarray:
+    """Correlations of a covariance; a feature that does not vary is correlated with none."""
+    size = np.sqrt(np.maximum(np.diag(cross), 0))
+    firm = size > 1e-6
+    found = np.where(np.outer(firm, firm), cross / np.outer(np.where(firm, size, 1), np.where(firm, size, 1)), 0.0)
+    np.fill_diagonal(found, 1.0)
+    return found
+
+
+MODEL = "site string, start int, log_det double, centre array<double>, precision array<double>"
+
+
+def _first_models(groups: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The starts of each site: quartile ranges alone, then with the correlations of hyperbolic tangents and of spatial signs."""
     p = len(FEATURES)
-    floors = np.diag(np.square(FLOORS))
     for frame in groups:
-        centres, precisions = [], []
-        for n, sums, products in zip(frame["n"], frame["sums"], frame["products"]):
-            mean = np.asarray(sums, float) / n
-            cross = np.asarray(products, float).reshape(p, p) / n
-            cov = (cross - np.outer(mean, mean)) * factor
-            cov = (cov + cov.T) / 2
-            # A floor on every direction, in units of the features' own floors.
-            scale = np.sqrt(np.diag(floors))
-            values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
-            inverse = (vectors / np.maximum(values, 1.0)) @ vectors.T / np.outer(scale, scale)
-            centres.append(mean.tolist())
-            precisions.append(inverse.reshape(-1).tolist())
-        yield pd.DataFrame({"site": frame["site"], "centre": centres, "precision": precisions})
-
-
-def estimates(rows: DataFrame) -> DataFrame:
-    """(site, centre, precision) from rows of (site, features...): the minimum covariance determinant estimate."""
+        made = []
+        for row in frame.itertuples():
+            spread, mean = np.asarray(row.spread, float), np.asarray(row.tangents, float) / row.n
+            tangents = np.asarray(row.tangent_products, float).reshape(p, p) / row.n - np.outer(mean, mean)
+            signs = np.asarray(row.sign_products, float).reshape(p, p) / row.n
+            for start, related in enumerate((np.eye(p), _correlation(tangents), _correlation(signs))):
+                inverse, _ = _inverse(np.outer(spread, spread) * related)
+                made.append((row.site, start, math.inf, list(row.centre), inverse.reshape(-1).tolist()))
+        yield pd.DataFrame(made, columns=["site", "start", "log_det", "centre", "precision"])
+
+
+def _scatter(groups: Iterable[pd.DataFrame], factor: float) -> Iterator[pd.DataFrame]:
+    """Log determinant, centre and precision matrix of each subset from its sums."""
     p = len(FEATURES)
-    long = rows.select("site", F.posexplode(F.array(*FEATURES)).alias("_k", "_v"))
-    spread = _quantiles(long, ["site", "_k"], F.col("_v"), 0.002, [0.25, 0.5, 0.75])
+    for frame in groups:
+        made = []
+        for row in frame.itertuples():
+            mean = np.asarray(row.sums, float) / row.n
+            cov = np.asarray(row.products, float).reshape(p, p) / row.n - np.outer(mean, mean)
+            inverse, log_det = _inverse(cov * factor)
+            made.append((row.site, row.start, log_det, mean.tolist(), inverse.reshape(-1).tolist()))
+        yield pd.DataFrame(made, columns=["site", "start", "log_det", "centre", "precision"])
+
+
+def _square(names: list[str]) -> Column:
+    """Sums of all products of two columns, row by row of the matrix."""
+    return F.array(*[F.sum(F.col(names[min(a, b)]) * F.col(names[max(a, b)])) for a in range(len(names)) for b in range(len(names))])
+
+
+def _salt(*values: str) -> Column:
+    return F.pmod(F.xxhash64(*values), F.lit(SALTS)).cast("int")
+
+
+def _every_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+
+
+def _met(rows: DataFrame, owned: DataFrame, models: DataFrame) -> DataFrame:
+    """The features of every row beside each entry of ``models`` (site, ...) that one of its sites has.
+
+    A (language, source) pair takes the entries of its sites along, so that rows meet them by pair and salt: neither a
+    large source nor the site of all rows is one key of this join.
+    """
+    wide = F.col("level") > 0  # sites of many pairs
+    levels = (owned.withColumn("_salt", F.when(wide, _salt("_pair")).otherwise(0)))
+    spread = models.join(owned.select("site", "level").distinct(), "site").withColumn(
+        "_salt", F.explode(F.when(wide, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("level")
+    entries = (levels.join(spread, ["site", "_salt"]).groupBy("_pair")
+               .agg(F.collect_list(F.struct(*models.columns)).alias("_m")))  # at most three sites by three starts
+    entries = entries.select("_pair", "_m", _every_salt())
+    return rows.join(entries, ["_pair", "_salt"]).select(*FEATURES, F.inline("_m"))
+
+
+def _starts(rows: DataFrame, owned: DataFrame) -> DataFrame:
+    """The first models of every site, about its coordinate medians."""
+    long = rows.select("_pair", F.posexplode(F.array(*FEATURES)).alias("_k", "_v"))
+    # counts over bins add up, so rows are counted by pair before their sites come in
+    bins = long.groupBy("_pair", "_k", F.floor(F.col("_v") / 0.002).alias("_bin")).agg(F.count("*").alias("_n"))
+    bins = bins.join(owned, "_pair").groupBy("site", "_k", "_bin").agg(F.sum("_n").alias("_n"))
+    spread = _bin_quantiles(bins, ["site", "_k"], 0.002, [0.25, 0.5, 0.75])
     floor = F.array(*map(F.lit, FLOORS))[F.col("_k")]
-    spread = spread.select("site", "_k", F.col("_q")[1].alias("_m"),
-                           F.greatest((F.col("_q")[2] - F.col("_q")[0]) / 1.349, floor).alias("_s"))
-    diagonal = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda a: F.transform(
-        F.sequence(F.lit(0), F.lit(p - 1)), lambda b: F.when(a == b, 1 / (F.col("_all")[a]["_s"] * F.col("_all")[a]["_s"])).otherwise(0.0))))
-    now = (spread.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("_k", "_m", "_s"))).alias("_all"))  # one entry a feature
-           .select("site", F.transform("_all", lambda x: x["_m"]).alias("centre"), diagonal.alias("precision")))
+    spread = spread.select("site", F.struct("_k", F.col("_q")[1].alias("_m"),
+                                            F.greatest((F.col("_q")[2] - F.col("_q")[0]) / 1.349, floor).alias("_s")).alias("_f"))
+    spread = (spread.groupBy("site").agg(F.array_sort(F.collect_list("_f")).alias("_all"))  # one entry a feature
+              .select("site", F.transform("_all", lambda x: x["_m"]).alias("centre"), F.transform("_all", lambda x: x["_s"]).alias("spread")))
+    spread = stored(spread, "spread")
+    z = [f"_z{k}" for k in range(len(FEATURES))]
+    t, u = [f"_t{k}" for k in range(len(FEATURES))], [f"_u{k}" for k in range(len(FEATURES))]
+    near = _met(rows, owned, spread).withColumns({c: (F.col(f) - F.col("centre")[k]) / F.col("spread")[k] for k, (c, f) in enumerate(zip(z, FEATURES))})
+    length = F.sqrt(sum((F.col(c) * F.col(c) for c in z), F.lit(0.0)))
+    near = near.withColumn("_len", F.greatest(length, F.lit(1e-12)))
+    near = near.withColumns({**{c: F.tanh(v) for c, v in zip(t, z)}, **{c: F.col(v) / F.col("_len") for c, v in zip(u, z)}})
+    sums = near.groupBy("site").agg(F.count("*").alias("n"), F.array(*map(F.sum, t)).alias("tangents"),
+                                    _square(t).alias("tangent_products"), _square(u).alias("sign_products"))
+    return stored(sums.join(spread, "site").mapInPandas(_first_models, MODEL), "starts")
+
+
+def _concentrated(rows: DataFrame, owned: DataFrame, models: DataFrame) -> DataFrame:
+    """One concentration step of each model: mean and covariance of the ``SUBSET`` share of its site's rows nearest to it."""
+    keys = ["site", "start"]
+    far = _met(rows, owned, models).select(*keys, *FEATURES, _log_distance("centre", "precision").alias("_d"))
+    limit = _quantiles(far, keys, F.col("_d"), 1 / 64, [SUBSET]).select(*keys, (F.col("_q")[0] + 1 / 128).alias("_limit"))
+    # the models take their limits along, so rows meet both in the one salted join
+    near = (_met(rows, owned, models.join(limit, keys)).withColumn("_d", _log_distance("centre", "precision"))
+            .filter(F.col("_d") < F.col("_limit")))
+    sums = near.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*map(F.sum, FEATURES)).alias("sums"), _square(list(FEATURES)).alias("products"))
     factor = _consistency(SUBSET)
-    for step in range(STEPS):
-        far = rows.join(now, "site").select("site", *FEATURES, _log_distance("centre", "precision").alias("_d"))
-        limit = _quantiles(far, ["site"], F.col("_d"), 1 / 64, [SUBSET]).select("site", (F.col("_q")[0] + 1 / 128).alias("_limit"))
-        near = far.join(limit, "site").filter(F.col("_d") < F.col("_limit"))
-        sums = near.groupBy("site").agg(
-            F.count("*").alias("n"), F.array(*[F.sum(f) for f in FEATURES]).alias("sums"),
-            F.array(*[F.sum(F.col(FEATURES[min(a, b)]) * F.col(FEATURES[max(a, b)])) for a in range(p) for b in range(p)]).alias("products"))
-        now = stored(sums.mapInPandas(lambda groups: _scatter(groups, factor),
-                                      "site string, centre array<double>, precision array<double>"), f"scatter-{step}")
-    return now
+    return stored(sums.mapInPandas(lambda groups: _scatter(groups, factor), MODEL), "scatter")
+
+
+def estimates(rows: DataFrame, owned: DataFrame) -> DataFrame:
+    """(site, log_det, centre, precision): the minimum covariance determinant estimate of every site in ``owned``.
+
+    ``rows`` are (_pair, _salt, features...), ``owned`` (_pair, level, site) names the sites of a pair. Each start takes
+    steps until its determinant no longer falls by ``FALL`` in its logarithm; the logarithm has zero as its bound, by the
+    floors, so this ends. Starts of a site that come to one determinant go on as one. The least determinant wins.
+    """
+    keys = ["site", "start"]
+    kept = active = _starts(rows, owned)
+    while not active.isEmpty():
+        after = _concentrated(rows, owned, active)
+        before = kept.select(*keys, F.col("log_det").alias("_before"))
+        fell = after.join(before, keys).filter(F.col("log_det") < F.col("_before") - FALL).drop("_before")
+        first = F.min_by(F.struct(*fell.columns), "start").alias("m")
+        active = stored(fell.groupBy("site", F.round("log_det", 6)).agg(first).select("m.*"), "active")
+        kept = stored(kept.join(active, keys, "left_anti").unionByName(active), "kept")
+    order = F.struct(F.round("log_det", 6), "start")
+    return kept.groupBy("site").agg(F.min_by(F.struct("log_det", "centre", "precision"), order).alias("m")).select("site", "m.*")
 
 
 def _site(*parts: Column) -> Column:
@@ -201,6 +298,19 @@ def _site(*parts: Column) -> Column:
     return F.to_json(F.array(*parts), {"ignoreNullFields": "false"})
 
 
+def _sites(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_pair, level, site) of the sites whose estimates are needed, and (_pair, site) with the one that judges a pair.
+
+    That is the first of source, language and all with ``LEAST_ROWS`` rows. Counts are taken by pair and added up.
+    """
+    levels = F.array(F.col("_pair"), _site(F.col("_lang")), F.lit("all"))
+    pairs = stored(rows.groupBy("_lang", "_source", "_pair").agg(F.count("*").alias("n")).select("_pair", "n", F.posexplode(levels).alias("level", "site")), "pairs")
+    large = pairs.groupBy("site").agg(F.sum("n").alias("_rows")).filter((F.col("_rows") >= LEAST_ROWS) | (F.col("site") == "all")).select("site")
+    chosen = stored(pairs.join(large, "site", "left_semi").groupBy("_pair").agg(F.min_by("site", "level").alias("site")), "chosen")
+    owned = pairs.join(chosen.select("site").distinct(), "site", "left_semi").select("_pair", "level", "site")
+    return stored(owned, "owned"), chosen
+
+
 def judged(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
            source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """(key, counts, base_failed, distance, kept) of every row.
@@ -224,18 +334,12 @@ def _verdicts(documents: DataFrame, key: str, text: str, lang: str, source: str,
     rows = counted(named, ["_key", "_lang", "_source", "_mark"], "_text")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = stored(rows.withColumn("base_failed", base).withColumns(
-        {f: F.when(F.col("n_words") > 0, c) for f, c in features().items()}), "counts")
-    levels = [_site(F.col("_lang"), F.col("_source")), _site(F.col("_lang")), F.lit("all")]
-    sites = rows.filter("n_words > 0").select(*FEATURES, F.explode(F.array(*levels)).alias("site"))
-    known = estimates(sites)
-    large = sites.groupBy("site").count().filter((F.col("count") >= LEAST_ROWS) | (F.col("site") == "all")).select("site")
-    known = known.join(large, "site", "left_semi")
-    pairs = rows.select("_lang", "_source").distinct()
-    owned = pairs.select("_lang", "_source", F.posexplode(F.array(*levels)).alias("_level", "site"))
-    chosen = (owned.join(known, "site").groupBy("_lang", "_source")
-              .agg(F.min_by(F.struct("centre", "precision"), "_level").alias("_e"))
-              .select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), "_e.centre", "_e.precision"))
-    met = rows.join(chosen, rows["_lang"].eqNullSafe(chosen["_l"]) & rows["_source"].eqNullSafe(chosen["_s"]), "left")
+        {f: F.when(F.col("n_words") > 0, c) for f, c in features().items()}).withColumns(
+        {"_pair": _site(F.col("_lang"), F.col("_source")), "_salt": _salt("_key", "_mark")}), "counts")
+    worded = rows.filter("n_words > 0")
+    owned, chosen = _sites(worded)
+    known = chosen.join(estimates(worded.select("_pair", "_salt", *FEATURES), owned), "site").select("_pair", "centre", "precision", _every_salt())
+    met = rows.join(known, ["_pair", "_salt"], "left")
     distance = F.sqrt(F.pow(F.lit(2.0), _log_distance("centre", "precision")) - 1)
     return (met.withColumn("distance", distance)
             .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(False)))
