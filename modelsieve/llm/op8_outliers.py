@@ -282,12 +282,14 @@ def estimates(rows: DataFrame, owned: DataFrame) -> DataFrame:
     """
     keys = ["site", "start"]
     kept = active = _starts(rows, owned)
-    while not active.isEmpty():
+    while True:
         after = _concentrated(rows, owned, active)
         before = kept.select(*keys, F.col("log_det").alias("_before"))
         fell = after.join(before, keys).filter(F.col("log_det") < F.col("_before") - FALL).drop("_before")
         first = F.min_by(F.struct(*fell.columns), "start").alias("m")
         active = stored(fell.groupBy("site", F.round("log_det", 6)).agg(first).select("m.*"), "active")
+        if active.isEmpty():
+            break
         kept = stored(kept.join(active, keys, "left_anti").unionByName(active), "kept")
     order = F.struct(F.round("log_det", 6), "start")
     return kept.groupBy("site").agg(F.min_by(F.struct("log_det", "centre", "precision"), order).alias("m")).select("site", "m.*")
