@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modelsieve.functions.once import computed_once
 
 # Numpy codes of the scalar value types; 7 bool, 8 string, 9 array.
 SCALARS = {0: "<u1", 1: "<i1", 2: "<u2", 3: "<i2", 4: "<u4", 5: "<i4", 6: "<f4", 7: "?", 10: "<u8", 11: "<i8", 12: "<f8"}
@@ -18,7 +19,7 @@ STRING, ARRAY = 8, 9
 MAGIC = b"GGUF"
 ITEMS_AT_ONCE = 1 << 16
 
-KV_SCHEMA = "version bigint, tensors bigint, pairs bigint, position int, key string, vtype int, value string"
+KV_SCHEMA = "version bigint, tensors bigint, pairs bigint, position int, key string, vtype int, value string, template boolean"
 
 
 class _Cursor:
@@ -134,6 +135,8 @@ def iter_kv(stream, layout: str = "u64") -> Iterator[tuple]:
     file without a readable header gives none. A repeated key keeps its place
     and takes its last value.
 
+    ``template`` marks the first key that holds a chat template (any case).
+
     Values are passed over once to find each key's last place, then read one at a
     time, so only keys and one value are held. Errors of the stream itself are raised.
     """
@@ -155,11 +158,12 @@ def iter_kv(stream, layout: str = "u64") -> Iterator[tuple]:
         left -= 1
     limit = (1 << 63) - 1
     head = (version, min(tensors, limit), min(pairs, limit))
+    template = next((k for k in places if "chat_template" in k.lower()), None)
     for position, (key, (vtype, place)) in enumerate(places.items()):
         cursor.at = cursor.stream.seek(place)
-        yield (*head, position, key, min(vtype, (1 << 31) - 1), _read_value(cursor, vtype))
+        yield (*head, position, key, min(vtype, (1 << 31) - 1), _read_value(cursor, vtype), key == template)
     if not places:
-        yield (*head, None, None, None, None)
+        yield (*head, None, None, None, None, None)
 
 
 VALUES_PER_BATCH = 16 << 20
@@ -168,7 +172,7 @@ VALUES_PER_BATCH = 16 << 20
 def kv_batches(batches, open_stream, key_field: pa.Field, layout: str, errors: tuple = ()):
     """Arrow batches of rows, bounded in characters; with ``errors`` (exception types) a last column tells why
     a file could not be read to the end."""
-    types = [pa.int64()] * 3 + [pa.int32(), pa.string(), pa.int32(), pa.string()]
+    types = [pa.int64()] * 3 + [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
     names = [part.split()[0] for part in KV_SCHEMA.split(", ")]
     schema = pa.schema([key_field, *zip(names, types)] + ([("error", pa.string())] if errors else []))
     more = (None,) if errors else ()
@@ -187,12 +191,12 @@ def kv_batches(batches, open_stream, key_field: pa.Field, layout: str, errors: t
                 with open_stream(batch, i) as stream:
                     for kv in iter_kv(stream, layout):
                         rows.append((keys[i].as_py(), *kv, *more))
-                        size += len(kv[-1] or "")
+                        size += len(kv[-2] or "")
                         if size > VALUES_PER_BATCH:
                             yield flush()
                             size = 0
             except errors as exc:
-                rows.append((keys[i].as_py(), *[None] * 7, str(exc)))
+                rows.append((keys[i].as_py(), *[None] * 8, str(exc)))
             if rows:
                 yield flush()
 
@@ -232,41 +236,45 @@ def gguf_key_table(kv: DataFrame) -> DataFrame:
                  F.countDistinct(F.sha2("value", 256)).alias("distinct_values")))
 
 
-# Label and regex of the inspector's string rules, and weights.
+# Label of the inspector's string rules, a literal that every match holds, regex; and weights.
 STRING_RULES = [
-    ("os.system()", r"os\.system\s*\("), ("exec()", r"\bexec\s*\("), ("eval()", r"\beval\s*\("),
-    ("subprocess", r"subprocess\."), ("__import__()", r"__import__\s*\("), ("open()", r"\bopen\s*\("),
-    ("os.popen()", r"os\.popen\s*\("), ("os.exec*()", r"os\.exec"), ("shutil", r"shutil\."),
-    ("socket", r"socket\."), ("requests", r"requests\."), ("urllib", r"urllib\."),
-    ("ctypes", r"ctypes\."), ("<script>", r"<script"),
+    ("os.system()", "os.system", r"os\.system\s*\("), ("exec()", "exec", r"\bexec\s*\("), ("eval()", "eval", r"\beval\s*\("),
+    ("subprocess", "subprocess.", r"subprocess\."), ("__import__()", "__import__", r"__import__\s*\("), ("open()", "open", r"\bopen\s*\("),
+    ("os.popen()", "os.popen", r"os\.popen\s*\("), ("os.exec*()", "os.exec", r"os\.exec"), ("shutil", "shutil.", r"shutil\."),
+    ("socket", "socket.", r"socket\."), ("requests", "requests.", r"requests\."), ("urllib", "urllib.", r"urllib\."),
+    ("ctypes", "ctypes.", r"ctypes\."), ("<script>", "<script", r"<script"),
 ]
 PATTERN_WEIGHT, TEMPLATE_WEIGHT = 25.0, 20.0
 
 
+def folded(text: Column) -> Column:
+    """Lower case in which every character that a caseless expression takes for an ASCII letter is that letter."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
 def gguf_metadata_rules(kv: DataFrame) -> DataFrame:
     """Rule hits on string values.
 
     A value is scanned under ``metadata[key]``; the first key that holds a chat
-    template (any case) is scanned once more as ``chat_template``. Sources that
+    template (any case, marked by the decoder) is reported once more as ``chat_template``. Sources that
     spell ``chat_template`` in lower case count as template injection.
+
+    The values are decoded and looked through once. A rule's expression runs only where its literal occurs.
     """
-    strings = (kv.filter(F.col("vtype") == STRING)
-               .select("artifact_id", "position", F.concat(F.lit("metadata["), "key", F.lit("]")).alias("source"),
-                       "value"))
-    # min_by keeps one row per artifact map-side, so no sort and no window is needed
-    first = (kv.filter(F.contains(F.lower("key"), F.lit("chat_template")))
-             .groupBy("artifact_id").agg(F.min_by("value", "position").alias("value"))
-             .filter("value <> ''")
-             .select("artifact_id", F.lit(None).cast("int").alias("position"),
-                     F.lit("chat_template").alias("source"), "value"))
+    own = F.col("vtype") == STRING
+    again = F.col("template") & (F.col("value") != "")
+    source = lambda name, place: F.struct(name.alias("source"), place.alias("position"))
+    sources = F.array_compact(F.array(
+        F.when(own, source(F.concat(F.lit("metadata["), "key", F.lit("]")), F.col("position"))),
+        F.when(again, source(F.lit("chat_template"), F.lit(None).cast("int")))))
+    looked = computed_once(kv.filter(own | again), _folded=folded(F.col("value")))
     rules = F.array(*[F.struct(
         F.lit(label).alias("pattern"),
-        F.regexp_count("value", F.lit(f"(?iuU){regex}")).cast("bigint").alias("hits"))
-        for label, regex in STRING_RULES])
+        F.when(F.contains("_folded", F.lit(literal)), F.regexp_count("value", F.lit(f"(?iuU){regex}"))).otherwise(0).cast("bigint").alias("hits"))
+        for label, literal, regex in STRING_RULES])
+    found = looked.select("artifact_id", F.filter(rules, lambda r: r["hits"] > 0).alias("_hits"), sources.alias("_sources")).filter(F.size("_hits") > 0)
     template = F.contains("source", F.lit("chat_template"))
-    return (strings.unionByName(first)
-            .select("artifact_id", "position", "source",
-                    F.explode(F.filter(rules, lambda r: r["hits"] > 0)).alias("r"))
+    return (found.select("artifact_id", F.inline("_sources"), "_hits").select("artifact_id", "position", "source", F.explode("_hits").alias("r"))
             .select("artifact_id", "position", "source",
                     F.when(template, "chat_template_injection").otherwise("dangerous_pattern").alias("type"),
                     F.lit("malicious").alias("severity"), "r.pattern", "r.hits",

@@ -353,7 +353,7 @@ VIEWS["gguf_rows"] = f"""
     SELECT artifact_id, source, 'chat_template_injection' AS type, 'malicious' AS severity, label AS pattern,
            len(regexp_extract_all(template, regex))::BIGINT AS hits, 20.0::DOUBLE AS weight, filename
     FROM v_gguf CROSS JOIN (SELECT unnest(['metadata[tokenizer.chat_template]', 'chat_template']) AS source)
-         JOIN {values([(l, "(?i)" + r) for l, r in STRING_RULES], 'label, regex')} ON regexp_matches(template, regex)"""
+         JOIN {values([(l, "(?i)" + r) for l, _, r in STRING_RULES], 'label, regex')} ON regexp_matches(template, regex)"""
 DEPENDS["gguf_rows"] = ["v_gguf"]
 ORACLE["gguf_metadata_rules"] = sql("""SELECT artifact_id, source, type, severity, pattern, hits, weight
     FROM gguf_rows""", "gguf_rows")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from modelsieve.functions.matching import whole_content
 from modelsieve.operators import admission
-from modelsieve.operators.gguf import gguf_metadata, gguf_metadata_rules, register_gguf_kv
+from modelsieve.operators.gguf import STRING_RULES, gguf_metadata, gguf_metadata_rules, register_gguf_kv
 from modelsieve.operators.onnx import onnx_ops
 from modelsieve.operators.pickles import op_counts, pickle_opcode_audit, pickle_ops, register_pickle_ops, unsafe_imports
 from modelsieve.operators.safetensors import metadata_rules, safetensors_header, safetensors_header_rules
@@ -100,6 +100,25 @@ def test_gguf_rules(spark):
                    ("metadata[note]", "dangerous_pattern", "shutil", 1, 25.0)}
 
 
+def test_literals_of_gguf_rules_lose_no_match(spark):
+    """Letters beyond ASCII that a caseless expression takes for ASCII ones, and long values, hit as without the literals."""
+    odd = ["o\u017f.\u017fystem(1)", "soc\u212aet.x", "__\u0130MPORT__ (x)", "\u0131mport shut\u0131l.x", "stra\u00dfe OS.POPEN\u00a0(", "\u03a3 reque\u017fts.",
+           "open (", "x" * 100_000 + " <\u017fcript", "os.exe", "", "reopen(", "URLLIB.\u0130 ctypes."]
+    data = gguf(*[(f"k{n}", 8, text(t)) for n, t in enumerate(odd)])
+    got = {(r["source"], r["pattern"], r["hits"]) for r in gguf_metadata_rules(gguf_metadata(frame(spark, {"g": data}))).collect()}
+    rows = spark.createDataFrame([(f"metadata[k{n}]", t) for n, t in enumerate(odd)], "source string, value string")
+    want = {(r["source"], label, r["hits"]) for label, _, regex in STRING_RULES for r in rows.select(
+        "source", F.regexp_count("value", F.lit(f"(?iuU){regex}")).alias("hits")).filter("hits > 0").collect()}
+    assert got == want and len(got) > 6
+
+
+def test_the_first_template_key_is_marked(spark):
+    table = frame(spark, {"g": gguf(("x", 8, text("1")), ("Chat_Template", 4, struct.pack("<I", 3)), ("chat_template", 8, text("eval(1)"))), "e": gguf(("chat_template", 8, text("")))})
+    kv = gguf_metadata(table)
+    assert {(r["artifact_id"], r["key"]) for r in kv.filter("template").collect()} == {("g", "Chat_Template"), ("e", "chat_template")}
+    assert {r["source"] for r in gguf_metadata_rules(kv).collect()} == {"metadata[chat_template]"}
+
+
 def test_safetensors_states(spark):
     ok = {"__metadata__": {"a": "see https://x.example/q end", "n": 5, "b": "z" * 10_001}, "w": {}, "v": {}}
     items = {"short": b"\x01", "huge": safetensors(b"{}", 2 ** 63 + 5), "zero": safetensors(b"", 0),
