@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,17 +15,21 @@ BLOCK, ONNX_BLOCK = 8192, 4096
 THRESHOLD = 7.8
 MIN_FILE, MIN_BLOCK = 256, 64
 TEXT_THRESHOLD, TEXT_MIN_CHARS = 7.0, 64
+BYTES_AT_ONCE = 1 << 20
+
+
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """Entropy in bits of each row of byte counts."""
+    p = counts / counts.sum(axis=1, keepdims=True)
+    logs = np.log2(p, out=np.zeros_like(p), where=p > 0)
+    return -(p * logs).sum(axis=1)
 
 
 def _block_entropies(data: np.ndarray, size: int) -> np.ndarray:
     """Entropy in bits of consecutive ``size``-byte blocks (the last may be short)."""
     blocks = -(-len(data) // size)
     cells = (np.arange(len(data)) // size) * 256 + data
-    counts = np.bincount(cells, minlength=blocks * 256).reshape(blocks, 256).astype(float)
-    totals = counts.sum(axis=1, keepdims=True)
-    p = counts / totals
-    logs = np.log2(p, out=np.zeros_like(p), where=p > 0)
-    return -(p * logs).sum(axis=1)
+    return _bits(np.bincount(cells, minlength=blocks * 256).reshape(blocks, 256).astype(float))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -38,14 +43,17 @@ def block_entropies(content: pd.Series, own_start: pd.Series, own_len: pd.Series
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(T.DoubleType())
-def entropy(content: pd.Series) -> pd.Series:
-    """Entropy in bits per byte of each value; 0 for an empty one."""
+@F.arrow_udf(T.DoubleType())
+def entropy(content: pa.Array) -> pa.Array:
+    """Entropy in bits per byte of each value; 0 for an empty one. Values are counted where they lie in the batch."""
     out = []
-    for raw in content:
-        data = np.frombuffer(raw or b"", dtype=np.uint8)
-        out.append(float(_block_entropies(data, len(data))[0]) if len(data) else 0.0)
-    return pd.Series(out, dtype=float)
+    for value in content:
+        data = np.frombuffer(value.as_buffer() if value.is_valid else b"", dtype=np.uint8)
+        counts = np.zeros(256)
+        for k in range(0, len(data), BYTES_AT_ONCE):
+            counts += np.bincount(data[k:k + BYTES_AT_ONCE], minlength=256)
+        out.append(float(_bits(counts[None, :])[0]) if len(data) else 0.0)
+    return pa.array(out, pa.float64())
 
 
 def chunk_entropy(chunks: DataFrame, size=BLOCK, threshold: float = THRESHOLD) -> DataFrame:

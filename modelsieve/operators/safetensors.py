@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelsieve.functions.once import computed_once
+from modelsieve.functions.slices import byte_slices
 from modelsieve.operators.entropy import text_entropy
 
 MAX_HEADER = 100 * (1 << 20)
@@ -69,11 +70,22 @@ def parse_header(text: str) -> tuple[str | None, str | None, int | None, list[di
 _ENTRY = pa.struct([("key", pa.string()), ("kind", pa.string()), ("value", pa.string())])
 
 
+def parsed_batches(batches):
+    """Batches with ``header`` and, for a few megabytes of headers at a time, what is parsed from it."""
+    for batch in byte_slices(batches, "header"):
+        texts = batch.column("header").to_pylist()
+        kinds, metas, tensors, entries = zip(*[(None, None, None, []) if t is None else parse_header(t) for t in texts])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(kinds, pa.string()), pa.array(metas, pa.string()), pa.array(tensors, pa.int32()),
+             pa.array(entries, pa.list_(_ENTRY))], names=[*batch.schema.names, "_kind", "_meta_kind", "_tensors", "_meta"])
+
+
 def with_header(df: DataFrame) -> DataFrame:
     """(artifact_id, header_len, _present, header, _kind, _meta_kind, _tensors, _meta), the header parsed once per row.
 
     ``content`` needs only the bytes up to the end of the header; pass the file
-    size as ``file_len`` when the content is cut.
+    size as ``file_len`` when the content is cut. Python holds the objects of a few
+    megabytes of headers at a time, however many a batch has.
     """
     total = F.col("file_len") if "file_len" in df.columns else F.octet_length("content").cast("bigint")
     length = F.when(F.octet_length("content") >= 8, _declared_length(F.col("content")))
@@ -83,16 +95,8 @@ def with_header(df: DataFrame) -> DataFrame:
     df = df.withColumn("_present", F.coalesce(present, F.lit(False))).withColumn("_text", raw)
     df = df.select("artifact_id", "header_len", "_present", F.when(F.is_valid_utf8("_text"), F.col("_text")).alias("header"))
 
-    def parse(batches):
-        for batch in batches:
-            texts = batch.column(3).to_pylist()
-            kinds, metas, tensors, entries = zip(*[(None, None, None, []) if t is None else parse_header(t) for t in texts]) if texts else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(kinds, pa.string()), pa.array(metas, pa.string()), pa.array(tensors, pa.int32()),
-                 pa.array(entries, pa.list_(_ENTRY))], names=[*batch.schema.names, "_kind", "_meta_kind", "_tensors", "_meta"])
-
     kind = df.schema["artifact_id"].dataType.simpleString()
-    return df.mapInArrow(parse, f"artifact_id {kind}, header_len decimal(20,0), _present boolean, header string, _kind string, "
+    return df.mapInArrow(parsed_batches, f"artifact_id {kind}, header_len decimal(20,0), _present boolean, header string, _kind string, "
                                 "_meta_kind string, _tensors int, _meta array<struct<key:string,kind:string,value:string>>")
 
 
@@ -167,9 +171,10 @@ def metadata_rules(df: DataFrame) -> DataFrame:
     rows = h.select("artifact_id", F.inline(F.concat(
         F.transform(strings, lambda m: F.struct(F.lit(False).alias("whole"), m["key"].alias("key"), m["value"].alias("value"))),
         F.transform(text_row, lambda m: F.struct(F.lit(True).alias("whole"), m["key"].alias("key"), m["value"].alias("value"))))))
-    values = text_entropy(rows, "value")
-    url = F.regexp_extract("value", ENGINE_URL, 0)
     one = ~F.col("whole")
+    # header texts have no entropy rule and stay out of Python
+    values = text_entropy(rows.withColumn("_own", F.when(one, F.col("value"))), "_own")
+    url = F.regexp_extract("value", ENGINE_URL, 0)
     finding = lambda prof, kind, sev, **kw: F.struct(
         F.lit(prof).alias("profile"), F.lit(kind).alias("type"), F.lit(sev).alias("severity"),
         kw.get("pattern", F.lit(None).cast("string")).alias("pattern"),
