@@ -36,9 +36,11 @@ def chunks(spark, d) -> DataFrame:
 # ---- sources and sinks -------------------------------------------------------
 
 def _artifact_files(spark, d) -> DataFrame:
-    """Manifest of the artifacts written as files, one each, to a folder all executors share."""
+    """Manifest of the artifacts written as files, one each, below a folder all executors share; in subfolders, so that tasks
+    neither wait for one folder to take a name nor list it alone."""
     root = shared_dir(spark, "files")
-    files.write_files(v.v_artifacts(spark, d).select("filename", "content"), root)
+    place = F.format_string("%02x/%s", F.pmod(F.xxhash64("filename"), F.lit(256)), "filename")
+    files.write_files(v.v_artifacts(spark, d).select(place.alias("filename"), "content"), root)
     return files.artifact_manifest(spark, root, exts=[*files.DEFAULT_EXTENSIONS, "onnx"])
 
 

@@ -9,30 +9,127 @@ a format (opcodes, key-value pairs, template blocks) stream through a file.
 from __future__ import annotations
 
 import hashlib
+import os
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modelsieve.functions.slices import byte_slices
 from modelsieve.operators.gguf import KV_SCHEMA, kv_batches
 from modelsieve.operators.pickles import OPS_SCHEMA, ops_batches
 from modelsieve.operators.safetensors import MAX_HEADER
 from modelsieve.operators.templates import iter_blocks
-from modelsieve.sources.reader import BYTES_PER_TASK, CHUNK, CONTEXT, MIB, READ_ERRORS, located, read_artifacts
+from modelsieve.sources.reader import BYTES_PER_TASK, CHUNK, CONTEXT, MIB, READ_ERRORS, Stores, located, read_artifacts
 
 DEFAULT_EXTENSIONS = ("gguf", "safetensors", "pkl", "pickle", "pt", "pth")
 
 def artifact_manifest(spark: SparkSession, root: str, exts=DEFAULT_EXTENSIONS) -> DataFrame:
-    """(path, filename, ext, length, modified) of the files below ``root``.
+    """(path, filename, ext, length, modified) of the files below ``root``, which may hold wildcards.
 
-    ``content`` is not selected, so the file bytes are never read. Spark lists no
-    empty files; those are refused at upload anyway.
+    Folders are listed by tasks and no file is opened: a file costs a row, not a share of a read task or of the driver's memory.
+    Left out are what Spark's readers leave out: hidden names and empty files (those are refused at upload anyway). A store that only
+    Spark's readers know is listed by them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    roots = _matching(spark, root)
+    try:
+        located(roots[0])
+    except READ_ERRORS:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    else:
+        files = _listed(spark, roots)
     return describe_files(files, exts)
 
 
+def _matching(spark: SparkSession, root: str) -> list[str]:
+    """Full paths that ``root`` stands for; one that stands for none is an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    if not found:
+        raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {root}.")
+    return [status.getPath().toString() for status in found]
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith((".", "_")) and not (name.startswith("_") and "=" in name) or name.endswith("._COPYING_")
+
+
+def _entries(stores: Stores, path: str) -> Iterator[tuple[str, int, int, bool]]:
+    """(path, length, modified, folder) of what lies in a folder, or of a file itself; a folder that is gone holds nothing."""
+    system, inner = stores.locate(path)
+    base = path if path.endswith("/") else f"{path}/"
+    local = isinstance(system, fs.LocalFileSystem)
+    own = system.get_file_info(inner.rstrip("/") or "/")
+    if own.type == fs.FileType.File:
+        yield path, own.size, own.mtime_ns // 1_000_000 * 1000, False
+    elif local and own.type == fs.FileType.Directory:
+        # read on as names come, however many the folder holds
+        with os.scandir(inner) as found:
+            for entry in found:
+                try:
+                    facts, folder = entry.stat(), entry.is_dir()
+                except FileNotFoundError:
+                    continue
+                yield base + os.fsencode(entry.name).decode("utf-8", "replace"), facts.st_size, facts.st_mtime_ns // 1_000_000 * 1000, folder
+    elif own.type == fs.FileType.Directory:
+        for info in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+            yield base + info.base_name, info.size or 0, (info.mtime_ns or 0) // 1_000_000 * 1000, info.type == fs.FileType.Directory
+
+
+# A task lists upper folders until so many are open; these are dealt over the cluster, each with all below it.
+OPEN_FOLDERS, LISTED_ROWS = 64, 10_000
+LISTING = "path string, length bigint, micros bigint, folder boolean"
+
+
+def _walk(enough: int | None):
+    """Task that lists folders from the top down, and leaves those still open to others once ``enough`` are."""
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("micros", pa.int64()), ("folder", pa.bool_())])
+
+    def run(batches):
+        stores, rows = Stores(), []
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 4, schema)], schema=schema)
+            rows.clear()
+            return batch
+
+        for batch in batches:
+            level = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                (level if row[3] else rows).append(row[0] if row[3] else row)
+            while level and (enough is None or len(level) < enough):
+                below = []
+                for path in level:
+                    for entry in _entries(stores, path):
+                        if _hidden(entry[0].rsplit("/", 1)[-1], entry[3]):
+                            continue
+                        if entry[3]:
+                            below.append(entry[0])
+                        elif entry[1] > 0:
+                            rows.append(entry)
+                        if len(rows) >= LISTED_ROWS:
+                            yield flush()
+                level = below
+            rows += [(path, 0, 0, True) for path in level]
+            yield flush()
+
+    return run
+
+
+def _listed(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(path, length, modificationTime) of the files below the roots."""
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    tops = spark.createDataFrame([(r, 0, 0, True) for r in roots], LISTING).coalesce(1).mapInArrow(_walk(OPEN_FOLDERS), LISTING)
+    files = tops.repartition(tasks).mapInArrow(_walk(None), LISTING)
+    return files.select("path", "length", F.timestamp_micros("micros").alias("modificationTime"))
+
+
 def describe_files(files: DataFrame, exts=DEFAULT_EXTENSIONS) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"(?s)[^.].*(\.[^.]*)$", 1))
@@ -65,10 +162,14 @@ def write_files(table: DataFrame, root: str) -> None:
     """Write each row (filename, content) as a file below ``root``; a repeated task writes the same files again."""
 
     def run(batches):
-        for batch in batches:
+        stores, made = Stores(), set()
+        for batch in byte_slices(batches, "content"):
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                system, inner = located(f"{root.rstrip('/')}/{name}")
-                system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                system, inner = stores.locate(f"{root.rstrip('/')}/{name}")
+                folder = inner.rsplit("/", 1)[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(inner) as out:
                     out.write(content)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])

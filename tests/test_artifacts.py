@@ -47,6 +47,28 @@ def test_manifest_plan_reads_no_content(spark, folder):
     assert "content" not in plan.split("ReadSchema")[-1]
 
 
+def test_manifest_lists_what_the_readers_of_spark_list(spark, tmp_path):
+    names = ["a.pkl", "b c%20é.pt", "_x.pkl", "_k=1.pkl", ".h.pkl", "e.pth", "n._COPYING_", "one/two/three/deep.gguf", "_temp/in.pkl", "_y=2/in.pkl",
+             ".git/in.pkl", "_metadata/in.pkl", "_metadata.pkl", "[w]/in.pkl"] + [f"m{k}/v{k % 3}/f.pkl" for k in range(90)]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "e.pth" else name.encode())
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"{tmp_path}/m[12]*", f"{tmp_path}/a.pkl", f"{tmp_path}/one"):
+        want = src.describe_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)).collect()
+        got = src.artifact_manifest(spark, root).collect()
+        assert sorted(got) == sorted(want) and got, root
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        src.artifact_manifest(spark, f"{tmp_path}/none")
+
+
+def test_tasks_that_list_do_not_grow_with_the_files(spark, tmp_path):
+    for k in range(3000):
+        (tmp_path / f"{k}.pkl").write_bytes(b"x")
+    listed = src.artifact_manifest(spark, str(tmp_path))
+    assert listed.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert listed.count() == 3000
+
+
 @pytest.mark.parametrize("chunk", [7, 512, 4096])
 def test_chunks_cover_every_byte_once(spark, folder, chunk):
     root, blobs = folder
