@@ -41,6 +41,7 @@ CHUNK = 4 * MIB
 CONTEXT = 64 << 10
 HEAD = 100
 BYTES_PER_TASK = 256 * MIB
+BATCH_BYTES, BATCH_ROWS = MIB, 1000     # a row that holds more goes alone
 OPEN_COST = 64 << 10     # counted per file, so that very many small files are spread too
 SPREAD = 64 * MIB
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
@@ -194,9 +195,17 @@ class ArtifactReader(DataSourceReader):
         stores, given = Stores(), [n for n in self.names if n not in _MADE]
         filtered = [f.attribute[0] for f in self.filters]
         rows = self._rows(part, list(dict.fromkeys([*given, "path", "length", *filtered]))).slice(first, end - first)
+        # small rows go together, so that a batch costs little next to what it carries
+        held, size = [], 0
         for row in rows.filter(pa.array(self._kept(rows))).to_pylist():
             for made in self._file(stores, row, begin, last):
-                yield pa.RecordBatch.from_pylist([{n: made.get(n, row.get(n)) for n in self.names}], schema=self.schema)
+                held.append({n: made.get(n, row.get(n)) for n in self.names})
+                size += len(made.get("content") or b"")
+                if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(held, schema=self.schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=self.schema)
 
     def _file(self, stores: Stores, row: dict, begin: int, last: int) -> Iterator[dict]:
         """Rows of one file; what is not declared is not made."""

@@ -141,3 +141,23 @@ def test_workers_need_no_package(folder, tmp_path):
     chunks = sum(max(1, -(-len(b) // 65536)) for b in folder[1].values())
     assert f"hashes 32 chunks {chunks}" in done.stdout and "scan 32 sdk 32 inspect 32" in done.stdout, done.stderr[-3000:]
     assert not re.search("ModuleNotFoundError", done.stderr)
+
+
+def test_small_chunks_share_a_batch(spark, tmp_path):
+    """Chunks of many small files come in few batches of bounded size, in order and whole."""
+    for k in range(120):
+        (tmp_path / f"{k:03}.pkl").write_bytes(bytes([k]) * 3000)
+    (tmp_path / "large.pkl").write_bytes(b"\xfe" * (3 << 20))
+    table = src.artifact_manifest(spark, str(tmp_path)).select("path", "length").coalesce(1)
+    schema = reader.StructType.fromDDL("path string, length bigint, chunk_no bigint, own_start int, own_len int, content binary, error string")
+    made = reader.ArtifactReader(schema, {"manifest": reader.stored_manifest(table), "chunk": "1024", "context": "64", "parallelism": "1"})
+    batches = [b for part in made.partitions() for b in made.read(part)]
+    chunks = sum(b.num_rows for b in batches)
+    assert chunks == 120 * 3 + 3072 and len(batches) <= 8
+    assert all(b.nbytes < 2 * reader.BATCH_BYTES for b in batches)
+    files = {}
+    for row in (r for b in batches for r in b.to_pylist()):
+        own = files.setdefault(row["path"].rsplit("/", 1)[-1], [])
+        assert row["chunk_no"] == len(own) and row["error"] is None
+        own.append(row["content"][row["own_start"]:row["own_start"] + row["own_len"]])
+    assert {n: b"".join(c) for n, c in files.items()} == {p.name: p.read_bytes() for p in tmp_path.iterdir()}
