@@ -20,7 +20,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,12 +108,15 @@ def match_offsets(rules: Sequence[Rule]):
             (always if rule.anchor is None else by_anchor.setdefault(rule.anchor.encode("latin-1").lower(), [])).append(k)
         literals, of_anchor = Literals(list(by_anchor)), list(by_anchor.values())
 
-    @F.pandas_udf("array<struct<rule:int,start:bigint>>")
-    def offsets(content: pd.Series, base: pd.Series, own_start: pd.Series,
-                own_len: pd.Series, wanted: pd.Series) -> pd.Series:
+    kind = pa.list_(pa.struct([("rule", pa.int32()), ("start", pa.int64())]))
+
+    @F.arrow_udf("array<struct<rule:int,start:bigint>>")
+    def offsets(content: pa.Array, base: pa.Array, own_start: pa.Array, own_len: pa.Array, wanted: pa.Array) -> pa.Array:
         compiled: dict[int, re.Pattern] = {}
         rows = []
-        for data, first, lo, size, ids in zip(content, base, own_start, own_len, wanted):
+        # one chunk's bytes at a time are copied out of the batch
+        for cells in zip(content, base, own_start, own_len, wanted):
+            data, first, lo, size, ids = (c.as_py() for c in cells)
             found = []
             if literals is not None and len(ids) and ids[0] == LOOK:
                 ids = sorted([*always, *(k for word in literals.found(data.lower()) for k in of_anchor[word]
@@ -128,7 +131,7 @@ def match_offsets(rules: Sequence[Rule]):
                     if lo <= match.start() < lo + size:
                         found.append({"rule": int(k), "start": int(first) + match.start()})
             rows.append(found)
-        return pd.Series(rows, dtype=object)
+        return pa.array(rows, kind)
 
     return offsets
 

@@ -5,6 +5,7 @@ import tracemalloc
 
 import pyarrow as pa
 
+from modelsieve.functions import matching
 from modelsieve.functions.slices import byte_slices
 from modelsieve.operators import entropy, safetensors
 
@@ -54,3 +55,15 @@ def test_entropy_counts_a_long_value_in_pieces(spark):
     assert found == [8.0, 0.0, 0.0, 1.0]
     rows = spark.createDataFrame([(bytearray(v) if v is not None else None,) for v in values.to_pylist()[1:]], "v binary")
     assert [r[0] for r in rows.select(entropy.entropy("v")).collect()] == [0.0, 0.0, 1.0]
+
+
+def test_rules_are_matched_on_one_chunk_at_a_time(spark):
+    rules = [matching.Rule("call", r"eval\s*\(", "eval"), matching.Rule("text", r"\bexec\b", "exec", ignore_case=False, text=True)]
+    chunk = b"x" * 20_000 + b" EVAL (1) exec "
+    n, size = 1000, len(chunk)
+    columns = [pa.array([chunk] * n, pa.binary()), pa.array([100] * n, pa.int64()), pa.array([0] * n, pa.int32()), pa.array([size] * n, pa.int32()),
+               pa.array([[0, 1]] * (n - 1) + [[]], pa.list_(pa.int32()))]
+    found = []
+    assert peak_of(lambda: found.append(matching.match_offsets(rules).func(*columns))) < 8 << 20
+    rows = found[0].to_pylist()
+    assert rows[:-1] == [[{"rule": 0, "start": 20_101}, {"rule": 1, "start": 20_110}]] * (n - 1) and rows[-1] == []
