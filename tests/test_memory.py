@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from modelsieve.functions import matching
 from modelsieve.functions.slices import byte_slices
-from modelsieve.operators import entropy, safetensors
+from modelsieve.operators import entropy, safetensors, scoring
 
 
 def peak_of(work):
@@ -67,3 +67,16 @@ def test_rules_are_matched_on_one_chunk_at_a_time(spark):
     assert peak_of(lambda: found.append(matching.match_offsets(rules).func(*columns))) < 8 << 20
     rows = found[0].to_pylist()
     assert rows[:-1] == [[{"rule": 0, "start": 20_101}, {"rule": 1, "start": 20_110}]] * (n - 1) and rows[-1] == []
+
+
+def test_risk_of_headers_that_fill_many_slices(spark):
+    """The inspector's score is the sum over all slices of a partition, whatever rows share a slice."""
+    def content(k):
+        raw = json.dumps({"__metadata__": {"note": "ab-" * 7_000 + ("eval (1)" if k % 2 else "")}, "w": {}}).encode()
+        return bytearray((len(raw) if k % 5 else 0).to_bytes(8, "little") + raw)
+
+    table = spark.createDataFrame([(k, content(k)) for k in range(400)], "artifact_id bigint, content binary").coalesce(1)
+    found = safetensors.safetensors_header_rules(table).select("artifact_id", "type", "severity", "weight").unionByName(
+        safetensors.metadata_rules(table).filter("profile = 'inspector'").select("artifact_id", "type", "severity", "weight"))
+    got = {r["artifact_id"]: r["risk_score"] for r in scoring.inspector_risk(found).collect()}
+    assert got == {k: 5.0 if k % 5 == 0 or k % 2 == 0 else 25.0 for k in range(400)}
