@@ -43,9 +43,8 @@ def block_entropies(content: pd.Series, own_start: pd.Series, own_len: pd.Series
     return pd.Series(out, dtype=object)
 
 
-@F.arrow_udf(T.DoubleType())
-def entropy(content: pa.Array) -> pa.Array:
-    """Entropy in bits per byte of each value; 0 for an empty one. Values are counted where they lie in the batch."""
+def value_bits(content: pa.Array) -> pa.Array:
+    """Entropy in bits per byte of each binary or UTF-8 value; 0 for an empty one. Values are counted where they lie in the batch."""
     out = []
     for value in content:
         data = np.frombuffer(value.as_buffer() if value.is_valid else b"", dtype=np.uint8)
@@ -56,6 +55,11 @@ def entropy(content: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
+@F.arrow_udf(T.DoubleType())
+def entropy(content: pa.Array) -> pa.Array:
+    return value_bits(content)
+
+
 def chunk_entropy(chunks: DataFrame, size=BLOCK, threshold: float = THRESHOLD) -> DataFrame:
     """Entropy of every block of at least 64 bytes in artifacts of at least 256.
 
@@ -86,9 +90,12 @@ def entropy_findings(blocks: DataFrame) -> DataFrame:
 
 
 def text_entropy(df: DataFrame, col: str, threshold: float = TEXT_THRESHOLD,
-                 min_chars: int = TEXT_MIN_CHARS) -> DataFrame:
-    """Add ``entropy`` of the field's UTF-8 bytes and ``flagged``."""
-    bits = entropy(F.encode(F.col(col), "UTF-8"))
+                 min_chars: int = TEXT_MIN_CHARS, bits: str | None = None) -> DataFrame:
+    """Add ``entropy`` of the field's UTF-8 bytes and ``flagged``.
+
+    ``bits`` names the column in which an earlier Python step has put the field's :func:`value_bits`; without it a step of its own counts them.
+    """
+    bits = F.col(bits) if bits else entropy(F.encode(F.col(col), "UTF-8"))
     return (df.withColumn("_bits", bits)
             .withColumn("flagged", (F.col("_bits") > threshold) & (F.char_length(col) > min_chars))
             .withColumn("entropy", F.round("_bits", 3)).drop("_bits"))

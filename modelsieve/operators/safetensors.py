@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+from functools import partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelsieve.functions.once import computed_once
 from modelsieve.functions.slices import byte_slices
-from modelsieve.operators.entropy import text_entropy
+from modelsieve.operators.entropy import text_entropy, value_bits
 
 MAX_HEADER = 100 * (1 << 20)
 
@@ -70,22 +72,33 @@ def parse_header(text: str) -> tuple[str | None, str | None, int | None, list[di
 _ENTRY = pa.struct([("key", pa.string()), ("kind", pa.string()), ("value", pa.string())])
 
 
-def parsed_batches(batches):
-    """Batches with ``header`` and, for a few megabytes of headers at a time, what is parsed from it."""
+def _with_bits(meta: pa.ListArray) -> pa.ListArray:
+    """The entries with the entropy of their string values, 0 for other kinds."""
+    entries = meta.values
+    strings = pc.if_else(pc.equal(entries.field("kind"), "STRING"), entries.field("value"), pa.scalar(None, pa.string()))
+    return pa.ListArray.from_arrays(meta.offsets, pa.StructArray.from_arrays(
+        [*entries.flatten(), value_bits(strings)], fields=[*_ENTRY, pa.field("bits", pa.float64())]))
+
+
+def parsed_batches(batches, bits: bool = False):
+    """Batches with ``header`` and, for a few megabytes of headers at a time, what is parsed from it; with ``bits`` the entropy of values too."""
     for batch in byte_slices(batches, "header"):
         texts = batch.column("header").to_pylist()
         kinds, metas, tensors, entries = zip(*[(None, None, None, []) if t is None else parse_header(t) for t in texts])
+        meta = pa.array(entries, pa.list_(_ENTRY))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(kinds, pa.string()), pa.array(metas, pa.string()), pa.array(tensors, pa.int32()),
-             pa.array(entries, pa.list_(_ENTRY))], names=[*batch.schema.names, "_kind", "_meta_kind", "_tensors", "_meta"])
+             _with_bits(meta) if bits else meta], names=[*batch.schema.names, "_kind", "_meta_kind", "_tensors", "_meta"])
 
 
-def with_header(df: DataFrame) -> DataFrame:
+def with_header(df: DataFrame, bits: bool = False) -> DataFrame:
     """(artifact_id, header_len, _present, header, _kind, _meta_kind, _tensors, _meta), the header parsed once per row.
 
     ``content`` needs only the bytes up to the end of the header; pass the file
     size as ``file_len`` when the content is cut. Python holds the objects of a few
-    megabytes of headers at a time, however many a batch has.
+    megabytes of headers at a time, however many a batch has. With ``bits`` the
+    entries of ``_meta`` have the entropy of their string values, counted in the same
+    Python step, so that a task needs one worker and not two.
     """
     total = F.col("file_len") if "file_len" in df.columns else F.octet_length("content").cast("bigint")
     length = F.when(F.octet_length("content") >= 8, _declared_length(F.col("content")))
@@ -96,8 +109,10 @@ def with_header(df: DataFrame) -> DataFrame:
     df = df.select("artifact_id", "header_len", "_present", F.when(F.is_valid_utf8("_text"), F.col("_text")).alias("header"))
 
     kind = df.schema["artifact_id"].dataType.simpleString()
-    return df.mapInArrow(parsed_batches, f"artifact_id {kind}, header_len decimal(20,0), _present boolean, header string, _kind string, "
-                                "_meta_kind string, _tensors int, _meta array<struct<key:string,kind:string,value:string>>")
+    entry = "key:string,kind:string,value:string" + ",bits:double" * bits
+    return df.mapInArrow(partial(parsed_batches, bits=bits),
+                         f"artifact_id {kind}, header_len decimal(20,0), _present boolean, header string, _kind string, "
+                         f"_meta_kind string, _tensors int, _meta array<struct<{entry}>>")
 
 
 def _is_object(kind: Column) -> Column:
@@ -163,17 +178,16 @@ def metadata_rules(df: DataFrame) -> DataFrame:
     whole header text with occurrence counts, and over-long values. Over-long
     values are reported once each.
     """
-    h = _header_state(with_header(df))
-    # one row per value and one for the header text, from one pass over the headers
-    strings = F.transform(F.filter("_meta", lambda m: m["kind"] == "STRING"), lambda m: F.struct(m["key"].alias("key"), m["value"].alias("value")))
+    h = _header_state(with_header(df, bits=True))
+    # one row per value and one for the header text, from one pass over the headers; header texts have no entropy rule
+    strings = F.filter("_meta", lambda m: m["kind"] == "STRING")
     none = F.lit(None).cast("string")
-    text_row = F.when(F.col("parsed"), F.array(F.struct(none.alias("key"), F.col("header").alias("value")))).otherwise(F.array())
-    rows = h.select("artifact_id", F.inline(F.concat(
-        F.transform(strings, lambda m: F.struct(F.lit(False).alias("whole"), m["key"].alias("key"), m["value"].alias("value"))),
-        F.transform(text_row, lambda m: F.struct(F.lit(True).alias("whole"), m["key"].alias("key"), m["value"].alias("value"))))))
+    text_row = F.when(F.col("parsed"), F.array(F.struct(none.alias("key"), F.col("header").alias("value"), F.lit(0.0).alias("bits")))).otherwise(F.array())
+    rows = h.select("artifact_id", F.inline(F.concat(*[
+        F.transform(part, lambda m: F.struct(F.lit(whole).alias("whole"), m["key"].alias("key"), m["value"].alias("value"), m["bits"].alias("_counted")))
+        for part, whole in ((strings, False), (text_row, True))])))
     one = ~F.col("whole")
-    # header texts have no entropy rule and stay out of Python
-    values = text_entropy(rows.withColumn("_own", F.when(one, F.col("value"))), "_own")
+    values = text_entropy(rows, "value", bits="_counted")
     url = F.regexp_extract("value", ENGINE_URL, 0)
     finding = lambda prof, kind, sev, **kw: F.struct(
         F.lit(prof).alias("profile"), F.lit(kind).alias("type"), F.lit(sev).alias("severity"),

@@ -80,3 +80,26 @@ def test_risk_of_headers_that_fill_many_slices(spark):
         safetensors.metadata_rules(table).filter("profile = 'inspector'").select("artifact_id", "type", "severity", "weight"))
     got = {r["artifact_id"]: r["risk_score"] for r in scoring.inspector_risk(found).collect()}
     assert got == {k: 5.0 if k % 5 == 0 or k % 2 == 0 else 25.0 for k in range(400)}
+
+
+def test_entropy_of_metadata_is_counted_where_the_header_is_parsed(spark):
+    """One Python step, so one worker a task; it flags what the entropy operator flags in the values."""
+    noisy = "".join(chr(32 + k % 95) + chr(128 + k * 61 % 1900) * (k % 2) for k in range(800))
+    metas = [{"noisy": noisy, "short": noisy[:60], "list": [noisy], "n": 5, "none": None, "plain": "x" * 100, "empty": ""}, {}, None, [noisy], {"noisy": noisy}]
+    raws = [json.dumps({"__metadata__": m, "w": {}}).encode() for m in metas] + [b"no json"]
+    table = spark.createDataFrame([(k, bytearray(len(r).to_bytes(8, "little") + r)) for k, r in enumerate(raws)] + [(9, None)],
+                                  "artifact_id bigint, content binary").coalesce(1)
+    rules = safetensors.metadata_rules(table)
+    plan = rules._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    got = sorted(tuple(r) for r in rules.filter("type = 'high_entropy_metadata'").select("artifact_id", "key").collect())
+    plain = entropy.text_entropy(safetensors.metadata_values(table), "value").filter("flagged").select("artifact_id", "key")
+    assert got == sorted(tuple(r) for r in plain.collect()) == [(0, "noisy"), (4, "noisy")]
+
+
+def test_bits_of_a_slice_belong_to_its_own_values():
+    headers = [json.dumps({"__metadata__": {"a": "ab" * k, "b": k, "c": "abcd"}}) if k % 3 else None for k in range(50)]
+    batch = pa.record_batch({"header": pa.array(headers, pa.string())}).slice(7)
+    found = pa.Table.from_batches(safetensors.parsed_batches([batch], bits=True)).column("_meta").to_pylist()
+    assert [[(e["key"], e["bits"]) for e in row] for row in found] == [
+        [("a", 1.0), ("b", 0.0), ("c", 2.0)] if k % 3 else [] for k in range(7, 50)]
